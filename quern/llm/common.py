@@ -18,7 +18,7 @@ _GAP[list(WHITESPACE)] = True
 _BYTE = np.random.Generator(np.random.PCG64(20240117)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _GRAM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Text bytes that the hash kernels hold at once; a longer text is taken alone.
-KERNEL_BYTES = 4 << 20
+KERNEL_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
