@@ -2,9 +2,8 @@
 
 Texts are equal when they are the same after lower-casing A-Z; null counts as
 empty. Of equal texts the row with the largest id stays (null ids come last; of
-rows with one id and one text, one stays). Misra-Gries finds at most `k` digests
-that might hold more than 1/(k+1) of the rows; their exact winners, k rows at
-most, are broadcast and settle those rows where they lie. All other digests take
+rows with one id and one text, one stays). Misra-Gries finds the digests that
+hold more than 1/k of the rows; their exact winners, 4k/3 rows at most, are broadcast and settle those rows where they lie. All other digests take
 the ordinary shuffle, where no group holds more than that share. An empty table
 gives an empty table; columns besides the two named ones pass through unread.
 """
@@ -24,11 +23,11 @@ def digest(text):
 
 
 def winners(digests: DataFrame, k: int) -> DataFrame:
-    """Verified (text_sha256, keep_id, group_size) of the frequent digests; k rows at most."""
+    """Verified (text_sha256, keep_id, group_size) of the frequent digests; 4k/3 rows at most."""
     keys = heavy_keys(digests.select(F.xxhash64("text_sha256").alias("key")), k)
     frequent = digests.filter(F.xxhash64("text_sha256").isin(keys) if keys else F.lit(False))
     counted = frequent.groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    return counted.orderBy(F.desc("group_size"), "text_sha256").limit(k)
+    return counted.orderBy(F.desc("group_size"), "text_sha256").limit(2 * k)
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = HEAVY) -> DataFrame:

@@ -14,25 +14,23 @@ also start in a document with a smaller id. Of the 8-word sequences of a window,
 one of least hash (the anchor) is the same wherever the window is found, so only windows
 whose anchor lies in two documents can repeat: anchors are grouped first, then
 the windows of shared anchors get their smallest document id, and each document
-drops the words of windows that a smaller id has. Anchors in more than
-1/4097 of all anchor rows (Misra-Gries) are taken as shared without a shuffle;
-windows are pre-aggregated before theirs. Words and windows are compared by
+drops the words of windows that a smaller id has. Anchors with more than
+1/1024 of all anchor rows (Misra-Gries) are taken as shared without a shuffle,
+and their windows are salted. Words and windows are compared by
 64-bit hashes. Rows with a null id are neither compared nor changed; rows that
 share an id count as one document; null text has no words. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, heavy_keys, slices, table
 
-WINDOW, ANCHOR, HEAVY = 13, 8, 4096
+WINDOW, ANCHOR, HEAVY, SALTS = 13, 8, 1024, 64
 
 
 def anchors_of(words: Words, window: int, anchor: int):
@@ -67,17 +65,21 @@ def _anchor_rows(window, anchor, skip):
     return run
 
 
-def _window_rows(window, anchor):
+def _window_rows(window, anchor, hot):
+    hot = np.array(sorted(hot), dtype=np.int64)
+
     def run(batches):
         for batch in batches:
             ids, shared = np.asarray(batch.column(0)), batch.column(2)
             for a, b in slices(batch.column(1)):
                 words = Words(batch.column(1)[a:b])
                 least, whole = anchors_of(words, window, anchor)
-                at = np.flatnonzero(whole)
-                at = at[_member(words.row[at], least[at].view(np.int64), shared[a:b])]
+                at, least = np.flatnonzero(whole), least.view(np.int64)
+                crowded = np.isin(least[at], hot)
+                at = at[_member(words.row[at], least[at], shared[a:b]) | crowded]
                 gram, _ = words.grams(window)
-                yield pa.RecordBatch.from_arrays([pa.array(gram[at].view(np.int64)), pa.array(ids[a:b][words.row[at]])], ["key", "id"])
+                columns = [pa.array(gram[at].view(np.int64)), pa.array(ids[a:b][words.row[at]]), pa.array(np.isin(least[at], hot))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "id", "hot"])
 
     return run
 
@@ -134,14 +136,22 @@ def dedup_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot = heavy_keys(known.select("id", "text").mapInArrow(_anchor_rows(window, anchor, []), "key long, id long").select("key"), heavy)
 
     rows = known.mapInArrow(_anchor_rows(window, anchor, hot), "key long, id long")
-    shared = rows.select("key", "id", F.expr("min(id) over (partition by key) < max(id) over (partition by key)").alias("shared")).filter("shared")
+    group = Window.partitionBy("key")
+    shared = rows.select("key", "id", (F.min("id").over(group) < F.max("id").over(group)).alias("shared")).filter("shared")
     lists = shared.groupBy("id").agg(F.collect_set("key").alias("keys"))
-    always = F.array(*[F.lit(v) for v in hot]).cast("array<long>")
-    marked = known.join(lists, "id", "left").select("id", "text", F.concat(F.coalesce("keys", F.array().cast("array<long>")), always).alias("keys"))
-
-    windows = marked.mapInArrow(_window_rows(window, anchor), "key long, id long")
-    least = windows.groupBy("key").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id < last_id")
-    gone = windows.join(least, "key").filter("id > first_id").groupBy("id").agg(F.collect_set("key").alias("keys"))
+    marked = known.join(lists, "id", "left").select("id", "text", "keys")
+
+    rows = marked.mapInArrow(_window_rows(window, anchor, hot), "key long, id long, hot boolean")
+    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0))
+    group = Window.partitionBy("key", "salt")
+    rows = rows.withColumn("low", F.min("id").over(group)).withColumn("high", F.max("id").over(group))
+    gone = rows.filter("not hot and low < id").select("id", "key")
+    if hot:  # windows of hot anchors lie in SALTS groups each, whose least ids are brought together
+        crowded = rows.filter("hot")
+        first = crowded.groupBy("key", "salt").agg(F.min("low").alias("low"), F.max("high").alias("high")).groupBy("key").agg(F.min("low").alias("first_id"), F.max("high").alias("last_id"))
+        first = first.filter("first_id < last_id").select("key", "first_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+        gone = gone.union(crowded.join(first, ["key", "salt"]).filter("id > first_id").select("id", "key"))
+    gone = gone.groupBy("id").agg(F.collect_set("key").alias("keys"))
     kept = known.join(gone, "id", "left").select("id", "text", "keys")
     rest = given.filter("id is null").select("id", "text", F.lit(None).cast("array<long>").alias("keys"))
     return kept.union(rest).mapInArrow(_clean(window), "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
