@@ -34,8 +34,8 @@ from .common import slices, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: Words up to this length are remembered, this many at most; so are valid pairs.
-SHORT, WORDS, PAIRS = 40, 800_000, 400_000
+#: Words up to this length are remembered, this many at most; so are valid pairs, and the backpointers of a word's first HEAD letters.
+SHORT, WORDS, PAIRS, HEAD = 40, 1_200_000, 400_000, 7
 
 
 class Codec(dict):
@@ -61,6 +61,7 @@ class Codec(dict):
         #: Every end of a piece; the piece's id if it is one itself.
         self.tail = {s[i:]: None for s in self.id for i in range(len(s))} | self.id
         self.valid: dict[tuple[str, str], bool] = {}
+        self.heads: dict[str, list[str]] = {}
 
     def merged(self, text: str) -> list[str]:
         """A short text's pieces by repeated best merges."""
@@ -133,8 +134,18 @@ class Codec(dict):
     def ids(self, word: str) -> tuple[int, ...]:
         if len(word) <= SHORT:  # one window holds it
             last = [""]
-            for i in range(1, len(word) + 1):
-                last.append(self.choose(word, i, last))
+            if len(word) > HEAD:  # what stands for a beginning stands for every word that has it
+                head = word[:HEAD]
+                if head not in self.heads:
+                    if len(self.heads) >= WORDS:
+                        self.heads.clear()
+                    for i in range(1, HEAD + 1):
+                        last.append(self.choose(head, i, last))
+                    self.heads[head] = last
+                last = self.heads[head][:]
+            choose = self.choose
+            for i in range(len(last), len(word) + 1):
+                last.append(choose(word, i, last))
             pieces = self._path(last, len(word))
         else:
             pieces = self.stream(word)
@@ -149,7 +160,13 @@ class Codec(dict):
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         """word: without its first mark."""
-        found = self.ids(MARK + word)
+        found, end = None, word[-1:]
+        if end in (".", ",") and 1 < len(word) <= SHORT:  # where the end is a piece of its own, the word without it is remembered once
+            before = self[word[:-1]]
+            if isinstance(piece := self.piece[before[-1]], str) and self.pair(piece, end):
+                found = (*before, self.id[end])
+        if found is None:
+            found = self.ids(MARK + word)
         if len(word) <= SHORT:
             if len(self) >= WORDS:
                 self.clear()
