@@ -15,8 +15,9 @@ one of least hash (the anchor) is the same wherever the window is found, so only
 whose anchor lies in two documents can repeat: anchors are grouped first, then
 the windows of shared anchors get their smallest document id, and each document
 drops the words of windows that a smaller id has. Anchors with more than
-1/1024 of all anchor rows (Misra-Gries) are taken as shared without a shuffle,
-and their windows are salted. Words and windows are compared by
+1/1024 of all anchor rows (Misra-Gries) are taken as shared without a shuffle.
+Of their windows, those that very many documents have make a reference shard (1024 windows at most)
+with their smallest ids; its suffix automaton is broadcast and documents stream through it. Words and windows are compared by
 64-bit hashes. Rows with a null id are neither compared nor changed; rows that
 share an id count as one document; null text has no words. Extra columns are not read.
 """
@@ -28,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, heavy_keys, slices, table
+from .common import Words, cut, heavy_keys, slices, table
 
-WINDOW, ANCHOR, HEAVY, SALTS = 13, 8, 1024, 64
+WINDOW, ANCHOR, HEAVY = 13, 8, 1024
 
 
 def anchors_of(words: Words, window: int, anchor: int):
@@ -65,8 +66,8 @@ def _anchor_rows(window, anchor, skip):
     return run
 
 
-def _window_rows(window, anchor, hot):
-    hot = np.array(sorted(hot), dtype=np.int64)
+def _window_rows(window, anchor, skip):
+    skip = np.array(sorted(skip), dtype=np.int64)
 
     def run(batches):
         for batch in batches:
@@ -74,16 +75,47 @@ def _window_rows(window, anchor, hot):
             for a, b in slices(batch.column(1)):
                 words = Words(batch.column(1)[a:b])
                 least, whole = anchors_of(words, window, anchor)
-                at, least = np.flatnonzero(whole), least.view(np.int64)
-                crowded = np.isin(least[at], hot)
-                at = at[_member(words.row[at], least[at], shared[a:b]) | crowded]
-                gram, _ = words.grams(window)
-                columns = [pa.array(gram[at].view(np.int64)), pa.array(ids[a:b][words.row[at]]), pa.array(np.isin(least[at], hot))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "id", "hot"])
+                at = np.flatnonzero(whole)
+                at = at[_member(words.row[at], least[at].view(np.int64), shared[a:b])]
+                key = words.grams(window)[0][at].view(np.int64)
+                if len(skip):
+                    new = ~np.isin(key, skip)
+                    at, key = at[new], key[new]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[a:b][words.row[at]])], ["key", "id"])
+
+    return run
+
+
+def _hot_rows(window, anchor, hot):
+    """key, id, words of the windows whose anchor is hot."""
+    hot = np.array(sorted(hot), dtype=np.int64)
+
+    def run(batches):
+        for batch in batches:
+            ids = np.asarray(batch.column(0))
+            for a, b in slices(batch.column(1)):
+                words = Words(batch.column(1)[a:b])
+                least, whole = anchors_of(words, window, anchor)
+                at = np.flatnonzero(whole & np.isin(least.view(np.int64), hot))
+                key = words.grams(window)[0][at].view(np.int64)
+                text = [b" ".join(words.data[words.start[i] : words.end[i + window - 1]].tobytes().split()).decode() for i in at.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[a:b][words.row[at]]), pa.array(text, pa.string())], ["key", "id", "words"])
 
     return run
 
 
+def hot_windows(known: DataFrame, hot: list[int], window: int, anchor: int, k: int) -> list:
+    """(key, first_id, words) of the windows in more than 1/k of the rows that hot anchors have; k at most.
+
+    Summed before the shuffle; the driver gets k rows of `window` words at most.
+    """
+    if not hot:
+        return []
+    rows = cut(known.select("id", "text").mapInArrow(_hot_rows(window, anchor, hot), "key long, id long, words string").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.min("words").alias("words")))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    return rows.filter(F.col("n") * k > total).collect()
+
+
 def _member(row, key, lists) -> np.ndarray:
     """Whether key[i] is in lists[row[i]]; row ascends."""
     found = np.zeros(len(row), dtype=bool)
@@ -103,22 +135,36 @@ def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-def _clean(window):
+def _clean(window, hot):
+    """hot: (key, first_id, words) rows, the reference shard of passages that very many documents have."""
+    first = {r.key: r.first_id for r in hot}
+    keys = np.array(sorted(first), dtype=np.int64)
+    shard = [r.words.encode().split() for r in hot]
+
     def run(batches):
+        automaton = SuffixAutomaton(shard) if shard else None
         for batch in batches:
             counts, removed, kept = [], [], []
+            ids = batch.column(0).to_pylist()
             for a, b in slices(batch.column(1)):
                 part, lists = batch.column(1)[a:b], batch.column(2)[a:b]
                 words = Words(part)
                 edge = np.searchsorted(words.row, np.arange(b - a + 1))
-                gram, _ = words.grams(window)
+                gram = words.grams(window)[0].view(np.int64)
+                crowded = np.isin(gram, keys)
                 for r in range(b - a):
-                    i, n = edge[r], int(edge[r + 1] - edge[r])
+                    i, n, own = edge[r], int(edge[r + 1] - edge[r]), ids[a + r]
                     text = words.data[words.offsets[r] : words.offsets[r + 1]].tobytes().split()
-                    gone = 0
-                    if lists[r].is_valid and n >= window:
-                        starts = np.flatnonzero(np.isin(gram[i : i + n - window + 1].view(np.int64), np.asarray(lists[r].values)))
-                        out = covered(starts, n, window)
+                    gone, starts = 0, []
+                    if n >= window and own is not None:
+                        key = gram[i : i + n - window + 1]
+                        if lists[r].is_valid:
+                            starts.append(np.flatnonzero(np.isin(key, np.asarray(lists[r].values))))
+                        if crowded[i : i + n - window + 1].any():
+                            ends = [e for e, size in enumerate(automaton.statistics(text)) if size >= window]
+                            starts.append(np.array([e - window + 1 for e in ends if first[int(key[e - window + 1])] < own], dtype=np.int64))
+                    if starts:
+                        out = covered(np.concatenate(starts), n, window)
                         gone = int(out.sum())
                         text = [w for w, x in zip(text, out.tolist(), strict=True) if not x]
                     counts.append(n)
@@ -139,22 +185,16 @@ def dedup_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     group = Window.partitionBy("key")
     shared = rows.select("key", "id", (F.min("id").over(group) < F.max("id").over(group)).alias("shared")).filter("shared")
     lists = shared.groupBy("id").agg(F.collect_set("key").alias("keys"))
-    marked = known.join(lists, "id", "left").select("id", "text", "keys")
-
-    rows = marked.mapInArrow(_window_rows(window, anchor, hot), "key long, id long, hot boolean")
-    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0))
-    group = Window.partitionBy("key", "salt")
-    rows = rows.withColumn("low", F.min("id").over(group)).withColumn("high", F.max("id").over(group))
-    gone = rows.filter("not hot and low < id").select("id", "key")
-    if hot:  # windows of hot anchors lie in SALTS groups each, whose least ids are brought together
-        crowded = rows.filter("hot")
-        first = crowded.groupBy("key", "salt").agg(F.min("low").alias("low"), F.max("high").alias("high")).groupBy("key").agg(F.min("low").alias("first_id"), F.max("high").alias("last_id"))
-        first = first.filter("first_id < last_id").select("key", "first_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-        gone = gone.union(crowded.join(first, ["key", "salt"]).filter("id > first_id").select("id", "key"))
+    always = F.array(*[F.lit(v) for v in hot]).cast("array<long>")
+    marked = known.join(lists, "id", "left").select("id", "text", F.concat(F.coalesce("keys", F.array().cast("array<long>")), always).alias("keys"))
+
+    crowd = hot_windows(known, hot, window, anchor, heavy)
+    rows = marked.mapInArrow(_window_rows(window, anchor, [r.key for r in crowd]), "key long, id long")
+    gone = rows.select("key", "id", (F.min("id").over(group) < F.col("id")).alias("later")).filter("later")
     gone = gone.groupBy("id").agg(F.collect_set("key").alias("keys"))
     kept = known.join(gone, "id", "left").select("id", "text", "keys")
     rest = given.filter("id is null").select("id", "text", F.lit(None).cast("array<long>").alias("keys"))
-    return kept.union(rest).mapInArrow(_clean(window), "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
+    return kept.union(rest).mapInArrow(_clean(window, crowd), "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
 
 
 class SuffixAutomaton:
