@@ -8,10 +8,10 @@ is None and tests hold the rows against a brute-force version.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from quern.llm import exact_dedup, mixing, quality_rules, sentencepiece_codec, simhash
+from quern.llm.common import shared_folder
 
 
 def quality(spark, docs, sf_dir):
@@ -44,7 +44,7 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quern-pipeline-")
+    folder = shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         place = f"{folder}/pipeline-{uuid.uuid4().hex}-{name}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names; one of our own only where there is none, as in tests."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        context.setCheckpointDir(named := tempfile.mkdtemp(prefix="quern-checkpoint-"))
+    return named
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows as a reliable checkpoint in the folder that all executors share."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """The rows as a table in the folder that all executors share: no lineage, and sizes that the planner knows."""
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/quern-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
 
 
 def ascii_lower(text):

@@ -97,7 +97,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Every round gives each node's neighbours to the node's smallest neighbour:
     the larger ones first, then the smaller ones. It ends when a round changes
-    nothing; each round is checkpointed, so no lineage grows and a lost executor
+    nothing; each round is written to the shared folder, so no lineage grows and a lost executor
     costs one round.
     """
 
