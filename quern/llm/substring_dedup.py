@@ -81,13 +81,18 @@ def _window_rows(window, anchor, skip):
                 if len(skip):
                     new = ~np.isin(key, skip)
                     at, key = at[new], key[new]
+                order = np.lexsort((key, words.row[at]))  # a text that repeats itself sends a window once
+                at, key = at[order], key[order]
+                new = np.ones(len(at), dtype=bool)
+                new[1:] = (key[1:] != key[:-1]) | (words.row[at][1:] != words.row[at][:-1])
+                at, key = at[new], key[new]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[a:b][words.row[at]])], ["key", "id"])
 
     return run
 
 
 def _hot_rows(window, anchor, hot):
-    """key, id, words of the windows whose anchor is hot."""
+    """key, n, first_id, words of the windows whose anchor is hot, summed for each slice."""
     hot = np.array(sorted(hot), dtype=np.int64)
 
     def run(batches):
@@ -98,8 +103,13 @@ def _hot_rows(window, anchor, hot):
                 least, whole = anchors_of(words, window, anchor)
                 at = np.flatnonzero(whole & np.isin(least.view(np.int64), hot))
                 key = words.grams(window)[0][at].view(np.int64)
-                text = [b" ".join(words.data[words.start[i] : words.end[i + window - 1]].tobytes().split()).decode() for i in at.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[a:b][words.row[at]]), pa.array(text, pa.string())], ["key", "id", "words"])
+                # one row for each window of the slice: its rows, its smallest id, its words
+                each, first, where, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                least_id = np.full(len(each), np.iinfo(np.int64).max)
+                np.minimum.at(least_id, where, ids[a:b][words.row[at]])
+                text = [b" ".join(words.data[words.start[i] : words.end[i + window - 1]].tobytes().split()).decode() for i in at[first].tolist()]
+                columns = [pa.array(each), pa.array(count.astype(np.int64)), pa.array(least_id), pa.array(text, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "n", "first_id", "words"])
 
     return run
 
@@ -111,7 +121,7 @@ def hot_windows(known: DataFrame, hot: list[int], window: int, anchor: int, k: i
     """
     if not hot:
         return []
-    rows = cut(known.select("id", "text").mapInArrow(_hot_rows(window, anchor, hot), "key long, id long, words string").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.min("words").alias("words")))
+    rows = cut(known.select("id", "text").mapInArrow(_hot_rows(window, anchor, hot), "key long, n long, first_id long, words string").groupBy("key").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.min("words").alias("words")))
     total = rows.agg(F.sum("n")).first()[0] or 0
     return rows.filter(F.col("n") * k > total).collect()
 
