@@ -149,7 +149,7 @@ def import_status(incoming: DataFrame, existing: DataFrame, key: str, changed) -
     """incoming with status failed, created, updated or skipped."""
     known = existing.select(key, F.lit(True).alias("_known"), F.col("hash").alias("_hash"))
     met = incoming.join(known, key, "left")
-    status = F.when(F.col(key).isNull() | (F.col(key) == ""), "failed").when(F.col("_known").isNull(), "created").when(changed(F.col("hash"), F.col("_hash")), "updated").otherwise("skipped")
+    status = F.when(F.coalesce(F.col(key).cast("string"), F.lit("")) == "", "failed").when(F.col("_known").isNull(), "created").when(changed(F.col("hash"), F.col("_hash")), "updated").otherwise("skipped")
     return met.withColumn("status", status).drop("_known", "_hash")
 
 
