@@ -1,0 +1,370 @@
+"""The training-data operators against SQL, brute force and round trips, and on odd input."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pytest
+import sentencepiece
+import xxhash
+from pyspark.sql import functions as F
+
+from quern.llm import chat_format, common, exact_dedup, line_dedup, mixing, quality_rules, registry, secret_scan, sentencepiece_codec, simhash, substring_dedup, url_filter
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, key string, size long, id string, words string"
+
+
+@pytest.fixture(scope="module")
+def con():
+    con = duckdb.connect()
+    for p in Path(SF).glob("*.parquet"):
+        con.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    return con
+
+
+@pytest.fixture(scope="module")
+def corpus(con):
+    return con.sql("SELECT doc_id, text, source FROM documents ORDER BY doc_id").fetchall()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing names."""
+    long = " ".join(f"w{i % 977}." for i in range(120_000))
+    texts = [None, "", " \t\n\x0b", "One two three four five six seven eight nine ten eleven.", "ONE two three four five six seven eight nine ten eleven.", long, "x" * 50_000, "a\nb\n\n", "é中😀 ▁ \\<s>"]
+    rows = [(i, t, "en", [None, "a", "b"][i % 3], 1, "r", "k", 2, "i", "w") for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (None, texts[3], None, None, None, None, None, None, None, None), (None, None, *[None] * 8)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def same(df, rel):
+    names = sorted(df.columns)
+    assert sorted(rel.columns) == names
+    at = [rel.columns.index(n) for n in names]
+    assert sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_query_equals_its_sql(spark, con, name):
+    same(registry.QUERIES[name](spark, SF), con.sql(registry.ORACLE_SQL[name]))
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_empty_tables(spark, tmp_path, name):
+    for t in ("documents", "pages", "conversations"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert registry.QUERIES[name](spark, str(tmp_path)).count() == (1 if name.startswith("op6") else 0)
+
+
+# 1
+
+
+def test_ids_equal_the_library(spark, corpus):
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    for r, (_, text, _) in zip(sentencepiece_codec.op1_sentencepiece(spark, SF).orderBy("doc_id").collect(), corpus, strict=True):
+        assert r.ids == library.encode(text) and r.round_trip and r.n_ids == len(r.ids)
+
+
+def test_codec_on_any_text():
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    codec = sentencepiece_codec.Codec(Path(sentencepiece_codec.MODEL).read_bytes())
+    draw = random.Random(5)
+    texts = ["".join(draw.choice(" ab\n\té中😀theinon.,09<>s/▁") for _ in range(draw.randint(0, 60))) for _ in range(1500)]
+    texts += ["".join(draw.choice("theinoaér") for _ in range(30_000)), "." * 3000, " " * 3000]
+    for text in texts:
+        ids = codec.encode(text)
+        assert ids.tolist() == library.encode(text)
+        assert "▁" in text or codec.decode(ids) == text
+
+
+def test_window_is_bounded():
+    codec = sentencepiece_codec.Codec(Path(sentencepiece_codec.MODEL).read_bytes())
+    given = 0
+
+    def letters():
+        nonlocal given
+        for _ in range(20_000):
+            given += 1
+            yield "theino"[given % 6]
+
+    for done, piece in enumerate(codec.stream(letters())):
+        if done == 0:
+            assert given < 1100 and piece  # the first ids come long before the end
+
+
+def test_encode_odd(spark, odd):
+    rows = sentencepiece_codec.encode(odd).collect()
+    assert len(rows) == odd.count()
+    assert all(r.ids == [] and r.round_trip for r in rows if r.n_chars == 0)
+    back = sentencepiece_codec.decode(spark.createDataFrame([([],), (None,)], "ids array<int>")).collect()
+    assert [r.decoded for r in back] == ["", None]
+
+
+# 2
+
+
+def test_exact_dedup_odd(spark, odd):
+    rows = exact_dedup.assign(odd, k=2).collect()
+    assert len(rows) == odd.count()
+    by = {r.text_sha256: r for r in rows}
+    assert by[hashlib.sha256(b"").hexdigest()].keep_id == 1 and by[hashlib.sha256(b"").hexdigest()].group_size == 3
+    kept = exact_dedup.drop_copies(odd, k=2)
+    assert kept.columns == odd.columns and kept.count() == len(by)
+
+
+def test_heavy_and_ordinary_agree(spark):
+    rows = [(i, "hot" if i % 3 else f"t{i % 40}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    heavy = sorted(exact_dedup.assign(df, k=8).collect())
+    assert heavy == sorted(exact_dedup.assign(df, k=1).collect())
+    assert common.heavy_keys(df.select(F.xxhash64("text").alias("key")), 8)
+    assert exact_dedup.drop_copies(df, k=8).count() == len({t for _, t in rows})
+
+
+# 3
+
+
+def test_url_filter_cases(spark):
+    urls = [None, "", "no scheme porn", "http://WWW.Example.com/en/x", "http://a.example.com/en/", "http://net/es/1", "http://x.org/cheap-pills", "http://x.org/cheapish-pills", "http://x.org/a?q=XXX#f", "http://com", "http://scom/"]
+    rows = {r.url: r for r in url_filter.judge(spark.createDataFrame([(i, u, u) for i, u in enumerate(urls)], "page_id long, url string, host string"), "page_id").join(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string"), "page_id").collect()}
+    assert [rows[u].verdict for u in urls] == ["allow", "allow", "block", "allow", "block", "block", "block", "allow", "block", "allow", "allow"]
+    assert rows["http://WWW.Example.com/en/x"].rule == "www.example.com/en/" and rows["http://com"].rule is None and rows[None].host == ""
+
+
+# 4
+
+
+def test_line_dedup_paths_and_odd(spark, odd):
+    both = [sorted(line_dedup.remove_boilerplate(spark.read.parquet(f"{SF}/documents.parquet"), broadcast_lines=n).select("row.doc_id", "n_removed", "clean_text").collect()) for n in (0, 10**6)]
+    assert both[0] == both[1]
+    assert line_dedup.remove_boilerplate(odd, min_sites=1).count() == odd.count()
+    df = spark.createDataFrame([(i, f" line {i}\nshared", f"s{i}") for i in range(7)] + [(8, "shared\nonce", None)], "doc_id long, text string, source string")
+    assert {r.clean_text for r in line_dedup.remove_boilerplate(df).collect()} == {f" line {i}" for i in range(7)} | {"once"}
+    assert all(r.n_removed == 0 for r in line_dedup.remove_boilerplate(df, min_sites=8).collect())
+
+
+# 5
+
+
+def test_quality_odd(spark, odd):
+    rows = quality_rules.judge(odd).collect()
+    assert len(rows) == odd.count() and all(r.base_failed and not r.kept for r in rows if r.n_words < 10)
+    kept = quality_rules.clean(odd)
+    assert kept.columns == odd.columns and kept.count() == sum(r.kept for r in rows)
+    text = "Home | About | News | Contact\nA sentence of enough words to stay in here, really.\nWe use a cookie.\nAnother sentence that has some words in it, too."
+    (row,) = quality_rules.clean(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.text == "\n".join(text.split("\n")[1::2])
+
+
+# 6
+
+
+def test_chat_events_fold(spark):
+    log = [
+        (1, 0, 0, "message", "user", "hi"), (1, 1, 1, "delta", "assistant", "Hel"), (1, 1, 2, "delta", None, "lo"), (1, 1, 3, "regenerate", None, None), (1, 1, 4, "delta", None, "Good "),
+        (1, 1, 5, "delta", None, "day"), (1, 0, 6, "edit", None, "hello"), (1, 2, 7, "message", "tool", "</s><|x|>\\0"), (None, None, None, "message", None, None),
+    ]
+    df = spark.createDataFrame(random.Random(1).sample(log, len(log)), "conv_id long, turn long, seq long, kind string, role string, text string")
+    parts = chat_format.render(df).filter("conv_id = 1").orderBy("ord").collect()
+    assert [chat_format.read_back(p.formatted.removeprefix("<s>")) for p in parts] == [("user", "hello"), ("assistant", "Good day"), ("tool", "</s><|x|>\\0")]
+    assert [p.formatted[p.loss_start : p.loss_end] for p in parts] == ["", "Good day", ""]
+    assert "".join(p.formatted for p in parts).count("</s>") == 1
+    assert chat_format.digests(chat_format.render(df)).count() == 2
+
+
+def test_escape_round_trip():
+    draw = random.Random(2)
+    for _ in range(2000):
+        role, text = ("".join(draw.choice(["\\", "<", ">", "s", "/", "[", "INST", "]", "|", "<<SYS>>", "0", "\n", " "]) for _ in range(12)) for _ in range(2))
+        for who in ("user", "assistant", "system", role):
+            part, a, b = chat_format.render_turn(who, text)
+            assert chat_format.read_back(part) == (who, text)
+            assert not any(c in chat_format.escape(text) for c in chat_format.CONTROL)
+            assert chat_format.unescape(part[a:b]) == (text if who == "assistant" else "")
+
+
+# 7
+
+
+def brute_substrings(rows, window=13):
+    words = [(d, (t or "").encode().split()) for d, t in rows]
+    first = {}
+    for d, w in words:
+        for i in range(len(w) - window + 1) if d is not None else ():
+            k = tuple(w[i : i + window])
+            first[k] = min(first.get(k, d), d)
+    out = []
+    for d, w in words:
+        gone = np.zeros(len(w), bool)
+        for i in range(len(w) - window + 1) if d is not None else ():
+            if first[tuple(w[i : i + window])] < d:
+                gone[i : i + window] = True
+        out.append((d, len(w), int(gone.sum()), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("heavy", [64, 1024])
+def test_substring_dedup_brute(spark, corpus, heavy):
+    draw = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(d, t) for d, t, _ in corpus] + [(None, corpus[0][1]), (5000, None), (5001, ""), (5002, "und " * 500), (5003, "und " * 400), (5003, passage)]
+    for d in range(6000, 6400):
+        w = [f"{draw.choice('abc')}{draw.randint(0, 40)}" for _ in range(draw.randint(0, 60))]
+        rows.append((d, " ".join([*w, passage, *w[:5]] if d % 3 == 0 else w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = substring_dedup.dedup_corpus(df, heavy=heavy)
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_text").collect()), key=repr) == brute_substrings(rows)
+
+
+def test_reference_spans(spark):
+    reference = spark.createDataFrame([(" ".join(f"r{i}" for i in range(100)),), (None,)], "text string")
+    docs = spark.createDataFrame([(1, "a " + " ".join(f"r{i}" for i in range(5, 30)) + " b"), (2, " ".join(f"r{i}" for i in range(12))), (3, None)], "doc_id long, text string")
+    for size in (20, 1000):
+        got = {r.doc_id: (r.n_removed, r.kept_text) for r in substring_dedup.remove_reference_spans(docs, reference, shard_words=size).collect()}
+        assert got == {1: (25, "a b"), 2: (0, " ".join(f"r{i}" for i in range(12))), 3: (0, "")}
+
+
+def test_word_kernel(corpus):
+    import pyarrow as pa
+
+    texts = [t for _, t, _ in corpus[:40]] + ["", " x\x0by z\x85 ", "é", None, "a b"]
+    words = common.Words(pa.array(texts))
+    got = [[] for _ in texts]
+    for r, a, b in zip(words.row, words.start, words.end, strict=True):
+        got[r].append(words.data[a:b].tobytes())
+    assert got == [(t or "").encode().split() for t in texts]
+    seen = {}
+    for h, a, b in zip(words.hash.tolist(), words.start, words.end, strict=True):
+        assert seen.setdefault(h, words.data[a:b].tobytes()) == words.data[a:b].tobytes()
+
+
+# 8
+
+
+def test_mixing_contract(spark, corpus):
+    rows = mixing.op8_mixing(spark, SF).collect()
+    assert sorted(rows) == sorted(mixing.op8_mixing(spark, SF).collect())
+    source, size = {d: s for d, _, s in corpus}, {d: len(t.encode().split()) for d, t, _ in corpus}
+    total, by, taken = sum(size.values()), Counter(), Counter()
+    for r in rows:
+        assert r["size"] == size[r.doc_id] and 0 <= r.taken <= 2 * r["size"]
+        by[source[r.doc_id]] += r["size"]
+        taken[source[r.doc_id]] += r.taken
+    weight, target, left = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(by))}, dict.fromkeys(by, 0.0), 1.5 * total
+    free = set(by)
+    while free:  # share by weight, cap, share the rest again
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 2 * by[s]}
+        for s in over or free:
+            target[s] = 2.0 * by[s] if over else level * weight[s]
+        left, free = left - sum(target[s] for s in over), free - over if over else set()
+    for r in rows:
+        assert r.target == pytest.approx(target[source[r.doc_id]]) and r.source_size == by[source[r.doc_id]]
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] + 32 for s in by)
+
+
+def test_apportion_is_sainte_lague(spark):
+    draw = random.Random(4)
+    rows, want = [], {}
+    for g in range(30):
+        votes, seats = [draw.randint(1, 5000) for _ in range(draw.randint(1, 9))], draw.randint(0, 60)
+        got = [0] * len(votes)
+        for _ in range(seats):
+            i = max(range(len(votes)), key=lambda i: (votes[i] / (2 * got[i] + 1), -i))
+            got[i] += 1
+        want |= {(g, i): n for i, n in enumerate(got)}
+        rows += [(g, i, v, seats) for i, v in enumerate(votes)]
+    df = mixing.apportion(spark.createDataFrame(rows, "g int, i int, v long, seats long"), ["g"], "v", "seats", "i")
+    assert {(r.g, r.i): r.quota for r in df.collect()} == want
+
+
+def test_mixing_odd(spark, odd):
+    rows = mixing.mix(odd).collect()
+    assert len(rows) == odd.count() and all(r.taken <= 2 * r["size"] for r in rows)
+    mixed = mixing.take(odd)
+    assert mixed.columns == odd.columns
+    words = sum(len((r.text or "").encode().split()) for r in mixed.collect())
+    assert words == sum(r.taken for r in rows)
+
+
+# 9
+
+
+def test_forest_on_held_out_findings(spark):
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    held = secret_scan.judge(secret_scan.labelled_findings(spark, 1500, seed=99), model)
+    right = held.filter((F.col("label") == 1) == F.col("is_secret")).count() / 1500
+    assert right >= 0.97
+
+
+def test_scan(spark, odd, corpus):
+    token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    text = f'Some words. token = "{token}" and /assets/{token}.png and 4111111111111111 more.'
+    rows = secret_scan.scan(odd.select("doc_id", "text").union(spark.createDataFrame([(99, text)], "doc_id long, text string"))).collect()
+    mine = sorted((r for r in rows if r.doc_id == 99), key=lambda r: r.start)
+    assert [text[r.start : r.start + len(r.candidate)] for r in mine] == [r.candidate for r in mine]
+    assert [r.is_secret for r in mine] == [True, False, False]
+    found = {(r.doc_id, r.start): r.n_chars for r in secret_scan.op9_secret_scan(spark, SF).collect()}
+    want = {(d, m.start()): len(m[0]) for d, t, _ in corpus for m in re.finditer(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}", t) if re.search("[0-9]", m[0])}
+    assert found == want
+
+
+# 10
+
+
+def test_fingerprint_rule():
+    for text in ("", "A", "a B", "One two THREE four five four", "x y z " * 30):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+        shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        h = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles]
+        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        assert simhash.fingerprint(text) & (2**64 - 1) == want
+
+
+def roots(fps, bits):
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= bits:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(fps))]
+
+
+@pytest.mark.parametrize("bits", [0, 1, 2])
+def test_links_in_crowds(spark, bits):
+    draw = random.Random(6)
+    fps = [draw.getrandbits(64) for _ in range(60)] + [0]
+    while len(fps) < 400:  # chains and a crowd around a few values
+        fps.append(fps[draw.randrange(4) if draw.random() < 0.7 else draw.randrange(len(fps))] ^ (1 << draw.randrange(64)) ^ (1 << draw.randrange(64)))
+    fps = sorted({x - (1 << 64) if x >> 63 else x for x in fps})
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    for crowd in (4, 64):
+        found = {r.node: r.root for r in simhash.components(simhash.links(df, bits, crowd=crowd)).collect()}
+        assert [found.get(x, x) for x in fps] == [fps[i] for i in roots(fps, bits)]
+
+
+def test_simhash_query_brute(spark, corpus):
+    rows = simhash.op10_simhash_near_dedup(spark, SF).orderBy("doc_id").collect()
+    fps = [simhash.fingerprint(t) for _, t, _ in corpus]
+    assert [r.fingerprint for r in rows] == [f"{x & (2**64 - 1):016x}" for x in fps]
+    assert [r.component_id for r in rows] == [corpus[i][0] for i in roots(fps, 2)]
+
+
+def test_simhash_odd(spark, odd):
+    rows = simhash.near_groups(odd).collect()
+    assert len(rows) == odd.count()
+    assert {r.component_id for r in rows if r.fp == 0} == {0}
+    kept = simhash.drop_near_copies(odd)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {0, 3, 5, None}
