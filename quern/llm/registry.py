@@ -20,4 +20,5 @@ ORACLE_SQL = {
     "op4_line_dedup": line_dedup.SQL,
     "op5_quality_rules": quality_rules.SQL,
     "op6_chat_format": chat_format.SQL,
+    "op7_substring_dedup": substring_dedup.SQL,
 }

@@ -300,3 +300,16 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, id_col: str =
 def op7_substring_dedup(spark, sf_dir):
     clean = dedup_corpus(table(spark, sf_dir, "documents"))
     return clean.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(words) - 11)) AS i, words FROM d WHERE len(words) >= 13),
+k AS (SELECT doc_id, i, md5(array_to_string(words[i:i+12], ' ')) AS k FROM g),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first_id FROM k) WHERE first_id < doc_id),
+r AS (SELECT DISTINCT doc_id, i + o AS j FROM f, range(0, 13) AS s(o)),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM d),
+c AS (SELECT w.doc_id, count(*) AS n_words, count(r.j) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY w.j) FILTER (r.j IS NULL), '') AS kept
+  FROM w LEFT JOIN r ON w.doc_id = r.doc_id AND w.j = r.j GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN c ON d.doc_id = c.doc_id
+"""
