@@ -16,7 +16,7 @@ def query(sql: str | None = None):
     def put(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = f"WITH {MODEL}\n{sql}"
+            SQL[f.__name__] = f"WITH {MODEL}{sql}" if sql.startswith(",") else f"WITH {MODEL}\n{sql}"
         return f
 
     return put
