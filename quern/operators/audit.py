@@ -24,9 +24,14 @@ def summary(found: DataFrame, key: str) -> DataFrame:
 def repetition_loop(x, least: int = 8):
     """A substantive line `least` times or more: lines of 25 characters or more that aren't brackets alone."""
     lines = F.filter(F.transform(F.split(x, "\n"), F.trim), lambda line: (F.char_length(line) >= 25) & ~line.rlike(r"^[{}\[\],]+$"))
-    sorted_lines = F.array_sort(lines)
-    again = F.filter(sorted_lines, lambda line, i: line == F.get(sorted_lines, i + (least - 1)))
-    return F.size(again) > 0
+    # equal lines follow each other in the sorted array, so one fold finds the longest run
+    start = F.struct(F.lit("").alias("line"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(s, line):
+        run = F.when(line == s["line"], s["run"] + 1).otherwise(1)
+        return F.struct(line.alias("line"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
+
+    return F.aggregate(F.array_sort(lines), start, step, lambda s: s["most"]) >= least
 
 
 def stale(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
