@@ -135,3 +135,38 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
 
 def op8_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
+
+
+#: The same rules said plainly: all quotients are listed and ranked. For tables of the size of sf0.01.
+SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s0),
+s2 AS (SELECT *, CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s1),
+s3 AS (SELECT *, row_number() OVER (ORDER BY source_size / weight, place) AS rank, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
+  coalesce(sum(2 * source_size) OVER (ORDER BY source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+  coalesce(sum(weight) OVER (ORDER BY source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS passed FROM s2),
+lv AS (SELECT min(rank) AS at_rank, arg_min(150 * total - 100 * capped, rank) AS rest, arg_min(weights - passed, rank) AS open FROM s3
+  WHERE (150 * total - 100 * capped) * weight <= 200 * source_size * (weights - passed)),
+s4 AS (SELECT source, source_size, place, CASE WHEN rank < at_rank THEN (2 * source_size)::DOUBLE ELSE (rest * weight)::DOUBLE / (100 * open)::DOUBLE END AS target FROM s3, lv),
+s5 AS (SELECT *, greatest(16, least(4096, coalesce(floor((SELECT min(target) FROM s4 WHERE target > 0) / 256), 16)))::BIGINT AS block FROM s4),
+s6 AS (SELECT *, round((SELECT sum(target) FROM s4) / block)::BIGINT AS seats, ceil(greatest(source_size, 1) / 2000000)::BIGINT AS shards FROM s5),
+q1 AS (SELECT place, target, seats, unnest(range(1, seats + 1)) AS k FROM s6 WHERE target > 0),
+q2 AS (SELECT place, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, place) AS r, seats FROM q1),
+q3 AS (SELECT place, count(*) AS source_blocks FROM q2 WHERE r <= seats GROUP BY place),
+r AS (SELECT d.doc_id, d.size, s6.source_size, s6.target, s6.place, s6.block, coalesce(q3.source_blocks, 0) AS source_blocks, d.doc_id % s6.shards AS shard
+  FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source LEFT JOIN q3 ON q3.place = s6.place),
+h1 AS (SELECT place, shard, block, source_blocks, sum(size)::BIGINT AS words FROM r GROUP BY ALL),
+h2 AS (SELECT place, shard, words, source_blocks, unnest(range(1, source_blocks + 1)) AS k FROM h1 WHERE words > 0),
+h3 AS (SELECT place, shard, row_number() OVER (PARTITION BY place ORDER BY words / (2 * k - 1) DESC, shard) AS r, source_blocks FROM h2),
+h4 AS (SELECT place, shard, count(*) AS quota FROM h3 WHERE r <= source_blocks GROUP BY ALL),
+h5 AS (SELECT h1.place, h1.shard, ceil(words / block)::BIGINT AS n, coalesce(quota, 0) AS quota FROM h1 LEFT JOIN h4 ON h1.place = h4.place AND h1.shard = h4.shard),
+b1 AS (SELECT place, shard, n, least(quota, 2 * n) AS quota, unnest(range(0, n)) AS b FROM h5),
+b2 AS (SELECT *, row_number() OVER (PARTITION BY place, shard ORDER BY sha256('7|' || place || '|' || shard || '|' || b), b) AS drawn FROM b1),
+b3 AS (SELECT place, shard, b, quota // n + CASE WHEN drawn <= quota % n THEN 1 ELSE 0 END AS times FROM b2),
+e1 AS (SELECT *, sum(size) OVER (PARTITION BY place, shard ORDER BY doc_id)::BIGINT AS stop FROM r),
+e2 AS (SELECT *, stop - size AS start, unnest(range((stop - size) // block, (stop - 1) // block + 1)) AS b FROM e1 WHERE size > 0),
+t AS (SELECT e2.doc_id, sum((least(stop, (e2.b + 1) * block) - greatest(start, e2.b * block)) * times)::BIGINT AS taken
+  FROM e2 JOIN b3 ON e2.place = b3.place AND e2.shard = b3.shard AND e2.b = b3.b GROUP BY e2.doc_id)
+SELECT r.doc_id, r.size, r.source_size, r.target, coalesce(t.taken, 0)::BIGINT AS taken FROM r LEFT JOIN t ON r.doc_id = t.doc_id
+"""

@@ -21,4 +21,5 @@ ORACLE_SQL = {
     "op5_quality_rules": quality_rules.SQL,
     "op6_chat_format": chat_format.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
+    "op8_mixing": mixing.SQL,
 }
