@@ -178,3 +178,20 @@ def unique_slugs(rows: DataFrame, site: str = "site", order: str = "position") -
 
     given = again.groupBy(site, "slug").applyInPandas(give, rows.schema)
     return marked.filter("not _many").select(rows.columns).unionByName(given)
+
+
+def community(catalog: DataFrame, counts: DataFrame, order: list[str]) -> DataFrame:
+    """All options of the named dimensions in their order, with counts (zeroes too), totals and shares.
+
+    catalog: dimension, option, sort_order. counts: dimension, option, n; other dimensions are left out.
+    """
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("dimension"))
+    rows = catalog.withColumn("place", place.cast("int")).filter("place > 0").join(counts, ["dimension", "option"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    total = F.sum("n").over(Window.partitionBy("dimension"))
+    return rows.select("place", "dimension", "sort_order", "option", "n", total.alias("total"), numbers.percent(F.col("n"), total).alias("pct"))
+
+
+def natural_key(name):
+    """A sort key that ignores case and reads digits as numbers of up to 18 digits."""
+    parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.ltrim(p, F.lit("0")), 18, "0")).otherwise(p)), "")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import display
+from ..operators import catalogue as c
 from ..operators import records
 from . import model as m
 from .queries import query
@@ -44,3 +45,19 @@ def derived_sources(spark, d):
 def variant_fields(spark, d):
     reply = F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```"))
     return m.table(spark, d, "events").select("event_id", F.try_variant_get(display.json_in(reply), "$.k", "long").alias("k"))
+
+
+@query("""SELECT CASE d WHEN 'act' THEN 1 ELSE 2 END AS place, d AS dimension, o AS sort_order, x AS option, coalesce(n, 0) AS n, (sum(coalesce(n, 0)) OVER (PARTITION BY d))::BIGINT AS total,
+CASE WHEN sum(coalesce(n, 0)) OVER (PARTITION BY d) = 0 THEN 0 ELSE floor(100.0 * coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY d) + 0.5)::INT END AS pct
+FROM (VALUES ('act', 0, 'click'), ('act', 1, 'purchase'), ('act', 2, 'gift'), ('never', 0, 'none')) AS c(d, o, x) LEFT JOIN (SELECT option, sum(votes)::BIGINT AS n FROM counts GROUP BY 1) ON x = option""")
+def community_dimensions(spark, d):
+    counts = c.vote_counts(c.latest(m.votes(spark, d), ["user_id", "product_id"], [F.col("ts").desc(), F.col("vote_id").desc()])).groupBy("option").agg(F.sum("votes").alias("n")).withColumn("dimension", F.lit("act"))
+    catalog = spark.createDataFrame([("act", 0, "click"), ("act", 1, "purchase"), ("act", 2, "gift"), ("never", 0, "none"), ("hidden", 0, "view")], "dimension string, sort_order int, option string")
+    return c.community(catalog, counts, ["act", "never"])
+
+
+@query("SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_suppkey)::INT AS place FROM supplier")
+def natural_order(spark, d):
+    """One task ranks brands, which are one row each; a sorted listing without numbers is an orderBy on the key."""
+    s = m.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Shop "), F.col("s_suppkey").cast("string")).alias("name"))
+    return s.select("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(c.natural_key(F.col("name")), "id")).alias("place"))

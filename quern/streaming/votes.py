@@ -16,3 +16,14 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
     events = events.withWatermark("ts", late) if events.isStreaming else events
     found = events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return found.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def once(stream: DataFrame, keys: list[str], ts: str = "ts", late: str = "1 hour") -> DataFrame:
+    """The first row of each key; repeats within `late` of event time are dropped, and state older than that is let go."""
+    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys) if stream.isStreaming else stream.dropDuplicates(keys)
+
+
+def strays(results: DataFrame, launched: DataFrame, key: str) -> DataFrame:
+    """Results that belong to no launched work: a stream against a table."""
+    known = launched.select(key).distinct().withColumn("_launched", F.lit(True))
+    return results.join(known, key, "left").filter("_launched is null").drop("_launched")

@@ -46,3 +46,22 @@ def test_complete_isolates_failures(spark):
     df = spark.createDataFrame([("a",)], "prompt string")
     assert [r.reply for r in records.complete(df, lambda xs: [x * 2 for x in xs]).collect()] == ["aa"]
     assert [r.reply for r in records.complete(df, lambda xs: 1 / 0).collect()] == [None]
+
+
+def test_natural_key(spark):
+    from quern.operators.catalogue import natural_key
+
+    names = ["item 10", "Item 9", "item 09b", "a", "item"]
+    df = spark.createDataFrame([(n,) for n in names], "x string")
+    assert [r.x for r in df.orderBy(natural_key(F.col("x"))).collect()] == ["a", "item", "Item 9", "item 09b", "item 10"]
+
+
+def test_once_and_strays(spark, tmp_path):
+    from quern.streaming import votes
+
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:01:00"), (2, "2024-01-01 00:02:00")], "k int, t string").selectExpr("k", "cast(t as timestamp) ts")
+    rows.write.parquet(str(tmp_path / "r"))
+    stream = votes.strays(votes.once(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "r")), ["k"]), spark.createDataFrame([(2,)], "k int"), "k")
+    run = stream.writeStream.format("memory").queryName("strays").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert [r.k for r in spark.table("strays").collect()] == [1]
