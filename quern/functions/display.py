@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .text import slugify
 
+#: A fenced block in a model's reply.
+FENCE = r"```(?:json)?\s*([\s\S]*?)```"
+
 
 def _capital(w: Column) -> Column:
     """First letter upper, the rest as it is (initcap would lower it)."""
@@ -66,6 +69,6 @@ def image_type_of_url(url: Column) -> Column:
 def json_in(reply: Column) -> Column:
     """The JSON (variant) of a model's reply: fenced, bare, or from the first brace to the last; null if none parses."""
     bare = F.trim(reply)
-    fenced = F.regexp_extract(bare, r"```(?:json)?\s*([\s\S]*?)```", 1)
+    fenced = F.regexp_extract(bare, FENCE, 1)
     body = F.when(bare.rlike("```[\\s\\S]*```"), F.trim(fenced)).otherwise(bare)
     return F.coalesce(F.try_parse_json(body), F.try_parse_json(F.nullif(F.regexp_extract(body, r"(?s)\{.*\}", 0), F.lit(""))))

@@ -50,9 +50,9 @@ def is_all_caps(x: Column) -> Column:
 def brand_line(line: Column) -> Column:
     """A brand's name from a line of a raw list; null for counts, separators and blank lines."""
     line = F.trim(line)
-    name = F.coalesce(F.nullif(F.trim(F.regexp_extract(line, r"(?i)^\d+\s+Refine by Brand:\s*(.+)$", 1)), F.lit("")), line)
-    name = F.trim(F.regexp_replace(name, r"\s*\(\d+\)\s*$", ""))
-    return F.when(~line.rlike(r"^\d*$") & ~line.rlike(r"^[/\-=_*#.\s]+$"), F.nullif(name, F.lit("")))
+    name = F.coalesce(F.nullif(F.trim(F.regexp_extract(line, REFINED_BRAND, 1)), F.lit("")), line)
+    name = F.trim(F.regexp_replace(name, BRAND_COUNT, ""))
+    return F.when(~line.rlike(r"^\d*$") & ~line.rlike(SEPARATOR), F.nullif(name, F.lit("")))
 
 
 #: Wax labels, first match wins.
@@ -62,6 +62,13 @@ VESSEL = (("glass\\s+jar", "glass"), ("glass\\s+vessel", "glass"), ("in\\s+a\\s+
 #: Marks of page furniture in a description.
 FURNITURE = ("add to cart", "choose your size", "add to wishlist", "go to wishlist", "type your letters", "you may also like", "engraving", "out of stock", "best seller", "limited edition", "take a look at the product on your smartphone", "images are illustrative only", "complimentary delivery", "free samples with purchase")
 
+#: Patterns of burn time, scent family, counted brand lines, their counts and separators.
+BURN_TIME = r"(?i)(?:burn(?:ing)?\s*time|burns?\s+for|up\s+to)\s*:?\s*(?:up\s+to\s+)?(\d+)\s*(?:hours?|hrs?)\b"
+SCENT_FAMILY = r"(?i)olfactive\s+family:\s*([^\n.]+)"
+REFINED_BRAND, BRAND_COUNT, SEPARATOR = r"(?i)^\d+\s+Refine by Brand:\s*(.+)$", r"\s*\(\d+\)\s*$", r"^[/\-=_*#.\s]+$"
+#: A price beside a cart.
+PRICED = r"£\s*\d|[$€]\s*\d|\bqty\b"
+
 
 def wax_type(x: Column) -> Column:
     return first_match(F.lower(x), WAX)
@@ -72,11 +79,11 @@ def vessel_material(x: Column) -> Column:
 
 
 def burn_time_hours(x: Column) -> Column:
-    return F.regexp_extract(x, r"(?i)(?:burn(?:ing)?\s*time|burns?\s+for|up\s+to)\s*:?\s*(?:up\s+to\s+)?(\d+)\s*(?:hours?|hrs?)\b", 1).try_cast("int")
+    return F.regexp_extract(x, BURN_TIME, 1).try_cast("int")
 
 
 def scent_summary(x: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(x, r"(?i)olfactive\s+family:\s*([^\n.]+)", 1)), F.lit(""))
+    return F.nullif(F.trim(F.regexp_extract(x, SCENT_FAMILY, 1)), F.lit(""))
 
 
 def noisy_description(x: Column) -> Column:
@@ -85,7 +92,7 @@ def noisy_description(x: Column) -> Column:
     marks = sum((low.contains(m).cast("int") for m in FURNITURE), F.lit(0))
     lines = F.filter(F.transform(F.split(x, "\n"), F.trim), lambda line: line != "")
     short = F.size(F.filter(lines, lambda line: F.char_length(line) < 28))
-    priced = low.rlike(r"£\s*\d|[$€]\s*\d|\bqty\b") & (low.contains("add to cart") | low.contains("choose your size"))
+    priced = low.rlike(PRICED) & (low.contains("add to cart") | low.contains("choose your size"))
     return F.coalesce((F.char_length(F.trim(x)) < 40) | (marks >= 2) | ((F.size(lines) >= 12) & (short >= 0.55 * F.size(lines))) | priced, F.lit(True))
 
 

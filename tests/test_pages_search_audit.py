@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def shop(spark):
-    ld = '<script type="application/ld+json">{"@graph": [{"@type": "WebPage"}, {"@type": ["Product"], "name": "Feu", "sku": "s1", "offers": [{"price": "45.00", "priceCurrency": "EUR"}]}]}</script>'
+    ld = '<script type="application/ld+json">{"@graph": [{"@type": "WebPage"}, {"@type": ["Product"], "name": "Fire", "sku": "s1", "offers": [{"price": "45.00", "priceCurrency": "EUR"}]}]}</script>'
     grid = "".join(f'<li class="tile big"><a href="/p/{i}">P{i}</a><img src="{i}.png"></li>' for i in range(4))
     html = f'<html><head>{ld}<script type="application/ld+json">{{bad</script></head><body><ul>{grid}</ul><p>Caf&eacute; &amp; co</p><a href="/p/1">again</a></body></html>'
     return spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
@@ -17,7 +17,7 @@ def shop(spark):
 
 def test_json_ld(shop):
     (row,) = pages.products(pages.json_ld(shop)).collect()
-    assert (row.page_id, row.name, row.sku, row.price, row.currency) == (1, "Feu", "s1", "45.00", "EUR")
+    assert (row.page_id, row.name, row.sku, row.price, row.currency) == (1, "Fire", "s1", "45.00", "EUR")
 
 
 def test_text_and_links(shop):
@@ -35,21 +35,21 @@ def test_elements(shop):
 
 @pytest.fixture(scope="module")
 def seed(spark):
-    rows = [("prod-feu", "Feu de Bois", "Diptyque", "wood smoke", "woody birch"), ("prod-bakery", "Bakery", "Maison", "flour and sugar", "gourmand flour milk"), ("prod-x", "Plain", None, None, "birch")]
+    rows = [("prod-fire", "Fire of Wood", "Nordic", "wood smoke", "woody birch"), ("prod-bakery", "Bakery", "Maison", "flour and sugar", "gourmand flour milk"), ("prod-x", "Plain", None, None, "birch")]
     return search.postings(spark.createDataFrame(rows, "product_id string, name string, brand string, description string, notes string"), "product_id", ["name", "brand", "description", "notes"])
 
 
 @pytest.mark.parametrize(
     ("query", "want"),
-    [("flour", "bakery"), ("FLOUR milk", "bakery"), ("flour OR birch", "feu bakery x"), ("birch NOT smoke", "x"), ('"feu de"', "feu"), ('"de feu"', ""), ("dip*", "feu"), ("notes:wood*", "feu"),
-     ("description:birch", ""), ("(flour OR smoke) NOT milk", "feu"), ("a-b", ""), ("", ""), ("NOT flour", ""), ('"flour and sugar', "bakery"), ('"birch wood"', "")],
+    [("flour", "bakery"), ("FLOUR milk", "bakery"), ("flour OR birch", "fire bakery x"), ("birch NOT smoke", "x"), ('"fire of"', "fire"), ('"of fire"', ""), ("nor*", "fire"), ("notes:wood*", "fire"),
+     ("description:birch", ""), ("(flour OR smoke) NOT milk", "fire"), ("a-b", ""), ("", ""), ("NOT flour", ""), ('"flour and sugar', "bakery"), ('"birch wood"', "")],
 )
 def test_search(seed, query, want):
     assert {r.product_id for r in search.search(seed, "product_id", query).collect()} == {f"prod-{w}" for w in want.split()}
 
 
 def test_facets_on_the_seed(spark):
-    products = spark.createDataFrame([(1, "Feu de Bois", "candle", "diptyque"), (2, "Bakery", "candle", "maison")], "product_id int, name string, category_slug string, brand_slug string")
+    products = spark.createDataFrame([(1, "Fire of Wood", "candle", "nordic"), (2, "Bakery", "candle", "maison")], "product_id int, name string, category_slug string, brand_slug string")
     ratings = spark.createDataFrame([(1, 4.4), (2, 3.9)], "product_id int, rating_avg double")
     notes = spark.createDataFrame([(1, "birch"), (2, "flour"), (2, "milk")], "product_id int, note string")
     votes = spark.createDataFrame([(1, "winter", 3), (1, "strong", 1), (2, "winter", 2), (2, "strong", 0)], "product_id int, option string, votes int")
@@ -75,10 +75,10 @@ def test_audit(spark):
 
 
 def test_worklist_prefers_slug(spark):
-    lines = spark.createDataFrame([("Acqua di Parma", 0), ("Dip Tyque", 1), ("None", 2)], "name string, place int")
-    sites = spark.createDataFrame([("old", "acquadiparma", 1, True, 0), ("acqua-di-parma", "x", 0, False, 1), ("d", "Diptyque", 2, False, 2)], "folder string, brand string, products int, assembled boolean, place int")
+    lines = spark.createDataFrame([("Aqua di Roma", 0), ("Nor Dic", 1), ("None", 2)], "name string, place int")
+    sites = spark.createDataFrame([("old", "aquadiroma", 1, True, 0), ("aqua-di-roma", "x", 0, False, 1), ("d", "Nordic", 2, False, 2)], "folder string, brand string, products int, assembled boolean, place int")
     got = {r.name: (r.folder, r.status) for r in audit.worklist(lines, sites).collect()}
-    assert got == {"Acqua di Parma": ("acqua-di-parma", "configured"), "Dip Tyque": ("d", "captured"), "None": (None, "not-started")}
+    assert got == {"Aqua di Roma": ("aqua-di-roma", "configured"), "Nor Dic": ("d", "captured"), "None": (None, "not-started")}
 
 
 @pytest.mark.parametrize("name", ["html_to_text", "dom_signature_groups", "locator_best"])

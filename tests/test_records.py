@@ -10,7 +10,7 @@ def values(spark, column, *given):
 
 
 def test_labels(spark):
-    assert values(spark, lambda h: display.brand_of_host(h)["name"], "www.acqua-di_parma.com") == ["Acqua Di Parma"]
+    assert values(spark, lambda h: display.brand_of_host(h)["name"], "www.aqua-di_roma.com") == ["Aqua Di Roma"]
     assert values(spark, lambda h: display.brand_of_folder(h)["slug"], "my_shop_com") == ["my-shop-com"]
     assert values(spark, display.stockist, "https://www.shop.co.uk/p", "no url", None) == ["Shop", "Stockist", "Stockist"]
     assert values(spark, lambda e: display.username(F.lit("a"), F.substring_index(e, "@", 1)), "Jo.Doe@x.com", "a@x") == ["jo_doe", None]
