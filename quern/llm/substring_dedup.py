@@ -5,8 +5,8 @@ Two forms share the word and window rules.
 `remove_reference_spans` is the method named for this operator: suffix automata
 of reference shards are broadcast, documents stream through them for matching
 statistics, and maximal matches of at least `window` words are removed. Each shard
-holds at most `shard_words` words, so what is broadcast has a fixed bound, and
-shards take turns. Its work is shards x documents: right for a reference set of
+holds at most `shard_words` words and all at most `most_words` (a larger reference is
+refused), so what is broadcast has a fixed bound. Its work is shards x documents: right for a reference set of
 fixed size, and quadratic where the reference is the corpus itself.
 
 `dedup_corpus` is for that case. A window (13 words in a row) goes when its words
@@ -256,7 +256,7 @@ class SuffixAutomaton:
             yield size
 
 
-def remove_reference_spans(docs: DataFrame, reference: DataFrame, id_col: str = "doc_id", text_col: str = "text", reference_col: str = "text", window: int = WINDOW, shard_words: int = 200_000) -> DataFrame:
+def remove_reference_spans(docs: DataFrame, reference: DataFrame, id_col: str = "doc_id", text_col: str = "text", reference_col: str = "text", window: int = WINDOW, shard_words: int = 200_000, most_words: int = 1_000_000) -> DataFrame:
     """docs' id, n_words, n_removed, kept_text after removing every match of at least `window` words with the reference.
 
     Shards of at most `shard_words` words come one at a time to the driver (a longer
@@ -264,7 +264,7 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, id_col: str =
     broadcast as automata; documents pass all of them in one scan.
     """
     spark = docs.sparkSession
-    shards, texts, held = [], [], 0
+    shards, texts, held, total = [], [], 0, 0
     for row in reference.select(F.col(reference_col).alias("t")).filter("t is not null").toLocalIterator():
         words = row.t.encode().split()
         step = max(1, shard_words - window + 1)
@@ -275,6 +275,9 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, id_col: str =
                 texts, held = [], 0
             texts.append(piece)
             held += len(piece)
+            total += len(piece)
+            if total > most_words:
+                raise ValueError(f"the reference has over {most_words} words; dedup_corpus is for such")
     if texts:
         shards.append(spark.sparkContext.broadcast(texts))
 

@@ -227,6 +227,8 @@ def test_reference_spans(spark):
     for size in (20, 1000):
         got = {r.doc_id: (r.n_removed, r.kept_text) for r in substring_dedup.remove_reference_spans(docs, reference, shard_words=size).collect()}
         assert got == {1: (25, "a b"), 2: (0, " ".join(f"r{i}" for i in range(12))), 3: (0, "")}
+    with pytest.raises(ValueError, match="over 50 words"):
+        substring_dedup.remove_reference_spans(docs, reference, most_words=50)
 
 
 def test_word_kernel(corpus):
