@@ -19,7 +19,7 @@ _GAP[list(WHITESPACE)] = True
 _BYTE = np.random.Generator(np.random.PCG64(20240117)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _GRAM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Text bytes that the hash kernels hold at once; a longer text is taken alone.
-KERNEL_BYTES = 1 << 20
+KERNEL_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,8 +114,8 @@ class Words:
         return mix(h), self.row[:size] == self.row[n - 1 : n - 1 + size] if size else np.zeros(0, dtype=bool)
 
 
-def heavy_keys(keys: DataFrame, k: int = 1024, least: int = 32) -> list[int]:
-    """Misra-Gries over a bigint column `key`: all keys with over 1/k of all rows, and none with under 3/(4k) or `least`.
+def heavy_keys(keys: DataFrame, k: int = 1024, least: int = 32, rows_of=iter) -> list[int]:
+    """Misra-Gries over a bigint column, the first of what `rows_of` makes of the batches of `keys`: all keys with over 1/k of all rows, and none with under 3/(4k) or `least`.
 
     Each partition keeps 4k counters; a batch's counts are added and, where more
     than 4k stay above zero, the (4k+1)th largest is taken from all. Sums of the partitions'
@@ -126,7 +126,7 @@ def heavy_keys(keys: DataFrame, k: int = 1024, least: int = 32) -> list[int]:
 
     def summaries(batches):
         held, count, rows = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-        for batch in batches:
+        for batch in rows_of(batches):
             key, n = np.unique(np.asarray(batch.column(0).drop_null()), return_counts=True)
             rows += int(n.sum())
             both, where = np.unique(np.concatenate([held, key]), return_inverse=True)

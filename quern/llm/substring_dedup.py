@@ -189,7 +189,7 @@ def dedup_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: id, n_words, n_removed, kept_text (words joined by one space)."""
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = given.filter("id is not null")
-    hot = heavy_keys(known.select("id", "text").mapInArrow(_anchor_rows(window, anchor, []), "key long, id long").select("key"), heavy)
+    hot = heavy_keys(known.select("id", "text"), heavy, rows_of=_anchor_rows(window, anchor, []))
 
     rows = known.mapInArrow(_anchor_rows(window, anchor, hot), "key long, id long")
     group = Window.partitionBy("key")
