@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def slices(column: pa.Array):
     """Runs of rows (first, after last) whose texts have at most KERNEL_BYTES together, or one row."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))
+    lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0))
     first = total = 0
     for i, n in enumerate(lengths.tolist()):
         if total + n > KERNEL_BYTES and i > first:
@@ -75,7 +76,7 @@ class Words:
     """The words of some texts as arrays: start, end (byte offsets), row, hash (64 bits)."""
 
     def __init__(self, column: pa.Array):
-        column = pa.compute.fill_null(column, "").cast(pa.large_utf8())
+        column = pc.fill_null(column, "").cast(pa.large_utf8())
         column = pa.concat_arrays([column])
         offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
         buffer = column.buffers()[2]
