@@ -25,8 +25,8 @@ def exact(spark, docs, sf_dir):
 
 
 def near(spark, docs, sf_dir):
-    """Of each group of near copies the smallest doc_id stays."""
-    return simhash.drop_near_copies(docs)
+    """Of each group of near copies (close fingerprints, or five-word shingles with a similarity of 0.8 or more) the smallest doc_id stays."""
+    return simhash.drop_near_copies(docs, jaccard=True)
 
 
 def mixed(spark, docs, sf_dir):

@@ -14,6 +14,12 @@ values are at most 2 apart just when their balls of radius 1 meet, so
 each member sends itself and its 64 one-bit neighbours, and a meeting point has
 at most 65 members. Components come from min-label star contraction on the links.
 Rows with a null id get a fingerprint and their group's component, but name none.
+
+With `jaccard` (the pipeline's stage) texts whose sets of five-word shingles have a similarity of
+4/5 or more are linked too. That join is exact: a set with a partner shares all but a fifth of its
+shingles, which is told by a third of them first and by all of them for the sets that are left;
+two partners then meet on one of the rarest fifth of each, and all pairs are verified. On a shingle all sets meet
+the smallest one first; only those that these stars leave in different components meet one another.
 """
 
 from __future__ import annotations
@@ -26,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import Words, ascii_lower, cut, mix, slices, table
 
-BLOCKS, CROWD = 5, 64
+BLOCKS, CROWD, WIDE, SAMPLE = 5, 64, 5, 3
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -124,23 +130,120 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
+def gram_sets(texts: pa.Array, sample: int = 1):
+    """key, n and grams of each text: a digest and the size of its set of five-word shingles, and those with a hash divisible by `sample`."""
+    for first, last in slices(texts):
+        words = Words(texts.slice(first, last - first))
+        gram, whole = words.grams(WIDE)
+        row, gram = words.row[: len(gram)][whole], gram[whole]
+        order = np.lexsort((gram, row))
+        row, gram = row[order], gram[order]
+        new = np.ones(len(gram), dtype=bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
+        row, gram = row[new], gram[new]
+        n = np.bincount(row, minlength=last - first)
+        key = n.astype(np.uint64)
+        np.add.at(key, row, mix(gram + np.uint64(1)))
+        taken = gram % np.uint64(sample) == 0
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[taken], minlength=last - first))])
+        grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(gram[taken].view(np.int64)))
+        yield first, last, pa.array(key.view(np.int64)), pa.array(n, pa.int64()), grams
+
+
+def described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """id, fp, text_key of every row, with key, n and a sample of its set of five-word shingles."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b, key, n, grams in gram_sets(batch.column(2), SAMPLE):
+                values = [fingerprint(t.as_py(), shingle) for t in batch.column(2).slice(a, b - a)]
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.int64()), part.column(1), key, n, grams], ["id", "fp", "text_key", "key", "n", "grams"])
+
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), ascii_lower(F.col(text_col)).alias("text"))
+    return given.mapInArrow(run, "id long, fp long, text_key long, key long, n long, grams array<long>")
+
+
+def shared_sets(docs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
+    """key, n and the grams that other sets have too, rarest first, of every set that can have a partner."""
+    slack = F.floor(F.col("n") / 5)  # of n shingles, all but so many are in a partner
+    part = rows.filter("n > 0").withColumn("size", F.size("grams"))
+    gram = part.select("key", "n", "size", F.explode("grams").alias("gram"))
+    often = gram.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1").select("gram")
+    met = gram.join(often, "gram").groupBy("key", "n", "size").agg(F.count("*").alias("met")).filter(F.col("met") >= F.col("size") - slack).select("key")
+    left = met.union(part.filter(F.col("size") <= slack).select("key"))
+    texts = cut(part.join(left, "key", "left_semi").select(F.col("text_key").alias("_key")).distinct())
+
+    def run(batches):
+        for batch in batches:
+            for _, _, key, n, grams in gram_sets(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([key, n, grams], ["key", "n", "grams"])
+
+    given = docs.join(texts, F.xxhash64(text_col) == F.col("_key"), "left_semi").select(ascii_lower(F.col(text_col)).alias("text"))
+    sets = cut(given.mapInArrow(run, "key long, n long, grams array<long>").dropDuplicates(["key"]))
+    gram = sets.select("key", "n", F.explode("grams").alias("gram"))
+    often = gram.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
+    found = gram.join(often, "gram").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
+    return found.filter(F.size("grams") >= F.col("n") - slack).select("key", "n", F.col("grams.gram").alias("grams"))
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (x, y) of keys whose sets have a similarity of 4/5 or more."""
+    one, other = (sets.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("grams").alias(f"g_{k}")) for k in "xy")
+    met = pairs.join(one, "x").join(other, "y")
+    return met.filter(9 * F.size(F.array_intersect("g_x", "g_y")) >= 4 * (F.col("n_x") + F.col("n_y"))).select("x", "y")
+
+
+def jaccard_roots(docs: DataFrame, rows: DataFrame, near: DataFrame, text_col: str) -> DataFrame:
+    """components of the links `near` of fingerprints and of all similar sets of five-word shingles."""
+    sets = cut(shared_sets(docs, rows, text_col))
+    names = cut(rows.join(sets, "key", "left_semi").select("key", "fp").distinct())
+    name = cut(names.groupBy("key").agg(F.min("fp").alias("least")))
+    copies = names.join(name, "key").filter("fp > least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+
+    def named(pairs):
+        x, y = name.select(F.col("key").alias("x"), F.col("least").alias("p")), name.select(F.col("key").alias("y"), F.col("least").alias("q"))
+        met = pairs.join(x, "x").join(y, "y")
+        return met.filter("p != q").select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b"))
+
+    # the grams that no other set has are the rarest of all, so they fill the first places
+    places = (F.floor(F.col("n") / 5) + 1 - (F.col("n") - F.size("grams"))).cast("int")
+    index = cut(sets.select("key", "n", F.explode(F.slice("grams", 1, places)).alias("gram")))
+    group = cut(index.groupBy("gram").agg(F.min(F.struct("key", "n")).alias("first"), F.count("*").alias("size")).filter("size > 1"))
+    sized = 5 * F.least("n", "m") >= 4 * F.greatest("n", "m")
+    met = index.join(group, "gram").withColumn("m", F.col("first.n"))
+    stars = met.filter((F.col("key") != F.col("first.key")) & sized).select(F.col("first.key").alias("x"), F.col("key").alias("y")).distinct()
+    roots = cut(components(near.union(copies).union(named(alike(cut(stars), sets)))))
+
+    root = name.join(roots.withColumnRenamed("node", "least"), "least", "left").select("key", F.coalesce("root", "least").alias("root"))
+    index = index.join(group.filter("size > 2").select("gram", F.col("first.key").alias("first")), "gram").join(root, "key")
+    parts = index.groupBy("gram", "root").agg(F.count("*").alias("size"))
+    apart = parts.groupBy("gram").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    index = cut(index.join(apart, "gram").filter("key != first"))
+    other = index.select("gram", F.col("key").alias("other"), F.col("n").alias("m"), F.col("root").alias("its"))
+    left = index.filter("root != main").join(other, "gram").filter(sized & F.expr("root != its and (its = main or key < other)"))
+    left = left.select(F.least("key", "other").alias("x"), F.greatest("key", "other").alias("y")).distinct()
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a > b").union(named(alike(cut(left), sets))))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2, jaccard: bool = False) -> DataFrame:
     """One row per input row: id, fp, text_key, component_id (smallest id of its group, itself included)."""
-    rows = cut(fingerprints(docs, id_col, text_col, shingle))
+    rows = cut((described if jaccard else fingerprints)(docs, id_col, text_col, shingle))
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
-    roots = components(links(distinct, bits))
+    near = links(distinct, bits)
+    roots = jaccard_roots(docs, rows, near, text_col) if jaccard else components(near)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     groups = named.join(least, "root").select("fp", "component_id")
     return rows.join(groups, "fp").select(F.col("id").alias(id_col), "fp", "text_key", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2, jaccard: bool = False) -> DataFrame:
     """The rows that stay, with all their columns: of each group the one with the smallest id.
 
     Rows with a null id stay; so do repeated rows of the id that stays.
     """
-    groups = near_groups(docs, id_col, text_col, shingle, bits)
+    groups = near_groups(docs, id_col, text_col, shingle, bits, jaccard)
     gone = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
     return docs.join(gone, (F.col(id_col) == F.col("gone_id")) & (F.xxhash64(text_col) == F.col("gone_key")), "left_anti")
 
