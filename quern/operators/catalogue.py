@@ -153,31 +153,60 @@ def import_status(incoming: DataFrame, existing: DataFrame, key: str, changed) -
     return met.withColumn("status", status).drop("_known", "_hash")
 
 
+def _same(names, other):
+    """Null-safe equality of columns with those that have `other` before their names."""
+    cond = F.lit(True)
+    for n in names:
+        cond = cond & F.col(n).eqNullSafe(F.col(f"{other}{n}"))
+    return cond
+
+
+def numbered(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """rows with _n, 1, 2, ... within keys in order (nulls last), and the pieces it is counted by: _piece, _from (rows of the keys before it) and _size.
+
+    A hash sample of 1,024 rows gives 64 ranges of the order; pieces of a key are counted apart and get
+    offsets, at most 64 a key, so no task holds all rows of a frequent key.
+    """
+    at = rows.withColumn("_at", F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("value"), F.xxhash64(*rows.columns).alias("tie")))
+    sample = at.select("_at").orderBy("_at.tie", "_at").limit(1024).agg(F.sort_array(F.collect_list("_at")).alias("s"))
+    bounds = sample.select(F.filter("s", lambda x, i: i % 16 == 15).alias("_bounds"))
+    at = at.crossJoin(F.broadcast(bounds)).withColumn("_piece", F.size(F.filter("_bounds", lambda x: x < F.col("_at")))).drop("_bounds")
+    pieces = at.groupBy(*keys, "_piece").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_piece")) - F.col("_size")
+    pieces = pieces.withColumn("_from", before).withColumnsRenamed({k: f"_of_{k}" for k in [*keys, "_piece"]})
+    at = at.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy("_at")))
+    met = at.join(pieces, _same([*keys, "_piece"], "_of_")).withColumn("_n", F.col("_n") + F.col("_from"))
+    return met.drop("_at", *[f"_of_{k}" for k in [*keys, "_piece"]])
+
+
 def unique_slugs(rows: DataFrame, site: str = "site", order: str = "position") -> DataFrame:
     """rows with slug made unique within a site, -2, -3, ... in order; a suffix already in use is passed over.
 
-    Slugs that occur once never change and don't reach Python; the rest are grouped by site and stem, where
-    what is taken elsewhere comes along as a list of that stem's suffixed forms.
+    Slugs that occur once never change. The n-th row of a repeated slug gets its n-th free suffix: n + 1 and one more
+    for each suffix in use that has fewer than n free ones below it, counted within pieces.
     """
-    many = F.count("*").over(Window.partitionBy(site, "slug")) > 1
-    marked = rows.withColumn("_many", many & F.col("slug").isNotNull() & (F.col("slug") != ""))
-    stem = F.regexp_replace("slug", r"-\d+$", "")
-    taken = marked.filter("not _many").withColumn("_stem", stem).groupBy(site, "_stem").agg(F.collect_set("slug").alias("_taken"))
-    again = marked.filter("_many").withColumn("_stem", F.col("slug")).join(taken, [site, "_stem"], "left").drop("_many", "_stem")
-    fields = [f for f in rows.schema.fields]
-
-    def give(part):
-        part = part.sort_values(order)
-        used, n, slugs = set(part["_taken"].iloc[0] if part["_taken"].iloc[0] is not None else ()), 2, []
-        for slug in part["slug"]:
-            while f"{slug}-{n}" in used:
-                n += 1
-            slugs.append(f"{slug}-{n}")
-            n += 1
-        return part.assign(slug=slugs)[[f.name for f in fields]]
-
-    given = again.groupBy(site, "slug").applyInPandas(give, rows.schema)
-    return marked.filter("not _many").select(rows.columns).unionByName(given)
+    keys = [site, "slug"]
+    count = rows.filter("slug != ''").groupBy(*keys).agg(F.count("*").alias("_count")).filter("_count > 1").select(*[F.col(k).alias(f"_of_{k}") for k in keys])
+    again = rows.join(count, _same(keys, "_of_"), "left_semi")
+    once = rows.join(count, _same(keys, "_of_"), "left_anti")
+
+    row = numbered(again, keys, order)
+    piece = row.select(*keys, "_piece", "_from", "_size").distinct()
+    suffix = F.regexp_extract("slug", r"-([1-9]\d{0,17})$", 1)
+    taken = once.withColumn("_k", suffix).filter("_k != ''").select(site, F.expr("left(slug, length(slug) - length(_k) - 1)").alias("slug"), F.col("_k").cast("long").alias("_k"))
+    taken = taken.filter("_k > 1").join(count, _same(keys, "_of_"), "left_semi")
+    taken = numbered(taken, keys, "_k").select(*[F.col(k).alias(f"_of_{k}") for k in keys], (F.col("_k") - 1 - F.col("_n")).alias("_free"))
+    met = piece.join(taken, _same(keys, "_of_"))
+    below = met.groupBy(*keys, "_piece").agg(F.count_if(F.col("_free") < F.col("_from")).alias("_below")).withColumnsRenamed({k: f"_of_{k}" for k in [*keys, "_piece"]})
+    inside = met.filter("_free >= _from and _free < _from + _size").select(*keys, "_piece", F.col("_free").alias("_place"), F.lit(0).alias("_kind"))
+
+    both = row.drop("_from", "_size").withColumn("_place", F.col("_n") - 1).withColumn("_kind", F.lit(1)).unionByName(inside, allowMissingColumns=True)
+    passed = F.count_if(F.col("_kind") == 0).over(Window.partitionBy(*keys, "_piece").orderBy("_place", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    given = both.withColumn("_passed", passed).filter("_kind = 1").join(below, _same([*keys, "_piece"], "_of_"), "left")
+    number = F.col("_n") + 1 + F.col("_passed") + F.coalesce("_below", F.lit(0))
+    slug = F.concat("slug", F.lit("-"), number.cast("string"))
+    given = given.select(*[(slug if c == "slug" else F.col(c)).alias(c) for c in rows.columns])
+    return once.unionByName(given)
 
 
 def community(catalog: DataFrame, counts: DataFrame, order: list[str]) -> DataFrame:

@@ -76,6 +76,25 @@ def test_unique_slugs(spark):
     assert got == {1: "a-3", 2: "a-4", 3: "a-2", 4: "b", 5: "a"}
 
 
+def test_unique_slugs_hot_and_null_site(spark):
+    slugs = [("s", "a")] * 3000 + [("s", f"a-{n}") for n in [*range(2, 40), *range(100, 900, 7), 10**6]] + [("s", "a-02"), ("s", "a-1")]
+    slugs += [(None, "a"), (None, "a"), (None, "a-2"), ("s", ""), ("s", ""), ("s", None), ("s", None)]
+    df = spark.createDataFrame([(i, s, g, i * 7919 % 10007) for i, (s, g) in enumerate(slugs)], "product_id int, site string, slug string, position int")
+    out = c.unique_slugs(df)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    want, often = {}, {x for x in slugs if x[1] and slugs.count(x) > 1}
+    used = {x for x in slugs if x not in often}
+    for i in sorted(range(len(slugs)), key=lambda i: i * 7919 % 10007):
+        site, slug = want[i] = slugs[i]
+        if (site, slug) in often:
+            n = 2
+            while (site, f"{slug}-{n}") in used:
+                n += 1
+            want[i] = site, f"{slug}-{n}"
+            used.add(want[i])
+    assert {r.product_id: (r.site, r.slug) for r in out.collect()} == want
+
+
 def test_merge_keeps_and_replaces(spark):
     old = spark.createDataFrame([("k1", "o", 0), (None, "o", 0), ("k3", "o", 0)], "key string, v string, seq int")
     new = spark.createDataFrame([("k1", "n1", 1), ("k1", "n2", 2), (None, "n", 3), ("k4", "n", 4)], "key string, v string, seq int")
