@@ -8,7 +8,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of anything but these six ASCII characters.
@@ -16,9 +17,9 @@ WHITESPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 _GAP = np.zeros(256, dtype=bool)
 _GAP[list(WHITESPACE)] = True
-#: One random 64-bit value per byte, from a fixed seed, so that every worker hashes alike.
-_BYTE = np.random.Generator(np.random.PCG64(20240117)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE, _GRAM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Random odd 64-bit values, one for each byte and one for each place in a word, from a fixed seed, so that every worker hashes alike.
+_BYTE, _PLACE = (np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed, size in ((20240117, 256), (20240118, 256)))
+_LENGTH, _GRAM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Text bytes that the hash kernels hold at once; a longer text is taken alone.
 KERNEL_BYTES = 1 << 19
 
@@ -28,20 +29,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; one of our own only where there is none, as in tests."""
+    """The checkpoint folder that the cluster names; one of our own only where there is none and all runs on this machine, as in tests."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named := tempfile.mkdtemp(prefix="quern-checkpoint-"))
     return named
 
 
+def work_place(spark: SparkSession, name: str = "") -> str:
+    """A new place for a work table of this application, below quern-work/<application id>."""
+    return f"{shared_folder(spark)}/quern-work/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}{name and '-' + name}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows as a table in the folder that all executors share: no lineage, and sizes that the planner knows."""
-    spark = df.sparkSession
-    place = f"{shared_folder(spark)}/quern-{uuid.uuid4().hex}"
+    place = work_place(df.sparkSession)
     df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def clear_work(spark: SparkSession, application: str | None = None) -> bool:
+    """Remove the work tables of an application (this one by default), once its results are written; whether there were any."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/quern-work/{application or spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ordered(rows: DataFrame, order: list, sums: tuple[str, ...] = ()) -> DataFrame:
+    """rows with _place (0, 1, ... in `order` over all rows) and, for each of `sums`, its total in the rows before, _before_<name>.
+
+    Ranges of the order are written as a table; each range counts for itself and adds what the ranges before
+    it hold, so no task sees all rows. `order` should tell rows apart.
+    """
+    parts = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    held = parts.groupBy("_part").agg(F.count("*").alias("_rows"), *[F.sum(c).alias(f"_all_{c}") for c in sums])
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    before = [F.coalesce(F.sum(f"_all_{c}").over(earlier), F.lit(0)).alias(f"_earlier_{c}") for c in sums]
+    held = held.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_from"), *before)
+    line = Window.partitionBy("_part").orderBy(*order)
+    past = line.rowsBetween(Window.unboundedPreceding, -1)
+    here = parts.select("*", F.row_number().over(line).alias("_n"), *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"_past_{c}") for c in sums])
+    found = here.join(F.broadcast(held), "_part")
+    return found.select(*rows.columns, (F.col("_n") - 1 + F.col("_from")).alias("_place"), *[(F.col(f"_past_{c}") + F.col(f"_earlier_{c}")).alias(f"_before_{c}") for c in sums])
 
 
 def ascii_lower(text):
@@ -73,7 +104,11 @@ def slices(column: pa.Array):
 
 
 class Words:
-    """The words of some texts as arrays: start, end (byte offsets), row, hash (64 bits)."""
+    """The words of some texts as arrays: start, end (byte offsets), row, hash (64 bits).
+
+    A word's hash is a sum of random products, one for each byte and place (XXH64 for words over 256 bytes); it
+    selects candidates. Where equality decides, compare the bytes or a digest of them.
+    """
 
     def __init__(self, column: pa.Array):
         column = pc.fill_null(column, "").cast(pa.large_utf8())
@@ -98,11 +133,12 @@ class Words:
             length = self.end - self.start
             place = np.arange(n, dtype=np.int64)
             place -= np.repeat(self.start, np.diff(np.append(self.start, n))) if self.start[0] == 0 else np.concatenate([np.zeros(self.start[0], np.int64), np.repeat(self.start, np.diff(np.append(self.start, n)))])
-            powers = np.cumprod(np.full(int(length.max()), _BASE, dtype=np.uint64))
             part = _BYTE[self.data]
             part[~solid] = 0
-            part *= powers[np.minimum(place, len(powers) - 1)]
-            self.hash = mix(np.add.reduceat(part, self.start) + length.astype(np.uint64))
+            part *= _PLACE[np.minimum(place, len(_PLACE) - 1)]
+            self.hash = mix(np.add.reduceat(part, self.start) + length.astype(np.uint64) * _LENGTH)
+            for i in np.flatnonzero(length > len(_PLACE)).tolist():
+                self.hash[i] = xxhash.xxh64_intdigest(self.data[self.start[i] : self.end[i]].tobytes(), 42)
         else:
             self.hash = np.zeros(0, dtype=np.uint64)
 
@@ -115,6 +151,16 @@ class Words:
         return mix(h), self.row[:size] == self.row[n - 1 : n - 1 + size] if size else np.zeros(0, dtype=bool)
 
 
+    def line(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All words joined by one space, with the start and the end of each."""
+        length = self.end - self.start
+        inside = np.repeat(np.arange(len(length)), length)
+        out = np.full(len(inside) + len(length), 32, dtype=np.uint8)
+        out[np.arange(len(inside)) + inside] = self.data[~_GAP[self.data]]
+        start = np.cumsum(length) - length + np.arange(len(length))
+        return out.tobytes(), start, start + length
+
+
 def heavy_keys(keys: DataFrame, k: int = 1024, least: int = 32, rows_of=iter) -> list[int]:
     """Misra-Gries over a bigint column, the first of what `rows_of` makes of the batches of `keys`: all keys with over 1/k of all rows, and none with under 3/(4k) or `least`.
 

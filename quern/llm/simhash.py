@@ -13,7 +13,9 @@ give all pairs of a crowd; its members meet another way, equally exact: two
 values are at most 2 apart just when their balls of radius 1 meet, so
 each member sends itself and its 64 one-bit neighbours, and a meeting point has
 at most 65 members. Components come from min-label star contraction on the links.
-Rows with a null id get a fingerprint and their group's component, but name none.
+Rows with a null id get a fingerprint and their group's component, but name none. A very long text is
+fingerprinted whole, 65,536 shingles at a time. Repeated rows share all they get. Columns named like the work columns
+don't clash: near_groups reads id and text alone, and drop_near_copies carries each row as one struct. An empty table stays empty.
 
 With `jaccard` (the pipeline's stage) texts whose sets of five-word shingles have a similarity of
 4/5 or more are linked too. That join is exact: a set with a partner shares all but a fifth of its
@@ -244,8 +246,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows with a null id stay; so do repeated rows of the id that stays.
     """
     groups = near_groups(docs, id_col, text_col, shingle, bits, jaccard)
-    gone = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
-    return docs.join(gone, (F.col(id_col) == F.col("gone_id")) & (F.xxhash64(text_col) == F.col("gone_key")), "left_anti")
+    gone = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("id"), "text_key").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"))
+    return rows.join(gone, ["id", "text_key"], "left_anti").select("row.*")
 
 
 def op10_simhash_near_dedup(spark, sf_dir):

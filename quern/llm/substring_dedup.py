@@ -2,12 +2,10 @@
 
 Two forms share the word and window rules.
 
-`remove_reference_spans` is the method named for this operator: suffix automata
-of reference shards are broadcast, documents stream through them for matching
-statistics, and maximal matches of at least `window` words are removed. Each shard
-holds at most `shard_words` words and all at most `most_words` (a larger reference is
-refused), so what is broadcast has a fixed bound. Its work is shards x documents: right for a reference set of
-fixed size, and quadratic where the reference is the corpus itself.
+`remove_reference_spans` is the method named for this operator, for a reference set of fixed size: tasks build
+suffix automata of its shards, these are broadcast, documents stream through them for matching
+statistics, and maximal matches of at least `window` words are removed. Its work is shards x
+documents, which is quadratic where the reference is the corpus itself.
 
 `dedup_corpus` is for that case. A window (13 words in a row) goes when its words
 also start in a document with a smaller id. Of the 8-word sequences of a window, the
@@ -15,23 +13,30 @@ one of least hash (the anchor) is the same wherever the window is found, so only
 whose anchor lies in two documents can repeat: anchors are grouped first, then
 the windows of shared anchors get their smallest document id, and each document
 drops the words of windows that a smaller id has. Anchors with more than
-1/1024 of all anchor rows (Misra-Gries) are taken as shared without a shuffle.
-Of their windows, those that very many documents have make a reference shard (1024 windows at most)
-with their smallest ids; its suffix automaton is broadcast and documents stream through it. Words and windows are compared by
-64-bit hashes. Rows with a null id are neither compared nor changed; rows that
-share an id count as one document; null text has no words. Extra columns are not read.
+1/`heavy` of all anchor rows (Misra-Gries) are taken as shared without a shuffle, so no group of a shuffle holds more than that share.
+Of their windows, those that very many documents have (`heavy` windows at most) make the reference shard:
+its suffix automaton, over word hashes, is broadcast with the smallest id of each window, and documents stream through it for matching statistics.
+Hashes only select; whether two windows are the same is told by 128-bit BLAKE2b digests of their words, everywhere.
+
+Rows with a null id are neither compared nor changed; rows that share an id count as one document; null text has no
+words. A very long text is taken alone in its batch slice, whole; what a task holds is a few numbers for each of its bytes. Repeated
+rows are equal documents. Extra columns are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import pickle
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, cut, heavy_keys, slices, table
 
-WINDOW, ANCHOR, HEAVY = 13, 8, 1024
+WINDOW, ANCHOR, HEAVY = 13, 8, 16384
 
 
 def anchors_of(words: Words, window: int, anchor: int):
@@ -66,33 +71,42 @@ def _anchor_rows(window, anchor, skip):
     return run
 
 
-def _window_rows(window, anchor, skip):
-    skip = np.array(sorted(skip), dtype=np.int64)
+def _digests(words: Words, at: np.ndarray, window: int) -> np.ndarray:
+    """BLAKE2b (128 bits, as two numbers) of the words of the windows that begin at `at`."""
+    line, start, end = words.line()
+    parts = [blake2b(line[a:b], digest_size=16).digest() for a, b in zip(start[at].tolist(), end[at + window - 1].tolist(), strict=True)]
+    return np.frombuffer(b"".join(parts), dtype=np.int64).reshape(-1, 2)
+
+
+def _window_rows(window, anchor, hot, skip):
+    """k1, k2, id, tag, pos of the windows whose anchor is hot or in the row's list."""
+    hot = np.array(sorted(hot), dtype=np.int64)
 
     def run(batches):
         for batch in batches:
-            ids, shared = np.asarray(batch.column(0)), batch.column(2)
+            ids, tags, shared = np.asarray(batch.column(0)), np.asarray(batch.column(2)), batch.column(3)
             for a, b in slices(batch.column(1)):
                 words = Words(batch.column(1)[a:b])
                 least, whole = anchors_of(words, window, anchor)
                 at = np.flatnonzero(whole)
-                at = at[_member(words.row[at], least[at].view(np.int64), shared[a:b])]
-                key = words.grams(window)[0][at].view(np.int64)
-                if len(skip):
-                    new = ~np.isin(key, skip)
-                    at, key = at[new], key[new]
-                order = np.lexsort((key, words.row[at]))  # a text that repeats itself sends a window once
-                at, key = at[order], key[order]
-                new = np.ones(len(at), dtype=bool)
-                new[1:] = (key[1:] != key[:-1]) | (words.row[at][1:] != words.row[at][:-1])
-                at, key = at[new], key[new]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[a:b][words.row[at]])], ["key", "id"])
+                key = least[at].view(np.int64)
+                at = at[np.isin(key, hot) | _member(words.row[at], key, shared[a:b])]
+                if not len(at):
+                    continue
+                digest = _digests(words, at, window)
+                if skip:
+                    new = np.array([d not in skip for d in zip(*digest.T.tolist(), strict=True)], dtype=bool)
+                    at, digest = at[new], digest[new]
+                row = words.row[at]
+                pos = at - np.searchsorted(words.row, row)
+                columns = [pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(ids[a:b][row]), pa.array(tags[a:b][row]), pa.array(pos.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "id", "tag", "pos"])
 
     return run
 
 
 def _hot_rows(window, anchor, hot):
-    """key, n, first_id, words of the windows whose anchor is hot, summed for each slice."""
+    """k1, k2, n, first_id, words (hashes) of the windows whose anchor is hot, summed for each slice."""
     hot = np.array(sorted(hot), dtype=np.int64)
 
     def run(batches):
@@ -102,26 +116,29 @@ def _hot_rows(window, anchor, hot):
                 words = Words(batch.column(1)[a:b])
                 least, whole = anchors_of(words, window, anchor)
                 at = np.flatnonzero(whole & np.isin(least.view(np.int64), hot))
-                key = words.grams(window)[0][at].view(np.int64)
+                if not len(at):
+                    continue
                 # one row for each window of the slice: its rows, its smallest id, its words
-                each, first, where, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                each, first, where, count = np.unique(_digests(words, at, window), axis=0, return_index=True, return_inverse=True, return_counts=True)
                 least_id = np.full(len(each), np.iinfo(np.int64).max)
-                np.minimum.at(least_id, where, ids[a:b][words.row[at]])
-                text = [b" ".join(words.data[words.start[i] : words.end[i + window - 1]].tobytes().split()).decode() for i in at[first].tolist()]
-                columns = [pa.array(each), pa.array(count.astype(np.int64)), pa.array(least_id), pa.array(text, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "n", "first_id", "words"])
+                np.minimum.at(least_id, where.reshape(-1), ids[a:b][words.row[at]])
+                hashes = words.hash[at[first][:, None] + np.arange(window)].view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(each) + 1, dtype=np.int32) * window), pa.array(hashes.reshape(-1)))
+                columns = [pa.array(each[:, 0]), pa.array(each[:, 1]), pa.array(count.astype(np.int64)), pa.array(least_id), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "n", "first_id", "words"])
 
     return run
 
 
 def hot_windows(known: DataFrame, hot: list[int], window: int, anchor: int, k: int) -> list:
-    """(key, first_id, words) of the windows in more than 1/k of the rows that hot anchors have; k at most.
+    """(k1, k2, first_id, words) of the windows in more than 1/k of the rows that hot anchors have; k at most.
 
-    Summed before the shuffle; the driver gets k rows of `window` words at most.
+    Summed before the shuffle; the driver gets k rows at most, each of `window` word hashes, a digest and an id.
     """
     if not hot:
         return []
-    rows = cut(known.select("id", "text").mapInArrow(_hot_rows(window, anchor, hot), "key long, n long, first_id long, words string").groupBy("key").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.min("words").alias("words")))
+    rows = known.select("id", "text").mapInArrow(_hot_rows(window, anchor, hot), "k1 long, k2 long, n long, first_id long, words array<long>")
+    rows = cut(rows.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.min("words").alias("words")))
     total = rows.agg(F.sum("n")).first()[0] or 0
     return rows.filter(F.col("n") * k > total).collect()
 
@@ -145,66 +162,83 @@ def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-def _clean(window, hot):
-    """hot: (key, first_id, words) rows, the reference shard of passages that very many documents have."""
-    first = {r.key: r.first_id for r in hot}
-    keys = np.array(sorted(first), dtype=np.int64)
-    shard = [r.words.encode().split() for r in hot]
+def matches(words: Words, automaton: SuffixAutomaton, vocabulary: np.ndarray, window: int) -> np.ndarray:
+    """Starts of the windows that the automaton knows, from its matching statistics: a word whose longest match has `window` words or more ends one.
+
+    Words that the shard has nowhere match nothing, so the runs between them are streamed.
+    """
+    n, known = len(words.hash), np.isin(words.hash, vocabulary)
+    change = np.ones(n, dtype=bool)
+    change[1:] = (known[1:] != known[:-1]) | (words.row[1:] != words.row[:-1])
+    begin = np.flatnonzero(change)
+    found = []
+    for first, last in zip(begin.tolist(), [*begin[1:].tolist(), n], strict=True):
+        if known[first] and last - first >= window:
+            sizes = automaton.statistics(words.hash[first:last].view(np.int64).tolist())
+            found += [first + i - window + 1 for i, size in enumerate(sizes) if size >= window]
+    return np.array(found, dtype=np.int64)
+
+
+def _without(words: Words, out: np.ndarray, r: int, edge) -> str:
+    """The words of text r that are not out, joined by one space."""
+    text = words.data[words.offsets[r] : words.offsets[r + 1]].tobytes().split()
+    gone = out[edge[r] : edge[r + 1]]
+    return b" ".join([w for w, x in zip(text, gone.tolist(), strict=True) if not x] if gone.any() else text).decode()
+
+
+def _clean(window, shard):
+    """shard: a broadcast automaton of the crowded windows with its vocabulary and the smallest id of each window's digest; or None."""
 
     def run(batches):
-        automaton = SuffixAutomaton(shard) if shard else None
+        automaton, vocabulary, first = shard.value if shard else (None, None, None)
         for batch in batches:
-            counts, removed, kept = [], [], []
-            ids = batch.column(0).to_pylist()
+            ids = batch.column(0)
             for a, b in slices(batch.column(1)):
-                part, lists = batch.column(1)[a:b], batch.column(2)[a:b]
-                words = Words(part)
+                words, lists = Words(batch.column(1)[a:b]), batch.column(2)[a:b]
                 edge = np.searchsorted(words.row, np.arange(b - a + 1))
-                gram = words.grams(window)[0].view(np.int64)
-                crowded = np.isin(gram, keys)
-                for r in range(b - a):
-                    i, n, own = edge[r], int(edge[r + 1] - edge[r]), ids[a + r]
-                    text = words.data[words.offsets[r] : words.offsets[r + 1]].tobytes().split()
-                    gone, starts = 0, []
-                    if n >= window and own is not None:
-                        key = gram[i : i + n - window + 1]
-                        if lists[r].is_valid:
-                            starts.append(np.flatnonzero(np.isin(key, np.asarray(lists[r].values))))
-                        if crowded[i : i + n - window + 1].any():
-                            ends = [e for e, size in enumerate(automaton.statistics(text)) if size >= window]
-                            starts.append(np.array([e - window + 1 for e in ends if first[int(key[e - window + 1])] < own], dtype=np.int64))
-                    if starts:
-                        out = covered(np.concatenate(starts), n, window)
-                        gone = int(out.sum())
-                        text = [w for w, x in zip(text, out.tolist(), strict=True) if not x]
-                    counts.append(n)
-                    removed.append(gone)
-                    kept.append(b" ".join(text).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept_text"])
+                starts = [edge[r] + np.asarray(lists[r].values) for r in range(b - a) if lists[r].is_valid]
+                if shard and len(words.hash):
+                    at = matches(words, automaton, vocabulary, window)
+                    if len(at):
+                        own = np.asarray(pc.fill_null(ids[a:b], np.iinfo(np.int64).min))[words.row[at]]
+                        seen = (first.get(d) for d in zip(*_digests(words, at, window).T.tolist(), strict=True))
+                        later = [f is not None and f < mine for f, mine in zip(seen, own.tolist(), strict=True)]
+                        starts.append(at[np.array(later, dtype=bool)])
+                out = covered(np.concatenate([*starts, np.zeros(0, np.int64)]).astype(np.int64), len(words.hash), window)
+                removed = np.diff(np.concatenate([[0], np.cumsum(out)])[edge])
+                kept = [_without(words, out, r, edge) for r in range(b - a)]
+                yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(np.diff(edge), pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept_text"])
 
     return run
 
 
 def dedup_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, heavy: int = HEAVY) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_text (words joined by one space)."""
+    spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    repeated = not given.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    given = given.withColumn("tag", F.xxhash64("text") if repeated else F.lit(0).cast("long"))  # tells rows of one id apart
     known = given.filter("id is not null")
     hot = heavy_keys(known.select("id", "text"), heavy, rows_of=_anchor_rows(window, anchor, []))
 
-    rows = known.mapInArrow(_anchor_rows(window, anchor, hot), "key long, id long")
+    rows = known.select("id", "text").mapInArrow(_anchor_rows(window, anchor, hot), "key long, id long")
     group = Window.partitionBy("key")
     shared = rows.select("key", "id", (F.min("id").over(group) < F.max("id").over(group)).alias("shared")).filter("shared")
     lists = shared.groupBy("id").agg(F.collect_set("key").alias("keys"))
-    always = F.array(*[F.lit(v) for v in hot]).cast("array<long>")
-    marked = known.join(lists, "id", "left").select("id", "text", F.concat(F.coalesce("keys", F.array().cast("array<long>")), always).alias("keys"))
+    marked = known.join(lists, "id", "left").select("id", "text", "tag", "keys")
 
     crowd = hot_windows(known, hot, window, anchor, heavy)
-    rows = marked.mapInArrow(_window_rows(window, anchor, [r.key for r in crowd]), "key long, id long")
-    gone = rows.select("key", "id", (F.min("id").over(group) < F.col("id")).alias("later")).filter("later")
-    gone = gone.groupBy("id").agg(F.collect_set("key").alias("keys"))
-    kept = known.join(gone, "id", "left").select("id", "text", "keys")
-    rest = given.filter("id is null").select("id", "text", F.lit(None).cast("array<long>").alias("keys"))
-    return kept.union(rest).mapInArrow(_clean(window, crowd), "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
+    first, shard = {(r.k1, r.k2): r.first_id for r in crowd}, None
+    if crowd:
+        vocabulary = np.unique(np.array([r.words for r in crowd], dtype=np.int64)).view(np.uint64)
+        shard = spark.sparkContext.broadcast((SuffixAutomaton([r.words for r in crowd]), np.sort(vocabulary), first))
+    rows = marked.mapInArrow(_window_rows(window, anchor, hot, set(first)), "k1 long, k2 long, id long, tag long, pos int")
+    group = Window.partitionBy("k1", "k2")
+    gone = rows.select("id", "tag", "pos", (F.min("id").over(group) < F.col("id")).alias("later")).filter("later")
+    gone = gone.groupBy("id", "tag").agg(F.collect_set("pos").alias("starts")).withColumnsRenamed({"id": "_id", "tag": "_tag"})
+    kept = known.join(gone, (F.col("id") == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left").select("id", "text", "starts")
+    rest = given.filter("id is null").select("id", "text", F.lit(None).cast("array<int>").alias("starts"))
+    return kept.union(rest).mapInArrow(_clean(window, shard), "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
 
 
 class SuffixAutomaton:
@@ -256,37 +290,44 @@ class SuffixAutomaton:
             yield size
 
 
-def remove_reference_spans(docs: DataFrame, reference: DataFrame, id_col: str = "doc_id", text_col: str = "text", reference_col: str = "text", window: int = WINDOW, shard_words: int = 200_000, most_words: int = 1_000_000) -> DataFrame:
+def _pieces(reference: DataFrame, text_col: str, window: int, size: int) -> DataFrame:
+    """piece: the reference's word lists, long texts dealt out in lists of `size` words that overlap by window - 1."""
+    words = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    # the generator's output keeps the split from being repeated for every piece
+    texts = reference.select(F.explode(F.array(words)).alias("words")).filter(F.size("words") >= window)
+    starts = F.sequence(F.lit(0), F.size("words") - window, F.lit(max(1, size - window + 1)))
+    return texts.select(F.explode(F.transform(starts, lambda i: F.slice("words", i + 1, size))).alias("piece"))
+
+
+def remove_reference_spans(docs: DataFrame, reference: DataFrame, id_col: str = "doc_id", text_col: str = "text", reference_col: str = "text", window: int = WINDOW, shard_words: int = 50_000, most_words: int = 1_000_000, most_bytes: int = 64_000_000) -> DataFrame:
     """docs' id, n_words, n_removed, kept_text after removing every match of at least `window` words with the reference.
 
-    Shards of at most `shard_words` words come one at a time to the driver (a longer
-    reference text is dealt out in pieces that overlap by window - 1 words) and are
-    broadcast as automata; documents pass all of them in one scan.
+    The method as named, for a reference within `most_words` words and `most_bytes` bytes: its texts are dealt over
+    shards of about `shard_words` words, tasks build the shards' suffix automata, these are broadcast, and documents pass all
+    of them in one scan. A larger reference takes an exact way that shuffles: windows of both sides meet on
+    their digests, and no side is broadcast.
     """
     spark = docs.sparkSession
-    shards, texts, held, total = [], [], 0, 0
-    for row in reference.select(F.col(reference_col).alias("t")).filter("t is not null").toLocalIterator():
-        words = row.t.encode().split()
-        step = max(1, shard_words - window + 1)
-        for i in range(0, max(1, len(words) - window + 1), step):
-            piece = words[i : i + shard_words]
-            if texts and held + len(piece) > shard_words:
-                shards.append(spark.sparkContext.broadcast(texts))
-                texts, held = [], 0
-            texts.append(piece)
-            held += len(piece)
-            total += len(piece)
-            if total > most_words:
-                raise ValueError(f"the reference has over {most_words} words; dedup_corpus is for such")
-    if texts:
-        shards.append(spark.sparkContext.broadcast(texts))
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    pieces = cut(_pieces(reference, reference_col, window, shard_words))
+    total = pieces.agg(F.sum(F.size("piece")), F.sum(F.octet_length(F.array_join("piece", " ")).cast("long"))).first()
+    if (total[0] or 0) > most_words or (total[1] or 0) > most_bytes:
+        return _spans_by_digest(given, pieces, window).withColumnRenamed("id", id_col)
+
+    def build(batches):
+        texts = [[w.encode() for w in piece] for batch in batches for piece in batch.column(0).to_pylist()]
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(SuffixAutomaton(texts))])], ["automaton"])
+
+    built = pieces.repartition(max(1, (total[0] or 0) // shard_words)).mapInArrow(build, "automaton binary").collect()
+    shards = spark.sparkContext.broadcast([bytes(r.automaton) for r in built])
 
     def run(batches):
-        automata = [SuffixAutomaton(s.value) for s in shards]
+        automata = [pickle.loads(s) for s in shards.value]
         for batch in batches:
             counts, removed, kept = [], [], []
             for t in batch.column(1):
-                words = (t.as_py() or "").encode().split()
+                words = t.as_py().encode().split()
                 out = np.zeros(len(words), dtype=bool)
                 for automaton in automata:
                     ends = np.array([i for i, n in enumerate(automaton.statistics(words)) if n >= window], dtype=np.int64)
@@ -296,10 +337,32 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, id_col: str =
                 kept.append(b" ".join(w for w, x in zip(words, out.tolist(), strict=True) if not x).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept_text"])
 
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return given.mapInArrow(run, "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
 
 
+def _spans_by_digest(given: DataFrame, pieces: DataFrame, window: int) -> DataFrame:
+    """remove_reference_spans for a reference of any size; documents are told apart by id and a hash of the text."""
+
+    def windows(batches):
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                words = Words(batch.column(1)[a:b])
+                at = np.flatnonzero(words.grams(window)[1])
+                digest, row = _digests(words, at, window), words.row[at]
+                pos = at - np.searchsorted(words.row, row)
+                part = batch.slice(a, b - a).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1]), part.column(0), part.column(2), pa.array(pos.astype(np.int32))], ["k1", "k2", "id", "tag", "pos"])
+
+    schema = "k1 long, k2 long, id long, tag long, pos int"
+    tagged = given.withColumn("tag", F.xxhash64("text"))
+    known = pieces.select(F.lit(0).cast("long").alias("id"), F.array_join("piece", " ").alias("text"), F.lit(0).cast("long").alias("tag"))
+    known = known.mapInArrow(windows, schema).select("k1", "k2").distinct()
+    gone = tagged.mapInArrow(windows, schema).join(known, ["k1", "k2"], "left_semi").groupBy("id", "tag").agg(F.collect_set("pos").alias("starts"))
+    gone = gone.withColumnsRenamed({"id": "_id", "tag": "_tag"})
+    kept = tagged.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), "left").select("id", "text", "starts")
+    return kept.mapInArrow(_clean(window, None), "id long, n_words long, n_removed long, kept_text string")
+
+
 def op7_substring_dedup(spark, sf_dir):
     clean = dedup_corpus(table(spark, sf_dir, "documents"))
     return clean.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
