@@ -11,7 +11,7 @@ execution splits hot lines.
 
 Lines are compared by 64-bit hash. Null text counts as empty; a null site counts as
 no site; null ids and repeated rows are cleaned like others, since what is removed depends on the
-line alone. Columns named like the work columns don't clash, for rows travel as one struct. An empty table stays empty.
+line alone. A very long text is a list of lines like others; its removed lines are told by their places, so the work is in proportion to its lines. Columns named like the work columns don't clash, for rows travel as one struct. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ def _trimmed(line):
 
 
 def _lines(keyed: DataFrame) -> DataFrame:
-    """key, site, line (hash) of each line with text."""
+    """key, site, pos, line (hash) of each line with text."""
     line = _trimmed(F.col("line"))
-    every = keyed.select("key", "site", F.explode(F.split("text", "\n")).alias("line"))
-    return every.filter(F.char_length(line) > 0).select("key", "site", F.xxhash64(line).alias("line"))
+    every = keyed.select("key", "site", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return every.filter(F.char_length(line) > 0).select("key", "site", "pos", F.xxhash64(line).alias("line"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN, lg_k: int = LG_K) -> DataFrame:
@@ -54,12 +54,15 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spread = cut(boilerplate(lines, min_sites))
     if spread.count() <= broadcast_lines:
         spread = F.broadcast(spread)
-    found = lines.join(spread, "line").groupBy("key").agg(F.collect_set("line").alias("gone"))
+    found = lines.join(spread, "line").groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     both = keyed.join(found, "key", "left").select("row", F.split("text", "\n").alias("lines"), "gone")
-    stays = F.filter("lines", lambda x: ~F.array_contains("gone", F.xxhash64(_trimmed(x))) | (F.char_length(_trimmed(x)) == 0))
-    left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(stays)
-    both = both.select("row", F.size("lines").cast("long").alias("n_lines"), left.alias("left"))
-    return both.select("row", "n_lines", (F.col("n_lines") - F.size("left")).alias("n_removed"), F.array_join("left", "\n").alias("clean_text"))
+    # the lines between one removed line and the next, from -1 to the number of lines
+    n = F.size("lines").cast("long")
+    edges = F.concat(F.array(F.lit(-1)), F.coalesce("gone", F.array().cast("array<int>")), F.array(F.size("lines")))
+    both = both.select("row", "lines", n.alias("n_lines"), (F.size(edges) - 2).cast("long").alias("n_removed"), edges.alias("edges"))
+    between = F.transform("edges", lambda e, i: F.when(i > 0, F.slice("lines", F.get("edges", i - 1) + 2, e - F.get("edges", i - 1) - 1)).otherwise(F.array().cast("array<string>")))
+    left = F.when(F.col("n_removed") == 0, F.col("lines")).otherwise(F.flatten(between))
+    return both.select("row", "n_lines", "n_removed", F.array_join(left, "\n").alias("clean_text"))
 
 
 def op4_line_dedup(spark, sf_dir):
