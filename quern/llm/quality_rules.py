@@ -13,7 +13,8 @@ Blank lines pass. A document is rejected when the lines left hold less than
 `least_left` percent of the characters in its lines with words, or when it fails the base
 rules: under 10 words, or over 20 % of its words in 5-word windows found twice
 or more in the text. Null text counts as empty and so fails; null ids and
-extra columns pass through; repeated rows are judged alike; an empty table stays empty. Windows are
+extra columns pass through, whatever their names, in one struct; repeated rows are judged alike; an empty table stays empty. A very
+long text is judged whole, by arrays of its lines, words and windows. Windows are
 compared by their 64-bit hashes within one text.
 """
 
@@ -25,9 +26,15 @@ from pyspark.sql import functions as F
 from .common import table
 
 GAP = r"[\x20\x09-\x0D]+"
-SYMBOLS = r"[#*$%&|<>]"
+SYMBOLS = "#*$%&|<>"
 SENTENCE_END = r"""[.!?:;…"'”’»)\]。！？][\x20\x09-\x0D]*\z"""
-PHRASES = r"(?i)(all rights reserved|privacy policy|terms of (use|service)|cookie|enable javascript|sign up|log in|click here|read more|subscribe|newsletter|lorem ipsum|share on)"
+#: Stock phrases, as whole words.
+PHRASES = (
+    "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "cookie settings", "accept cookies", "use cookies", "uses cookies", "use a cookie", "enable javascript",
+    "sign up", "log in", "click here", "read more", "subscribe", "newsletter", "lorem ipsum", "share on", "alle rechte vorbehalten", "datenschutz", "nutzungsbedingungen", "mehr lesen", "weiterlesen",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "lire la suite", "todos los derechos reservados", "política de privacidad", "aviso legal", "leer más",
+)
+_PHRASE = f"(^|[^A-Za-z])({'|'.join(PHRASES)})([^A-Za-z]|$)"
 LONG_LINE, NAV_WORDS, LEAST_LEFT = 20, 4, 50
 
 
@@ -36,7 +43,7 @@ def _words(text):
 
 
 def _count(text, chars: str):
-    return F.char_length(text) - F.char_length(F.regexp_replace(text, chars, ""))
+    return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
 
 
 def judge(docs: DataFrame, text_col: str = "text", long_line: int = LONG_LINE, nav_words: int = NAV_WORDS, least_left: int = LEAST_LEFT) -> DataFrame:
@@ -47,13 +54,14 @@ def judge(docs: DataFrame, text_col: str = "text", long_line: int = LONG_LINE, n
 
     def passes(x):
         n, text = x["n"], x["text"]
-        ends = text.rlike(SENTENCE_END) | (n >= long_line)
+        # the cheap rules first; a line that fails one is not judged by the rest
         symbols = 2 * x["symbols"] <= n
-        calm = (n < 5) | (2 * _count(text, "[!?]") < n)
-        bars = _count(text, "[|›»•]")
+        calm = (n < 5) | (2 * _count(text, "!?") < n)
+        bars = _count(text, "|›»•")
         navigation = (bars >= 3) & (n <= bars * nav_words)
-        stock = (n < long_line) & text.rlike(PHRASES)
-        return (n == 0) | (ends & symbols & calm & ~navigation & ~stock)
+        ends = (n >= long_line) | text.rlike(SENTENCE_END)
+        stock = (n < long_line) & text.rlike("(?iu)" + _PHRASE)
+        return (n == 0) | (symbols & ends & calm & ~navigation & ~stock)
 
     def window(words):
         return lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(5)])
@@ -128,4 +136,4 @@ a AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(wor
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * left_chars >= 50 * line_chars AS kept, line_chars, left_chars FROM a
-""".replace("LIST_WORDS", _LINE).replace("PHRASES", PHRASES)
+""".replace("LIST_WORDS", _LINE).replace("PHRASES", "(?i)" + _PHRASE)
