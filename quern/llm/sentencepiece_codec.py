@@ -13,7 +13,7 @@ each word starts at such a boundary, and short words are remembered.
 Ids equal those of the library. Decoding joins pieces, puts byte pieces together as
 UTF-8, and drops the mark that encoding puts first. Null text counts as
 empty and has no ids. A literal U+2581 decodes to a blank, as in the library; the column
-`round_trip` tells where the text did not come back. Ids of rows, extra columns and
+`round_trip` tells where the text did not come back. A model of another kind (unigram, or one whose normaliser changes texts) is refused. Ids of rows, extra columns and
 repeated rows don't matter; an empty table stays empty.
 """
 
@@ -34,8 +34,8 @@ from .common import slices, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: Words up to this length are remembered, this many at most; so are valid pairs, and the backpointers of a word's first HEAD letters.
-SHORT, WORDS, PAIRS, HEAD = 40, 1_200_000, 400_000, 7
+#: Words up to this length are remembered, and the backpointers of a word's first HEAD letters, within so many bytes in each worker (as estimated by entry); so are valid pairs, this many at most.
+SHORT, WORD_BYTES, HEAD_BYTES, PAIRS, HEAD = 40, 96 << 20, 48 << 20, 400_000, 7
 
 
 class Codec(dict):
@@ -62,6 +62,7 @@ class Codec(dict):
         self.tail = {s[i:]: None for s in self.id for i in range(len(s))} | self.id
         self.valid: dict[tuple[str, str], bool] = {}
         self.heads: dict[str, list[str]] = {}
+        self.word_bytes = self.head_bytes = 0
 
     def merged(self, text: str) -> list[str]:
         """A short text's pieces by repeated best merges."""
@@ -137,8 +138,10 @@ class Codec(dict):
             if len(word) > HEAD:  # what stands for a beginning stands for every word that has it
                 head = word[:HEAD]
                 if head not in self.heads:
-                    if len(self.heads) >= WORDS:
+                    self.head_bytes += 500
+                    if self.head_bytes > HEAD_BYTES:
                         self.heads.clear()
+                        self.head_bytes = 500
                     for i in range(1, HEAD + 1):
                         last.append(self.choose(head, i, last))
                     self.heads[head] = last
@@ -168,8 +171,10 @@ class Codec(dict):
         if found is None:
             found = self.ids(MARK + word)
         if len(word) <= SHORT:
-            if len(self) >= WORDS:
+            self.word_bytes += 200 + 2 * len(word) + 8 * len(found)
+            if self.word_bytes > WORD_BYTES:
                 self.clear()
+                self.word_bytes = 0
             self[word] = found
         return found
 
@@ -204,9 +209,24 @@ def codec_of(model: bytes) -> Codec:
     return _CODECS[model]
 
 
+def probes(codec: Codec) -> list[str]:
+    """Texts that tell models apart: words of the vocabulary's own pieces, letters that normalisers change, marks inside words."""
+    pieces = sorted(codec.id)
+    draw = np.random.Generator(np.random.PCG64(3)).integers(0, len(pieces), (200, 3)).tolist()
+    return ["ﬁne Ａ１ ½ x²", "a  b ", " lead", "tab\there\nline", "Caf\u0065\u0301", "a\u00a0b\u200b"] + ["".join(pieces[i] for i in three).replace(MARK, " ") for three in draw]
+
+
 def read_model(spark: SparkSession, path: str = MODEL) -> bytes:
-    with open(path, "rb") as f:  # on the driver alone; executors get the bytes
-        return f.read()
+    """The model's bytes, read on the driver alone (executors get them); a model that this codec doesn't encode as the library does is refused."""
+    import sentencepiece
+
+    with open(path, "rb") as f:
+        model = f.read()
+    library, codec = sentencepiece.SentencePieceProcessor(model_proto=model), Codec(model)
+    wrong = next((t for t in probes(codec) if codec.encode(t).tolist() != library.encode(t)), None)
+    if wrong is not None:
+        raise ValueError(f"{path} is not a BPE model with an identity normaliser: {wrong!r} has other ids in the library")
+    return model
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
