@@ -5,7 +5,8 @@ empty. Of equal texts the row with the largest id stays (null ids come last; of
 rows with one id and one text, one stays). Misra-Gries finds the digests that
 hold more than 1/k of the rows; their exact winners, 4k/3 rows at most, are broadcast and settle those rows where they lie. All other digests take
 the ordinary shuffle, where no group holds more than that share. An empty table
-gives an empty table; columns besides the two named ones pass through unread.
+gives an empty table; a very long text is hashed whole, and only its digest is shuffled by assign; columns besides the two named ones pass through
+unread, whatever their names, as one struct.
 """
 
 from __future__ import annotations
