@@ -2,16 +2,16 @@
 
 run(spark, sf_dir) applies STAGES to documents, each on all that the one before kept;
 each stage's rows are written as Parquet to the shared checkpoint folder and read again. All but the
-last return the columns of documents. SQL can't express the last stage (nor fingerprints), so ORACLE_SQL
+last return the columns of documents. Null ids, sources and texts, repeated rows and extra columns pass the stages as each operator's
+docstring says (an empty text fails the quality rules); very long texts are taken whole; an empty table gives an empty one. The tables between
+the stages stay below quern-work/<application id>; quern.llm.common.clear_work removes them once the result is written. SQL can't express the last stage (nor fingerprints), so ORACLE_SQL
 is None and tests hold the rows against a brute-force version.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from quern.llm import exact_dedup, mixing, quality_rules, sentencepiece_codec, simhash
-from quern.llm.common import shared_folder
+from quern.llm.common import work_place
 
 
 def quality(spark, docs, sf_dir):
@@ -44,10 +44,9 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    folder = shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        place = f"{folder}/pipeline-{uuid.uuid4().hex}-{name}"
+        place = work_place(spark, name)
         stage(spark, docs, sf_dir).write.parquet(place)
         docs = spark.read.parquet(place)
     return STAGES[-1][1](spark, docs, sf_dir)
