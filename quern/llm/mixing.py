@@ -44,12 +44,12 @@ def targets(sizes: DataFrame, share: int = SHARE) -> DataFrame:
     # sources fill up in the order of size per weight; the first that need not stop at its cap gives the level of all after it
     s = cut(ordered(s, [F.col("source_size") / F.col("weight"), F.col("place")], ("cap", "weight")))
     total, weights = s.agg(F.sum("source_size"), F.sum("weight")).first()
-    left, free = F.lit(share * (total or 0)) - 100 * F.col("_before_cap"), F.lit(weights or 0) - F.col("_before_weight")
+    left, free = F.lit(share * (total or 0)).cast("long") - 100 * F.col("_before_cap"), F.lit(weights or 0).cast("long") - F.col("_before_weight")
     fits = left * F.col("weight") <= 200 * F.col("source_size") * free
     level = s.filter(fits).agg(F.min(F.struct("_place", left.alias("left"), free.alias("free"))).alias("x")).select("x.*").first()
     target = F.col("cap").cast("double")
     if level["_place"] is not None:
-        target = F.when(F.col("_place") < level["_place"], target).otherwise((F.lit(level["left"]) * F.col("weight")).cast("double") / F.lit(100 * level["free"]))
+        target = F.when(F.col("_place") < level["_place"], target).otherwise((F.lit(level["left"]).cast("long") * F.col("weight")).cast("double") / F.lit(100 * level["free"]))
     s = s.withColumn("target", target)
     least = s.agg(F.min(F.when(F.col("target") > 0, F.col("target")))).first()[0]
     s = s.withColumn("block", _length(F.lit(least).cast("double")))
@@ -84,7 +84,7 @@ def apportion(parties: DataFrame, group: list[str], votes: str, seats: str, orde
 def apportion_all(parties: DataFrame, votes: str, seats: int, order: str) -> DataFrame:
     """parties with `quota`: Sainte-Lague seats over the whole table, quotients ranked by ranges."""
     n, total = parties.agg(F.count("*"), F.sum(votes)).first()
-    p = _quotients(parties, votes, F.lit(total or 0), F.lit(n), F.lit(seats))
+    p = _quotients(parties, votes, F.lit(total or 0), F.lit(n).cast("long"), F.lit(seats).cast("long"))
     rest = seats - (p.agg(F.sum("_low")).first()[0] or 0)
     k = p.select(order, votes, F.explode("_quotients").alias("k"))
     k = ordered(k, [F.desc(F.col(votes) / (2 * F.col("k") - 1)), F.col(order)])
