@@ -16,7 +16,7 @@ drops the words of windows that a smaller id has. Anchors with more than
 1/`heavy` of all anchor rows (Misra-Gries) are taken as shared without a shuffle, so no group of a shuffle holds more than that share.
 Of their windows, those that very many documents have (`heavy` windows at most) make the reference shard:
 its suffix automaton, over word hashes, is broadcast with the smallest id of each window, and documents stream through it for matching statistics.
-Hashes only select; whether two windows are the same is told by 128-bit BLAKE2b digests of their words, everywhere.
+Hashes only select; whether two windows are the same is told by 96-bit BLAKE2b digests of their words, everywhere.
 
 Rows with a null id are neither compared nor changed; rows that share an id count as one document; null text has no
 words. A very long text is taken alone in its batch slice, whole; what a task holds is a few numbers for each of its bytes. Repeated
@@ -46,6 +46,7 @@ def anchors_of(words: Words, window: int, anchor: int):
     least = gram[:size].copy()
     for i in range(1, window - anchor + 1):
         np.minimum(least, gram[i : i + size], out=least)
+    least >>= np.uint64(16)  # 48 bits select well enough, and are two bytes less to shuffle
     return least, words.row[:size] == words.row[window - 1 : window - 1 + size] if size else np.zeros(0, dtype=bool)
 
 
@@ -72,10 +73,11 @@ def _anchor_rows(window, anchor, skip):
 
 
 def _digests(words: Words, at: np.ndarray, window: int) -> np.ndarray:
-    """BLAKE2b (128 bits, as two numbers) of the words of the windows that begin at `at`."""
+    """BLAKE2b (96 bits, as a number of 64 and one of 32) of the words of the windows that begin at `at`."""
     line, start, end = words.line()
-    parts = [blake2b(line[a:b], digest_size=16).digest() for a, b in zip(start[at].tolist(), end[at + window - 1].tolist(), strict=True)]
-    return np.frombuffer(b"".join(parts), dtype=np.int64).reshape(-1, 2)
+    parts = [blake2b(line[a:b], digest_size=12).digest() for a, b in zip(start[at].tolist(), end[at + window - 1].tolist(), strict=True)]
+    digest = np.frombuffer(b"".join(parts), dtype=[("k1", "<i8"), ("k2", "<i4")])
+    return np.column_stack([digest["k1"], digest["k2"].astype(np.int64)])
 
 
 def _window_rows(window, anchor, hot, skip):
@@ -99,7 +101,7 @@ def _window_rows(window, anchor, hot, skip):
                     at, digest = at[new], digest[new]
                 row = words.row[at]
                 pos = at - np.searchsorted(words.row, row)
-                columns = [pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(ids[a:b][row]), pa.array(tags[a:b][row]), pa.array(pos.astype(np.int32))]
+                columns = [pa.array(digest[:, 0]), pa.array(digest[:, 1].astype(np.int32)), pa.array(ids[a:b][row]), pa.array(tags[a:b][row]), pa.array(pos.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "id", "tag", "pos"])
 
     return run
@@ -232,7 +234,7 @@ def dedup_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if crowd:
         vocabulary = np.unique(np.array([r.words for r in crowd], dtype=np.int64)).view(np.uint64)
         shard = spark.sparkContext.broadcast((SuffixAutomaton([r.words for r in crowd]), np.sort(vocabulary), first))
-    rows = marked.mapInArrow(_window_rows(window, anchor, hot, set(first)), "k1 long, k2 long, id long, tag long, pos int")
+    rows = marked.mapInArrow(_window_rows(window, anchor, hot, set(first)), "k1 long, k2 int, id long, tag long, pos int")
     group = Window.partitionBy("k1", "k2")
     gone = rows.select("id", "tag", "pos", (F.min("id").over(group) < F.col("id")).alias("later")).filter("later")
     gone = gone.groupBy("id", "tag").agg(F.collect_set("pos").alias("starts")).withColumnsRenamed({"id": "_id", "tag": "_tag"})
@@ -351,9 +353,9 @@ def _spans_by_digest(given: DataFrame, pieces: DataFrame, window: int) -> DataFr
                 digest, row = _digests(words, at, window), words.row[at]
                 pos = at - np.searchsorted(words.row, row)
                 part = batch.slice(a, b - a).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1]), part.column(0), part.column(2), pa.array(pos.astype(np.int32))], ["k1", "k2", "id", "tag", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1].astype(np.int32)), part.column(0), part.column(2), pa.array(pos.astype(np.int32))], ["k1", "k2", "id", "tag", "pos"])
 
-    schema = "k1 long, k2 long, id long, tag long, pos int"
+    schema = "k1 long, k2 int, id long, tag long, pos int"
     tagged = given.withColumn("tag", F.xxhash64("text"))
     known = pieces.select(F.lit(0).cast("long").alias("id"), F.array_join("piece", " ").alias("text"), F.lit(0).cast("long").alias("tag"))
     known = known.mapInArrow(windows, schema).select("k1", "k2").distinct()
