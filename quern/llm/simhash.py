@@ -21,8 +21,8 @@ With `jaccard` (the pipeline's stage) texts whose sets of five-word shingles hav
 4/5 or more are linked too. That join is exact: a set with a partner shares all but a fifth of its
 shingles, which is told by a third of them first and by all of them for the sets that are left;
 two partners then meet on one of the rarest fifth of each. A pair that meets is
-compared only if sizes, the shingles that follow and 128 parities of each set leave it a chance; all such pairs are verified. On a shingle all sets meet
-the smallest one first; only those that these stars leave in different components meet one another.
+compared only if sizes, the shingles that follow and 256 parities of each set leave it a chance; all such pairs are verified. On a shingle all sets meet
+four of them first; only those that these stars leave in different components meet one another.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, ascii_lower, cut, mix, slices, table
 
-BLOCKS, CROWD, WIDE, SAMPLE = 5, 64, 5, 3
+BLOCKS, CROWD, WIDE, SAMPLE, HEAD, PARITIES = 5, 64, 5, 3, 16, ("s1", "s2", "s3", "s4")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -134,9 +134,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def gram_sets(texts: pa.Array, sample: int = 1):
-    """key, n, grams, s1 and s2 of each text: a digest and the size of its set of five-word shingles, those with a hash divisible by `sample`, and 128 parities.
+    """key, n, grams and s1 to s4 of each text: a digest and the size of its set of five-word shingles, those with a hash divisible by `sample`, and 256 parities.
 
-    Each shingle flips one of the 128 bits, so two sets differ in at least as many shingles as their bits differ.
+    Each shingle flips one of the 256 bits, so two sets differ in at least as many shingles as their bits differ.
     """
     for first, last in slices(texts):
         words = Words(texts.slice(first, last - first))
@@ -150,9 +150,8 @@ def gram_sets(texts: pa.Array, sample: int = 1):
         n = np.bincount(row, minlength=last - first)
         key = n.astype(np.uint64)
         np.add.at(key, row, mix(gram + np.uint64(1)))
-        place, flip = gram >> np.uint64(57), np.uint64(1) << (gram >> np.uint64(51) & np.uint64(63))
-        bits = np.zeros((2, last - first), dtype=np.uint64)
-        np.bitwise_xor.at(bits, ((place & np.uint64(1)).astype(np.int64), row), flip)
+        bits = np.zeros((len(PARITIES), last - first), dtype=np.uint64)
+        np.bitwise_xor.at(bits, ((gram >> np.uint64(62)).astype(np.int64), row), np.uint64(1) << (gram >> np.uint64(56) & np.uint64(63)))
         taken = gram % np.uint64(sample) == 0
         ends = np.concatenate([[0], np.cumsum(np.bincount(row[taken], minlength=last - first))])
         grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(gram[taken].view(np.int64)))
@@ -164,7 +163,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
 
     def run(batches):
         for batch in batches:
-            for a, b, key, n, grams, _, _ in gram_sets(batch.column(2), SAMPLE):
+            for a, b, key, n, grams, *_ in gram_sets(batch.column(2), SAMPLE):
                 values = [fingerprint(t.as_py(), shingle) for t in batch.column(2).slice(a, b - a)]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.int64()), part.column(1), key, n, grams], ["id", "fp", "text_key", "key", "n", "grams"])
@@ -174,7 +173,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
 
 
 def shared_sets(docs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
-    """key, n, s1, s2 and the grams that other sets have too, rarest first, of every set that can have a partner."""
+    """key, n, parities and the grams that other sets have too, rarest first, of every set that can have a partner."""
     slack = F.floor(F.col("n") / 5)  # of n shingles, all but so many are in a partner
     part = rows.filter("n > 0").withColumn("size", F.size("grams"))
     gram = part.select("key", "n", "size", F.explode("grams").alias("gram"))
@@ -186,14 +185,14 @@ def shared_sets(docs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for _, _, *columns in gram_sets(batch.column(0)):
-                yield pa.RecordBatch.from_arrays(columns, ["key", "n", "grams", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays(columns, ["key", "n", "grams", *PARITIES])
 
     given = docs.join(texts, F.xxhash64(text_col) == F.col("_key"), "left_semi").select(ascii_lower(F.col(text_col)).alias("text"))
-    sets = cut(given.mapInArrow(run, "key long, n long, grams array<long>, s1 long, s2 long").dropDuplicates(["key"]))
-    gram = sets.select("key", "n", "s1", "s2", F.explode("grams").alias("gram"))
+    sets = cut(given.mapInArrow(run, "key long, n long, grams array<long>, s1 long, s2 long, s3 long, s4 long").dropDuplicates(["key"]))
+    gram = sets.select("key", "n", *PARITIES, F.explode("grams").alias("gram"))
     often = gram.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
-    found = gram.join(often, "gram").groupBy("key", "n", "s1", "s2").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
-    return found.filter(F.size("grams") >= F.col("n") - slack).select("key", "n", "s1", "s2", F.col("grams.gram").alias("grams"))
+    found = gram.join(often, "gram").groupBy("key", "n", *PARITIES).agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
+    return found.filter(F.size("grams") >= F.col("n") - slack).select("key", "n", *PARITIES, F.col("grams.gram").alias("grams"))
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -218,25 +217,39 @@ def jaccard_roots(docs: DataFrame, rows: DataFrame, near: DataFrame, text_col: s
     # the grams that no other set has are the rarest of all, so they fill the first places
     alone = F.col("n") - F.size("grams")
     first_places = F.slice("grams", 1, (F.floor(F.col("n") / 5) + 1 - alone).cast("int"))
-    index = sets.select("key", "n", "s1", "s2", alone.alias("alone"), F.posexplode(first_places).alias("i", "gram"))
-    index = cut(index.select("key", "n", "s1", "s2", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), "gram"))
-    group = cut(index.groupBy("gram").agg(F.min(F.struct("key", "n", "s1", "s2", "rest")).alias("first"), F.count("*").alias("size")).filter("size > 1"))
-    # what two similar sets must fulfil on the first gram that they share: sizes, the grams from there on, and parities
-    both = F.col("n") + F.col("m")
-    differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-    close = (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")) & (9 * F.least("rest", "left_over") >= 4 * both) & (9 * differ <= both)
-    met = index.join(group, "gram").withColumns({"m": F.col("first.n"), "t1": F.col("first.s1"), "t2": F.col("first.s2"), "left_over": F.col("first.rest")})
-    stars = met.filter((F.col("key") != F.col("first.key")) & close).select(F.col("first.key").alias("x"), F.col("key").alias("y")).distinct()
+    index = sets.select("key", "n", *PARITIES, alone.alias("alone"), F.posexplode(first_places).alias("i", "gram"))
+    index = cut(index.select("key", "n", *PARITIES, (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), "gram"))
+    this = F.struct("key", "n", *PARITIES, "rest")
+    chance = F.xxhash64("key")
+    centers = F.array_distinct(F.array(F.min(this), F.max(this), F.min_by(this, chance), F.max_by(this, chance)))
+    group = cut(index.groupBy("gram").agg(centers.alias("centers"), F.count("*").alias("size")).filter("size > 1"))
+
+    def close(other):
+        """What two similar sets fulfil on the first gram that they share: sizes, the grams from there on, parities."""
+        both = F.col("n") + other["n"]
+        differ = sum((F.bit_count(F.col(s).bitwiseXOR(other[s])) for s in PARITIES[1:]), F.bit_count(F.col("s1").bitwiseXOR(other["s1"])))
+        return (5 * F.least(F.col("n"), other["n"]) >= 4 * F.greatest(F.col("n"), other["n"])) & (9 * F.least(F.col("rest"), other["rest"]) >= 4 * both) & (9 * differ <= both)
+
+    def pair(other):
+        return F.least("key", other["key"]).alias("x"), F.greatest("key", other["key"]).alias("y")
+
+    center = F.col("center")
+    met = index.join(group.select("gram", F.explode("centers").alias("center")), "gram")
+    stars = met.filter((F.col("key") != center["key"]) & close(center)).select(*pair(center)).distinct()
     roots = cut(components(near.union(copies).union(named(alike(cut(stars), sets)))))
 
     root = name.join(roots.withColumnRenamed("node", "least"), "least", "left").select("key", F.coalesce("root", "least").alias("root"))
-    index = index.join(group.filter("size > 2").select("gram", F.col("first.key").alias("first")), "gram").join(root, "key")
+    # a pair meets on many grams; of those among the first HEAD of both, only the first counts
+    root = root.join(sets.select("key", F.slice(first_places, 1, HEAD).alias("head")), "key")
+    index = index.join(group.filter("size > 2").select("gram", F.col("centers.key").alias("done")), "gram").join(root, "key")
     parts = index.groupBy("gram", "root").agg(F.count("*").alias("size"))
     apart = parts.groupBy("gram").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    index = cut(index.join(apart, "gram").filter("key != first"))
-    other = index.select("gram", F.col("key").alias("other"), F.col("n").alias("m"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("rest").alias("left_over"), F.col("root").alias("its"))
-    left = index.filter("root != main").join(other, "gram").filter(close & F.expr("root != its and (its = main or key < other)"))
-    left = left.select(F.least("key", "other").alias("x"), F.greatest("key", "other").alias("y")).distinct()
+    index = cut(index.join(apart, "gram").filter(~F.array_contains("done", F.col("key"))).drop("done"))
+    its = F.col("its")
+    others = index.select("gram", F.struct("key", "n", *PARITIES, "rest", "root", "head").alias("its"))
+    unlike = (F.col("root") != its["root"]) & ((its["root"] == F.col("main")) | (F.col("key") < its["key"]))
+    once = F.coalesce(F.get(F.array_intersect("head", its["head"]), F.lit(0)), F.col("gram")) == F.col("gram")
+    left = index.filter("root != main").join(others, "gram").filter(unlike & close(its) & once).select(*pair(its)).distinct()
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a > b").union(named(alike(cut(left), sets))))
 
 
