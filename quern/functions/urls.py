@@ -35,3 +35,57 @@ def path_score(url: Column, hints) -> Column:
     low = F.lower(path(url))
     depth = F.size(F.split(F.trim(low, F.lit("/")), "/"))
     return sum((F.when(low.rlike(h), 2).otherwise(0) for h in hints), F.lit(0)) + F.when(depth >= 3, 1).otherwise(0)
+
+
+def safe_segment(x: Column) -> Column:
+    """Whether x is one path segment: not empty, no slash of either kind, neither . nor .."""
+    return F.coalesce(x.rlike(r"^[^/\\]+$") & ~x.isin(".", ".."), F.lit(False))
+
+
+def matches_any(url: Column, patterns) -> Column:
+    """Whether the lower-cased path has one of the patterns."""
+    return F.lower(path(url)).rlike("|".join(f"(?:{p})" for p in patterns))
+
+
+def same_host(a: Column, b: Column) -> Column:
+    """Whether two urls have one host, www. aside."""
+    return F.regexp_replace(authority(a), r"^www\.", "") == F.regexp_replace(authority(b), r"^www\.", "")
+
+
+def image_key_of(product: Column, key: Column) -> Column:
+    """Whether an image key belongs to the product: its id, a slash, six letters or digits and a picture's extension."""
+    rest = F.substr(key, F.char_length(product) + 2)
+    return key.startswith(F.concat(product, F.lit("/"))) & rest.rlike(r"^[a-zA-Z0-9]{6}\.(png|jpg|jpeg|webp)$")
+
+
+def url_key(url: Column) -> Column:
+    """A key of a url: no fragment, parameters sorted, percent signs decoded where they decode, no slash at the end."""
+    whole = F.regexp_replace(url, "#.*$", "")
+    query = F.array_join(F.array_sort(F.filter(F.split(F.regexp_extract(whole, r"\?(.*)$", 1), "&"), lambda p: p != "")), "&")
+    begin = F.regexp_replace(F.regexp_replace(whole, r"\?.*$", ""), "/+$", "")
+    key = F.concat(begin, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.coalesce(F.try_url_decode(F.replace(key, F.lit("+"), F.lit("%2B"))), key)
+
+
+def absolute(url: Column, base: Column) -> Column:
+    """A link made absolute on its page, without fragment; null for other schemes and blank links."""
+    link = F.trim(F.regexp_replace(url, "#.*$", ""))
+    origin = F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*)", 1)
+    folder = F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*(?:[^?#]*/)?)", 1)
+    return (
+        F.when(link.isNull() | (link == "") | link.rlike(r"(?i)^(mailto|tel|javascript|data):"), None).when(link.rlike(r"(?i)^https?://"), link)
+        .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:/?#]+:)", 1), link)).when(link.startswith("/"), F.concat(origin, link))
+        .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), link))
+    )
+
+
+def page_filename(url: Column) -> Column:
+    """A file name of a page: a slug of up to 80 characters and ten of the url's SHA-1."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(url, r"^[^:]+://", "")), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.concat(F.left(slug, F.lit(80)), F.lit("-"), F.left(F.sha1(url.cast("binary")), F.lit(10)))
+
+
+def short_url(url: Column) -> Column:
+    """The last path part, decoded."""
+    last = F.element_at(F.filter(F.split(path(url), "/"), lambda p: p != ""), -1)
+    return F.coalesce(F.try_url_decode(last), last, url)

@@ -18,13 +18,27 @@ class Filters:
     brand: str | None = None
     min_rating: float | None = None
     notes: list[str] = field(default_factory=list)
+    accords: list[str] = field(default_factory=list)
     votes: list[str] = field(default_factory=list)
     sort: str = "name"
     limit: int = 20
     offset: int = 0
 
 
-def facet(products: DataFrame, chosen: Filters, ratings: DataFrame, notes: DataFrame, votes: DataFrame) -> DataFrame:
+def filters_of(params: dict[str, str]) -> Filters:
+    """Filters from the parameters of a request: lists by comma, blanks dropped, numbers read; what isn't named keeps its default."""
+
+    def names(key):
+        return [x.strip() for x in params.get(key, "").split(",") if x.strip()]
+
+    rating = params.get("min_rating")
+    return Filters(
+        params.get("category") or None, params.get("brand") or None, float(rating) if rating else None, names("notes"), names("accords"), names("vote_options"),
+        params.get("sort") or "name", int(params.get("limit") or 20), int(params.get("offset") or 0),
+    )
+
+
+def facet(products: DataFrame, chosen: Filters, ratings: DataFrame, notes: DataFrame, votes: DataFrame, accords: DataFrame | None = None) -> DataFrame:
     """The chosen products, unsorted; semi joins keep one row each, and tables that no filter needs stay out of the plan."""
     if chosen.category:
         products = products.filter(F.col("category_slug") == chosen.category)
@@ -32,6 +46,8 @@ def facet(products: DataFrame, chosen: Filters, ratings: DataFrame, notes: DataF
         products = products.filter(F.col("brand_slug") == chosen.brand)
     if chosen.notes:
         products = products.join(notes.filter(F.col("note").isin(chosen.notes)), "product_id", "left_semi")
+    if chosen.accords:
+        products = products.join(accords.filter(F.col("accord").isin(chosen.accords)), "product_id", "left_semi")
     for option in chosen.votes:
         products = products.join(votes.filter((F.col("option") == option) & (F.col("votes") > 0)), "product_id", "left_semi")
     if chosen.min_rating is not None:
