@@ -133,3 +133,61 @@ def best_links(links: DataFrame, limit: int | None = None) -> DataFrame:
     """url and its best score, best first; a limit is the feature of the top list."""
     best = links.groupBy("url").agg(F.max("score").alias("score"))
     return best if limit is None else best.orderBy(F.desc("score"), "url").limit(limit)
+
+
+def newest(rows: DataFrame, key: str, order: list, n: int) -> DataFrame:
+    """The first n rows of each key in order: profiles of the newest reviews, tails of logs."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
+
+
+def status_profile(rows: DataFrame, key: str, statuses: list[str]) -> DataFrame:
+    """key, one count for each status (zeroes too) and the total."""
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in statuses]
+    return rows.groupBy(key).agg(*counts, F.count("*").alias("total"))
+
+
+def paired_by_place(left: DataFrame, right: DataFrame, key: str, left_order: list, right_order: list) -> DataFrame:
+    """Rows of both sides with the same place within a key, each side in its own order; the longer side's rest is left out."""
+    def placed(rows, order):
+        return rows.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+    return placed(left, left_order).join(placed(right, right_order), [key, "_place"]).drop("_place")
+
+
+def nth_of_type(nodes: DataFrame) -> DataFrame:
+    """nodes (page, parent, tag, ord) with nth, the rank among siblings of the same tag."""
+    return nodes.withColumn("nth", F.row_number().over(Window.partitionBy("page", "parent", "tag").orderBy("ord")))
+
+
+def named_or_raw(rows: DataFrame, raw: DataFrame, word: str) -> DataFrame:
+    """Keys of rows whose name or url has the word in any case; those of raw rows where no row has it."""
+    def having(t):
+        return t.filter(F.lower("name").contains(word.lower()) | F.lower("url").contains(word.lower())).select("key").distinct()
+
+    found = having(rows)
+    some = found.limit(1).select(F.lit(True).alias("_some"))
+    return found.union(having(raw).join(F.broadcast(some), F.lit(True), "left_anti"))
+
+
+def resolve(wanted: DataFrame, options: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """wanted with `value` of the option that its keys name, and error where there is none."""
+    met = wanted.join(options.select(*keys, value), keys, "left")
+    return met.withColumn("error", F.when(F.col(value).isNull(), F.concat(F.lit("unknown option: "), F.concat_ws("/", *keys))))
+
+
+def guarded_update(rows: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
+    """rows with `column` changed where a change differs from what is there, and whether it did; null never differs, as in SQL."""
+    met = rows.join(changes.select(key, F.col(column).alias("_new")), key, "left")
+    differs = F.coalesce(F.col(column) != F.col("_new"), F.lit(False))
+    return met.select(*[F.when(differs, F.col("_new")).otherwise(F.col(c)).alias(c) if c == column else F.col(c) for c in rows.columns], differs.alias("changed"))
+
+
+def techniques(candidates: list[DataFrame], most: int) -> DataFrame:
+    """url and the first technique (0, 1, ...) that found it; later techniques count only while those before found fewer than `most`."""
+    found = None
+    for i, urls in enumerate(candidates):
+        mine = urls.select("url").distinct().withColumn("technique", F.lit(i))
+        found = mine if found is None else found.unionByName(mine.join(found.select("url"), "url", "left_anti"))
+        if found.limit(most).count() >= most:
+            break
+    return found
