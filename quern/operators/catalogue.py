@@ -237,6 +237,17 @@ def community(catalog: DataFrame, counts: DataFrame, order: list[str]) -> DataFr
 
 
 def natural_key(name):
-    """A sort key that ignores case and reads digits as numbers of up to 18 digits."""
+    """A sort key that ignores case and reads digits as numbers of any length: their length comes before them."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.ltrim(p, F.lit("0")), 18, "0")).otherwise(p)), "")
+
+    def number(p):
+        digits = F.ltrim(p, F.lit("0"))
+        return F.concat(F.lpad(F.char_length(digits).cast("string"), 10, "0"), digits)
+
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), number(p)).otherwise(p)), "")
+
+
+def ranked(rows: DataFrame, name: str, tie: str) -> DataFrame:
+    """rows with place, 1, 2, ... in the natural order of `name` (then `tie`); ranges are counted apart and get offsets."""
+    keyed = rows.select(F.struct("*").alias("row"), F.struct(natural_key(F.col(name)).alias("key"), F.col(tie).alias("tie")).alias("by"))
+    return numbered(keyed, [], "by").select("row.*", F.col("_n").cast("int").alias("place"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as entities
+import json
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -37,21 +38,61 @@ def page_text(html):
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"[ \t ]+", " "), r"\s*\n\s*", "\n"))
 
 
+def _objects(block: str) -> list[str]:
+    """Every object of a JSON text, each before those inside it, as JSON; none of a text that isn't JSON."""
+    try:
+        rest = [json.loads(block)]
+        found = []
+        while rest:
+            value = rest.pop()
+            if isinstance(value, dict):
+                found.append(json.dumps(value))
+                value = list(value.values())
+            if isinstance(value, list):
+                rest += reversed(value)
+        return found
+    except (ValueError, RecursionError):
+        return []
+
+
 def json_ld(pages: DataFrame) -> DataFrame:
-    """page_id, place, node (variant) of each JSON-LD block, its @graph and list members; bad JSON is skipped."""
+    """page_id, place (of the block), depth (0, 1, ... of its objects, outer ones first), node (variant) of every object in JSON-LD blocks, however deep; bad JSON is skipped."""
     block = F.regexp_extract_all("html", F.lit(r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
-    rows = pages.select("page_id", F.posexplode(block).alias("place", "json")).select("page_id", "place", F.try_parse_json("json").alias("v")).filter("v is not null")
-    nested = F.coalesce(F.try_variant_get("v", "$['@graph']", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"), F.array().cast("array<variant>"))
-    return rows.select("page_id", "place", F.posexplode(F.concat(F.array("v"), nested)).alias("depth", "node"))
+    rows = pages.select("page_id", F.posexplode(block).alias("place", "json"))
+
+    def run(part: pd.Series) -> pd.Series:
+        return part.map(_objects)
+
+    nodes = rows.select("page_id", "place", F.posexplode(F.pandas_udf(run, "array<string>")("json")).alias("depth", "json"))
+    return nodes.select("page_id", "place", "depth", F.try_parse_json("json").alias("node")).filter("node is not null")
+
+
+def _is_product(node):
+    """Whether a node's type, or one of its types, is product in any case."""
+    kinds = F.coalesce(F.try_variant_get(node, "$['@type']", "array<string>"), F.array(F.try_variant_get(node, "$['@type']", "string")))
+    return F.exists(kinds, lambda k: F.coalesce(F.lower(k) == "product", F.lit(False)))
+
+
+def product_images(node):
+    """Distinct http addresses of a product's images in order: texts, objects with url or contentUrl, lists of them and lists in these."""
+
+    def address(v):
+        either = [F.try_variant_get(v, f"$.{f}", "string") for f in ("url", "contentUrl")]
+        text = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+        return F.coalesce(text, *[F.when(x != "", x) for x in either])
+
+    image = F.try_variant_get(node, "$.image", "variant")
+    listed = F.coalesce(F.try_variant_get(image, "$", "array<variant>"), F.array(image))
+    flat = F.flatten(F.transform(listed, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))))
+    return F.array_distinct(F.filter(F.transform(flat, address), lambda u: u.startswith("http")))
 
 
 def products(nodes: DataFrame) -> DataFrame:
-    """The first node of each page whose type is product, with its name, sku and first offer."""
-    kind = F.coalesce(F.try_variant_get("node", "$['@type'][0]", "string"), F.try_variant_get("node", "$['@type']", "string"))
+    """The first node of each page whose type is product, with its name, sku, first offer and images."""
     offer = lambda f: F.coalesce(F.try_variant_get("node", f"$.offers.{f}", "string"), F.try_variant_get("node", f"$.offers[0].{f}", "string"))
-    rows = nodes.filter(F.lower(kind) == "product").select(
+    rows = nodes.filter(_is_product(F.col("node"))).select(
         "page_id", F.struct("place", "depth").alias("order"),
-        F.struct(F.try_variant_get("node", "$.name", "string").alias("name"), F.try_variant_get("node", "$.sku", "string").alias("sku"), offer("price").alias("price"), offer("priceCurrency").alias("currency"), offer("availability").alias("availability")).alias("p"),
+        F.struct(F.try_variant_get("node", "$.name", "string").alias("name"), F.try_variant_get("node", "$.sku", "string").alias("sku"), offer("price").alias("price"), offer("priceCurrency").alias("currency"), offer("availability").alias("availability"), product_images(F.col("node")).alias("images")).alias("p"),
     )
     return rows.groupBy("page_id").agg(F.min_by("p", "order").alias("p")).select("page_id", "p.*")
 

@@ -1,17 +1,29 @@
-"""Search expressions over an inverted index: words, "phrases", prefix*, column:word, AND, OR, NOT, parentheses.
+"""Searches over an inverted index, given as structured terms: words, phrases, prefixes and fields.
 
-A phrase is judged on positions; everything else is a boolean over which words a document has, so a query is one
+A phrase is judged on positions; everything else is a boolean over which words a document has, so a search is one
 pass over the postings of its words and one group per document.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_PART = re.compile(r'\s*("(?P<phrase>[^"]*)"|(?P<mark>[()])|(?P<word>[^\s()"]+))')
+
+class Term(NamedTuple):
+    """A word, or several in a row (a phrase); prefix lets the last go on; field keeps to one column. Case doesn't count."""
+
+    text: str
+    field: str | None = None
+    prefix: bool = False
+
+    @property
+    def words(self) -> list[str]:
+        return [w for w in re.split(r"[\W_]+", self.text.lower()) if w]
 
 
 def postings(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -21,83 +33,34 @@ def postings(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.select(key, each).select(key, "f.field", F.posexplode(words).alias("position", "token"))
 
 
-def _terms(query: str):
-    """The query as a nested list and its leaves (field, words, prefix); words that can't be read as a mark are words."""
-    parts = [m for m in _PART.finditer(query)]
-    leaves, at = [], 0
-
-    def leaf(text, phrase):
-        field, _, rest = text.partition(":") if ":" in text and not phrase else ("", "", text)
-        words = [w for w in re.split(r"[^\w]+|_", rest.lower()) if w]
-        if words:
-            leaves.append((field, words, not phrase and rest.endswith("*")))
-        return ("leaf", len(leaves) - 1) if words else ("all",)
-
-    def either():
-        nonlocal at
-        found = [both()]
-        while at < len(parts) and parts[at]["word"] == "OR":
-            at += 1
-            found.append(both())
-        return ("or", *found)
-
-    def both():
-        nonlocal at
-        found = []
-        while at < len(parts) and parts[at]["word"] != "OR" and parts[at]["mark"] != ")":
-            m, negate = parts[at], False
-            at += 1
-            if m["word"] == "AND":
-                continue
-            if m["word"] == "NOT" and at < len(parts):
-                m, negate, at = parts[at], True, at + 1
-            if m["mark"] == "(":
-                one = either()
-                at += 1
-            else:
-                one = leaf(m["phrase"] if m["phrase"] is not None else m["word"] or "", m["phrase"] is not None)
-            found.append(("not", one) if negate else one)
-        return ("and", *found)
-
-    tree = either()
-    return tree, leaves
-
-
-def search(index: DataFrame, key: str, query: str) -> DataFrame:
-    """The keys that match, each once. A query of exclusions alone matches nothing, as do words that no document has."""
-    tree, leaves = _terms(query)
-
-    def fits(i):
-        field, words, prefix = leaves[i]
-        last = F.col("token").startswith(words[-1]) if prefix else F.col("token") == words[-1]
-        return (last if len(words) == 1 else last | F.col("token").isin(words[:-1])) & (F.col("field") == field if field else F.lit(True))
-
-    def has(i):
-        field, words, prefix = leaves[i]
-        if len(words) == 1:
-            return F.bool_or(fits(i))
-        # positions of the first word from which all others follow
-        sets = [F.collect_set(F.when((F.col("token").startswith(w) if prefix and k == len(words) - 1 else F.col("token") == w) & (F.col("field") == field if field else F.lit(True)), F.struct("field", (F.col("position") - k).alias("p")))) for k, w in enumerate(words)]
-        met = sets[0]
-        for s in sets[1:]:
-            met = F.array_intersect(met, s)
-        return F.size(met) > 0
-
-    def value(node):
-        kind, *rest = node
-        if kind == "leaf":
-            return F.col(f"h{rest[0]}")
-        if kind == "not":
-            return ~value(rest[0])
-        found = F.lit(kind != "or")
-        for one in rest:
-            found = found | value(one) if kind == "or" else found & value(one)
-        return found
-
-    if not leaves:
+def _is(term: Term, i: int) -> Column:
+    """Whether a posting is the term's i-th word."""
+    words = term.words
+    token = F.col("token").startswith(words[i]) if term.prefix and i == len(words) - 1 else F.col("token") == words[i]
+    return token if term.field is None else token & (F.col("field") == term.field)
+
+
+def _has(term: Term) -> Column:
+    """Over the postings of one document: whether the term is there."""
+    n = len(term.words)
+    if n == 1:
+        return F.bool_or(_is(term, 0))
+    # where the phrase would begin, told by each of its words
+    begins = [F.collect_set(F.when(_is(term, i), F.struct("field", (F.col("position") - i).alias("begin")))) for i in range(n)]
+    return F.size(reduce(F.array_intersect, begins)) > 0
+
+
+def search(index: DataFrame, key: str, every: list[Term] = (), either: list[list[Term]] = (), without: list[Term] = ()) -> DataFrame:
+    """The keys, each once, of documents with every term, one at least of each group of `either`, and none of `without`.
+
+    Terms without a word are left out, and so are groups of such terms. A search of exclusions alone matches nothing.
+    """
+    groups = [[t for t in group if t.words] for group in [*([t] for t in every), *either]]
+    groups, barred = [g for g in groups if g], [t for t in without if t.words]
+    if not groups:
         return index.select(key).limit(0)
-    wanted = F.lit(False)
-    for i in range(len(leaves)):
-        wanted = wanted | fits(i)
-    hits = index.filter(wanted).groupBy(key).agg(*[has(i).alias(f"h{i}") for i in range(len(leaves))])
-    return hits.filter(value(tree)).select(key)
+    terms = {t: f"h{i}" for i, t in enumerate(dict.fromkeys([*sum(groups, []), *barred]))}
+    wanted = reduce(Column.__or__, [_is(t, i) for t in terms for i in range(len(t.words))])
+    hits = index.filter(wanted).groupBy(key).agg(*[_has(t).alias(h) for t, h in terms.items()])
+    found = [reduce(Column.__or__, [F.col(terms[t]) for t in g]) for g in groups] + [~F.col(terms[t]) for t in barred]
+    return hits.filter(reduce(Column.__and__, found)).select(key)

@@ -56,6 +56,31 @@ def html_to_text(spark, d):
     return m.table(spark, d, "pages").select("page_id", pages.page_text(F.col("html")).alias("text"))
 
 
+_LD = """, j AS (SELECT p_partkey AS page_id, CASE p_partkey % 4 WHEN 0 THEN '{"@type": "product", "name": "' || p_name || '", "image": "http://a/1", "offers": {"price": ' || p_size || '}}'
+WHEN 1 THEN '{"@graph": [{"@type": "WebPage", "mainEntity": {"@type": ["Thing", "PRODUCT"], "sku": "s' || p_partkey || '", "name": "' || p_name || '", "offers": [{"price": "' || p_size || '.50", "priceCurrency": "EUR"}, {"price": "1"}], "image": ["http://a/' || p_size || '", {"url": "http://b/2"}, ["http://a/' || p_size || '", "x"], {"contentUrl": "http://c"}]}}, {"@type": "Product", "name": "later"}]}'
+WHEN 2 THEN '[[{"@type": "Offer"}], {"a": {"b": {"c": [{"@type": "Product", "sku": "' || p_size || '"}]}}}]' ELSE '{"@type": "Products"' END AS doc FROM part)"""
+
+
+@query(_LD + """, t AS (SELECT page_id, t.id, t.value AS v FROM j, json_tree(CASE WHEN json_valid(doc) THEN doc ELSE 'null' END) t WHERE t.type = 'OBJECT'),
+k AS (SELECT *, CASE json_type(v, '$."@type"') WHEN 'ARRAY' THEN json_extract_string(v, '$."@type"[*]') ELSE [json_extract_string(v, '$."@type"')] END AS kinds FROM t),
+f AS (SELECT page_id, arg_min(v, id) AS v FROM k WHERE list_contains(list_transform(kinds, lambda x: lower(x)), 'product') GROUP BY 1)
+SELECT page_id, json_extract_string(v, '$.name') AS name, json_extract_string(v, '$.sku') AS sku, coalesce(json_extract_string(v, '$.offers.price'), json_extract_string(v, '$.offers[0].price')) AS price,
+coalesce(json_extract_string(v, '$.offers.priceCurrency'), json_extract_string(v, '$.offers[0].priceCurrency')) AS currency,
+coalesce((SELECT string_agg(u, '|' ORDER BY i) FROM (SELECT u, min(id) AS i FROM (SELECT id, json_extract_string(atom, '$') AS u FROM json_tree(coalesce(f.v -> '$.image', 'null'))) WHERE u LIKE 'http%' GROUP BY 1)), '') AS images FROM f""")
+def ld_products(spark, d):
+    k, name, size = F.col("p_partkey"), F.col("p_name"), F.col("p_size").cast("string")
+    nested = F.concat(
+        F.lit('{"@graph": [{"@type": "WebPage", "mainEntity": {"@type": ["Thing", "PRODUCT"], "sku": "s'), k.cast("string"), F.lit('", "name": "'), name, F.lit('", "offers": [{"price": "'), size,
+        F.lit('.50", "priceCurrency": "EUR"}, {"price": "1"}], "image": ["http://a/'), size, F.lit('", {"url": "http://b/2"}, ["http://a/'), size, F.lit('", "x"], {"contentUrl": "http://c"}]}}, {"@type": "Product", "name": "later"}]}'),
+    )
+    plain = F.concat(F.lit('{"@type": "product", "name": "'), name, F.lit('", "image": "http://a/1", "offers": {"price": '), size, F.lit("}}"))
+    deep = F.concat(F.lit('[[{"@type": "Offer"}], {"a": {"b": {"c": [{"@type": "Product", "sku": "'), size, F.lit('"}]}}}]'))
+    doc = F.when(k % 4 == 0, plain).when(k % 4 == 1, nested).when(k % 4 == 2, deep).otherwise('{"@type": "Products"')
+    html = F.concat(F.lit('<p>a</p><script type="application/ld+json">'), doc, F.lit("</script>"))
+    found = pages.products(pages.json_ld(m.table(spark, d, "part").select(k.alias("page_id"), html.alias("html"))))
+    return found.select("page_id", "name", "sku", "price", "currency", F.coalesce(F.array_join("images", "|"), F.lit("")).alias("images"))
+
+
 @query()
 def dom_signature_groups(spark, d):
     return pages.repeated_groups(pages.elements(m.table(spark, d, "pages")))
@@ -73,7 +98,7 @@ _INDEX = "i AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS
 AND a.doc_id IN (SELECT doc_id FROM i WHERE token LIKE 'tion%') AND a.doc_id NOT IN (SELECT doc_id FROM i WHERE token = 'with')""")
 def fts_expression(spark, d):
     index = search.postings(m.table(spark, d, "documents"), "doc_id", ["text"])
-    return search.search(index, "doc_id", '"of the" tion* NOT with')
+    return search.search(index, "doc_id", every=[search.Term("of the"), search.Term("tion", prefix=True)], without=[search.Term("with")])
 
 
 @query("SELECT user_id, product_id, option IN ('click', 'purchase') AND user_id > 10 AS valid FROM last_votes")

@@ -58,6 +58,5 @@ def community_dimensions(spark, d):
 
 @query("SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_suppkey)::INT AS place FROM supplier")
 def natural_order(spark, d):
-    """One task ranks brands, which are one row each; a sorted listing without numbers is an orderBy on the key."""
     s = m.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Shop "), F.col("s_suppkey").cast("string")).alias("name"))
-    return s.select("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(c.natural_key(F.col("name")), "id")).alias("place"))
+    return c.ranked(s, "name", "id").select("id", "place")

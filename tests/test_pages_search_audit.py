@@ -20,6 +20,14 @@ def test_json_ld(shop):
     assert (row.page_id, row.name, row.sku, row.price, row.currency) == (1, "Fire", "s1", "45.00", "EUR")
 
 
+def test_json_ld_below_the_first_level(spark):
+    deep = '{"a": ' * 3000 + "1" + "}" * 3000
+    blocks = ['[{"@type": "Offer", "x": {"y": [{"@type": ["Thing", null, "PRODUCT"], "name": "in"}]}}, {"@type": "Product", "name": "out"}]', '{"mainEntity": {"@type": "product", "name": "main", "image": ["http://a", {"url": "", "contentUrl": "http://b"}, ["http://a", 3]]}}', "5", deep]
+    rows = [(i, f'<script type="application/ld+json">{b}</script>') for i, b in enumerate(blocks)]
+    nodes = pages.json_ld(spark.createDataFrame(rows, "page_id int, html string"))
+    assert {(r.page_id, r.name, tuple(r.images or [])) for r in pages.products(nodes).collect()} == {(0, "in", ()), (1, "main", ("http://a", "http://b"))}
+
+
 def test_text_and_links(shop):
     text = {r.page_id: r.t for r in shop.select("page_id", pages.page_text(F.col("html")).alias("t")).collect()}
     assert "Café & co" in text[1].split("\n") and "bad" not in text[1] and text[2] is None
@@ -39,13 +47,23 @@ def seed(spark):
     return search.postings(spark.createDataFrame(rows, "product_id string, name string, brand string, description string, notes string"), "product_id", ["name", "brand", "description", "notes"])
 
 
+def _terms(*texts, **how):
+    return [search.Term(t, **how) for t in texts]
+
+
 @pytest.mark.parametrize(
-    ("query", "want"),
-    [("flour", "bakery"), ("FLOUR milk", "bakery"), ("flour OR birch", "fire bakery x"), ("birch NOT smoke", "x"), ('"fire of"', "fire"), ('"of fire"', ""), ("nor*", "fire"), ("notes:wood*", "fire"),
-     ("description:birch", ""), ("(flour OR smoke) NOT milk", "fire"), ("a-b", ""), ("", ""), ("NOT flour", ""), ('"flour and sugar', "bakery"), ('"birch wood"', "")],
+    ("asked", "want"),
+    [
+        ({"every": _terms("flour")}, "bakery"), ({"every": _terms("FLOUR", "milk")}, "bakery"), ({"either": [_terms("flour", "birch")]}, "fire bakery x"),
+        ({"every": _terms("birch"), "without": _terms("smoke")}, "x"), ({"every": _terms("fire of")}, "fire"), ({"every": _terms("of fire")}, ""),
+        ({"every": _terms("nor", prefix=True)}, "fire"), ({"every": _terms("wood", field="notes", prefix=True)}, "fire"), ({"every": _terms("birch", field="description")}, ""),
+        ({"either": [_terms("flour", "smoke")], "without": _terms("milk")}, "fire"), ({"either": [_terms("flour", "smoke"), _terms("wood", "birch")]}, "fire"), ({"every": _terms("a-b")}, ""),
+        ({}, ""), ({"every": _terms("?!")}, ""), ({"without": _terms("flour")}, ""), ({"every": _terms("flour and sugar")}, "bakery"), ({"every": _terms("flour and su", prefix=True)}, "bakery"),
+        ({"every": _terms("birch wood")}, ""), ({"every": _terms("birch", "?"), "without": _terms("", "smoke")}, "x"),
+    ],
 )
-def test_search(seed, query, want):
-    assert {r.product_id for r in search.search(seed, "product_id", query).collect()} == {f"prod-{w}" for w in want.split()}
+def test_search(seed, asked, want):
+    assert {r.product_id for r in search.search(seed, "product_id", **asked).collect()} == {f"prod-{w}" for w in want.split()}
 
 
 def test_facets_on_the_seed(spark):
