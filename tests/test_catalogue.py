@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from quern.functions import numbers, text, urls
 from quern.operators import catalogue as c
-from quern.plans import labels, more, records, views, writing  # noqa: F401
+from quern.plans import auditing, labels, more, records, views, writing  # noqa: F401
 from quern.plans import queries as plans
 from quern.sources import files
 
