@@ -1,6 +1,6 @@
 """The operators' queries, and their SQL where SQL can express them."""
 
-from . import chat_format, exact_dedup, line_dedup, mixing, quality_rules, secret_scan, sentencepiece_codec, simhash, substring_dedup, url_filter
+from . import chat_format, chat_repair, exact_dedup, line_dedup, mixing, quality_rules, secret_scan, sentencepiece_codec, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op13_chat_repair": chat_repair.op13_chat_repair,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op6_chat_format": chat_format.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
     "op8_mixing": mixing.SQL,
+    "op13_chat_repair": chat_repair.SQL,
 }
