@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, work_place
 
-K, SHARD, LEAF, ANCHORS = 5, 4096, 128, 8192
+K, SHARD, LEAF, ANCHORS = 5, 4096, 256, 8192
 #: Share of the positive's score, in hundredths, that a negative has at least and at most.
 LEAST, MOST = 80, 100
 _EXACT = 2.0**53
@@ -112,40 +112,55 @@ class Shard:
         self.ids = np.asarray(ids.fill_null(0))[tree.rows]
         self.largest = float(np.abs(self.x).max(initial=0.0))
 
-    def scores(self, leaf: int, q: np.ndarray) -> np.ndarray:
-        """Exact integer inner products of a leaf's rows and an anchor."""
-        width = min(len(q), self.x.shape[1])
-        rows, q = self.x[self.tree.edge[leaf] : self.tree.edge[leaf + 1], :width], q[:width]
+    def opened(self, leaf: int, q: np.ndarray, wanted: np.ndarray, floor: np.ndarray, ceiling: np.ndarray) -> list[list]:
+        """For each anchor the rows of a leaf that it wants, as (-score, id is null, id), best first; scores are exact integers from floor to ceiling."""
+        first, last = self.tree.edge[leaf], self.tree.edge[leaf + 1]
+        width = min(q.shape[1], self.x.shape[1])
+        rows, q = self.x[first:last, :width], q[:, :width]
         if self.largest * float(np.abs(q).max(initial=0.0)) * max(1, width) < _EXACT:
-            return (rows @ q).astype(np.int64)
-        q = [int(v) for v in q]
-        return np.array([sum(int(a) * b for a, b in zip(row, q, strict=True)) for row in rows.tolist()], dtype=object)
-
-    def nearest(self, order, top, bottom, scored, fits, low, high, k: int, best: list) -> list:
-        """The k best (-score, id is null, id) of `best` and the rows that fit with scores from low to high; leaves come nearest first.
-
-        scored: leaf -> scores of this anchor, fits: leaf -> rows allowed.
+            scores = q @ rows.T
+        else:
+            whole = np.frompyfunc(int, 1, 1)
+            scores = whole(q) @ whole(rows).T if width else np.zeros((len(q), last - first), dtype=object)
+        anchor, at = np.nonzero(wanted & (scores >= floor[:, None]).astype(bool) & (scores <= ceiling[:, None]).astype(bool))
+        found = [[] for _ in q]
+        rows = zip(anchor.tolist(), scores[anchor, at].tolist(), self.unnamed[first + at].tolist(), self.ids[first + at].tolist(), strict=True)
+        for n, score, unnamed, i in rows:
+            found[n].append((-int(score), unnamed, i))
+        for rows in found:
+            rows.sort()
+        return found
+
+    def search(self, q: np.ndarray, windows: list[list], wanted, best: dict, k: int, step: int = 512) -> None:
+        """Bring best[anchor, place], the k best (-score, id is null, id) so far, up to date with this shard.
+
+        windows: of each anchor its (place, low, high). wanted(anchors, leaf): which rows of a leaf each of a slice of anchors may take.
+        Each anchor opens its leaves nearest first; a leaf is scored once for the anchors of a block, by a product of matrices.
         """
-        for leaf in order:
-            reach = top[leaf] if high is None else min(top[leaf], high)
-            if (low is not None and reach < low) or (len(best) == k and reach < -best[-1][0]):
-                break
-            if high is not None and bottom[leaf] > high:
-                continue
-            score, ok = scored(leaf), fits(leaf)
-            if high is not None:
-                ok = ok & (score <= high)
-            least = low if len(best) < k else -best[-1][0] if low is None else max(low, -best[-1][0])
-            if least is not None:
-                ok = ok & (score >= least)
-            at = np.flatnonzero(ok.astype(bool))
-            if len(at):
-                first = self.tree.edge[leaf]
-                if len(at) > 4 * k:  # ties of the k-th stay in
-                    at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k]]
-                found = zip((-score[at]).tolist(), self.unnamed[first + at].tolist(), self.ids[first + at].tolist(), strict=True)
-                best = sorted([*best, *found])[:k]
-        return best
+        for start in range(0, len(q), step):
+            part = slice(start, min(len(q), start + step))
+            top, bottom = self.tree.bounds(q[part])
+            order, top, bottom = np.argsort(-top, axis=1, kind="stable").tolist(), top.tolist(), bottom.tolist()
+            ceiling = np.array([max((high for _, _, high in asked), default=-math.inf) for asked in windows[part]])
+            leaves = {}
+            for i, asked in enumerate(windows[part]):
+                held = [(low, high, best.setdefault((start + i, place), [])) for place, low, high in asked]
+                for leaf in order[i]:
+                    # windows that this leaf, and so every later one, is too far for are done
+                    held = [h for h in held if (reach := min(top[i][leaf], h[1])) >= h[0] and (len(h[2]) < k or reach >= -h[2][-1][0])]
+                    if not held:
+                        break
+                    if all(bottom[i][leaf] > high for _, high, _ in held):
+                        continue
+                    if leaf not in leaves:
+                        floor = [min((max(low, -b[-1][0]) if len(b := best.get((start + j, place), ())) == k else low for place, low, _ in each), default=math.inf) for j, each in enumerate(windows[part])]
+                        leaves[leaf] = self.opened(leaf, q[part], wanted(part, leaf), np.array(floor), ceiling)
+                    for row in leaves[leaf][i]:
+                        for low, high, rows in held:
+                            if low <= -row[0] <= high and (len(rows) < k or row < rows[-1]):
+                                rows.append(row)
+                                rows.sort()
+                                del rows[k:]
 
 
 INDEX = "ids array<long>, labels array<long>, width int, vectors binary"
@@ -176,64 +191,42 @@ def _shards(batches):
             yield Shard(ids, labels, x, Tree(x))
 
 
-def _memo(make):
-    kept = {}
-
-    def get(leaf):
-        if leaf not in kept:
-            kept[leaf] = make(leaf)
-        return kept[leaf]
-
-    return get
-
-
-def _views(shard: Shard, q: np.ndarray, labels: np.ndarray, step: int = 512):
-    """For each anchor: its number, the leaves nearest first, their bounds, and scores and labels by leaf, found when asked for."""
-    for start in range(0, len(q), step):
-        top, bottom = shard.tree.bounds(q[start : start + step])
-        order = np.argsort(-top, axis=1, kind="stable").tolist()
-        for i in range(len(order)):
-            n, edge = start + i, shard.tree.edge
-            same = _memo(lambda leaf, label=labels[n]: shard.labels[edge[leaf] : edge[leaf + 1]] == label)
-            yield n, order[i], top[i].tolist(), bottom[i].tolist(), _memo(lambda leaf, v=q[n]: shard.scores(leaf, v)), same
-
-
 POSITIVES = "anchor long, score long, id long"
 NEGATIVES = "anchor long, place long, score long, id long"
 
 
+def _columns(rows, names):
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+
 def _positives(batch, k):
     """The k best rows of the anchors' labels among the shards of a task."""
 
     def run(batches):
         ids, labels, q = batch.value
-        best = [[] for _ in ids]
+        best, windows = {}, [[(0, -math.inf, math.inf)]] * len(ids)
         for shard in _shards(batches):
-            for n, order, top, bottom, scored, same in _views(shard, q, labels):
-                own, edge = ids[n], shard.tree.edge
-                others = _memo(lambda leaf, own=own, same=same: same(leaf) & ((shard.ids[edge[leaf] : edge[leaf + 1]] != own) | shard.unnamed[edge[leaf] : edge[leaf + 1]]))
-                best[n] = shard.nearest(order, top, bottom, scored, others, None, None, k, best[n])
-        found = [(n, -s, None if unnamed else i) for n, rows in enumerate(best) for s, unnamed, i in rows]
-        columns = list(zip(*found, strict=True)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["anchor", "score", "id"])
+
+            def wanted(part, leaf, shard=shard):
+                at = slice(shard.tree.edge[leaf], shard.tree.edge[leaf + 1])
+                return (labels[part, None] == shard.labels[at]) & ((ids[part, None] != shard.ids[at]) | shard.unnamed[at])
+
+            shard.search(q, windows, wanted, best, k)
+        yield _columns([(n, -s, None if unnamed else i) for (n, _), rows in best.items() for s, unnamed, i in rows], ["anchor", "score", "id"])
 
     return run
 
 
-def _negatives(batch, windows, k):
-    """The k best rows of other labels in each window (anchor, place, low, high) among the shards of a task."""
+def _negatives(batch, asked, k):
+    """The k best rows of other labels in each window (place, low, high) of an anchor among the shards of a task."""
 
     def run(batches):
-        (_, labels, q), asked = batch.value, windows.value
-        best = {}
+        (_, labels, q), best = batch.value, {}
+        windows = [asked.value.get(n, []) for n in range(len(q))]
         for shard in _shards(batches):
-            for n, order, top, bottom, scored, same in _views(shard, q, labels):
-                differ = _memo(lambda leaf, same=same: ~same(leaf))
-                for place, low, high in asked.get(n, ()):
-                    best[n, place] = shard.nearest(order, top, bottom, scored, differ, low, high, k, best.get((n, place), []))
-        found = [(n, place, -s, None if unnamed else i) for (n, place), rows in best.items() for s, unnamed, i in rows]
-        columns = list(zip(*found, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["anchor", "place", "score", "id"])
+            shard.search(q, windows, lambda part, leaf, shard=shard: labels[part, None] != shard.labels[shard.tree.edge[leaf] : shard.tree.edge[leaf + 1]], best, k)
+        yield _columns([(n, place, -s, None if unnamed else i) for (n, place), rows in best.items() for s, unnamed, i in rows], ["anchor", "place", "score", "id"])
 
     return run
 
