@@ -1,6 +1,6 @@
 """The operators' queries, and their SQL where SQL can express them."""
 
-from . import chat_format, chat_repair, exact_dedup, hard_negatives, line_dedup, mixing, quality_rules, secret_scan, sentencepiece_codec, simhash, substring_dedup, url_filter
+from . import chat_format, chat_repair, exact_dedup, hard_negatives, line_dedup, mixing, quality_knn, quality_rules, secret_scan, sentencepiece_codec, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_quality_classifier": quality_knn.op11_quality_classifier,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_chat_repair": chat_repair.op13_chat_repair,
 }
