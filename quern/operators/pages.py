@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import html as entities
 import json
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements without an end tag.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+from . import dom
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -21,20 +18,11 @@ def links(pages: DataFrame) -> DataFrame:
     return rows.groupBy("page_id", "href").agg(F.min("place").alias("place"))
 
 
-def unescape(x):
-    """Entities restored, a batch at a time; there is no built-in for them."""
-
-    def run(part: pd.Series) -> pd.Series:
-        return part.map(lambda v: None if v is None else entities.unescape(v))
-
-    return F.pandas_udf(run, "string")(x)
-
-
 def page_text(html):
     """Text of a page: scripts and styles out, blocks on their own lines, entities restored."""
     x = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " ")
     x = F.regexp_replace(x, r"(?i)</(p|div|li|h[1-6]|tr|section|title)>|<br\s*/?>", "\n")
-    x = unescape(F.regexp_replace(x, r"(?s)<[^>]+>", " "))
+    x = dom.unescape(F.regexp_replace(x, r"(?s)<[^>]+>", " "))
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"[ \t ]+", " "), r"\s*\n\s*", "\n"))
 
 
@@ -97,43 +85,11 @@ def products(nodes: DataFrame) -> DataFrame:
     return rows.groupBy("page_id").agg(F.min_by("p", "order").alias("p")).select("page_id", "p.*")
 
 
-class _Tree(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.rows, self.open = [], []
-
-    def handle_starttag(self, tag, attrs):
-        parent = self.open[-1] if self.open else -1
-        path = (self.rows[parent]["path"] if parent >= 0 else "") + "/" + tag
-        self.rows.append({"node": len(self.rows), "parent": parent, "tag": tag, "path": path, "attrs": {k: v or "" for k, v in attrs}, "text": ""})
-        if tag not in VOID:
-            self.open.append(len(self.rows) - 1)
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.rows[self.open[i]]["tag"] == tag:
-                del self.open[i:]
-                return
-
-    def handle_data(self, data):
-        if self.open:
-            self.rows[self.open[-1]]["text"] += data
-
-
 def elements(pages: DataFrame) -> DataFrame:
-    """page_id, node, parent, tag, path, attrs, text of every element, in page order."""
-
-    def run(parts):
-        for part in parts:
-            rows = []
-            for page, html in zip(part["page_id"], part["html"], strict=True):
-                tree = _Tree()
-                tree.feed(html or "")
-                tree.close()
-                rows += [{"page_id": page, **r, "text": " ".join(r["text"].split())} for r in tree.rows]
-            yield pd.DataFrame(rows, columns=["page_id", "node", "parent", "tag", "path", "attrs", "text"])
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, node int, parent int, tag string, path string, attrs map<string,string>, text string")
+    """page_id, node, parent, tag, path, attrs, text (of all below) of every element, in page order."""
+    url = F.col("url") if "url" in pages.columns else F.lit("")
+    nodes = dom.elements(dom.trees(pages.select("page_id", url.alias("url"), "html")))
+    return nodes.select("page_id", "node", "parent", "tag", F.concat(F.lit("/"), F.array_join("tags", "/")).alias("path"), "attrs", "text")
 
 
 def repeated_groups(nodes: DataFrame, least: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text, urls
 from ..operators import audit, pages, search
 from . import model as m
+from .dom import dom_signature_groups, locator_best  # noqa: F401  the page queries are one module's to a caller
 from .queries import query
 
 
@@ -51,7 +52,8 @@ def link_scores(spark, d):
     return m.table(spark, d, "pages").select("page_id", urls.path_score(F.col("url"), ["/en/", r"\.html$"]).cast("int").alias("score"))
 
 
-@query()
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script>', ' ', 'gis'), '<style\b.*?</style>', ' ', 'gis'),
+'</(p|div|li|h[1-6]|tr|section|title)>|<br\s*/?>', chr(10), 'gi'), '<[^>]+>', ' ', 'gs'), '&quot;', chr(34)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&'), '[ \t\x{A0}]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g')) AS text FROM pages""".replace(chr(92) * 2, chr(92)))
 def html_to_text(spark, d):
     return m.table(spark, d, "pages").select("page_id", pages.page_text(F.col("html")).alias("text"))
 
@@ -81,16 +83,6 @@ def ld_products(spark, d):
     return found.select("page_id", "name", "sku", "price", "currency", F.coalesce(F.array_join("images", "|"), F.lit("")).alias("images"))
 
 
-@query()
-def dom_signature_groups(spark, d):
-    return pages.repeated_groups(pages.elements(m.table(spark, d, "pages")))
-
-
-@query()
-def locator_best(spark, d):
-    return pages.locate(pages.elements(m.table(spark, d, "pages")), {"lang": "en", "href": "/Of"}, "html")
-
-
 _INDEX = "i AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS p FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents))"
 
 
