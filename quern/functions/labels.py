@@ -22,19 +22,19 @@ def round_seconds(x: Column) -> Column:
 
 
 def long_enough(best: Column, raw: Column, least: int = 200) -> Column:
-    """The better text where it has `least` characters, else the raw one."""
-    return F.when(F.char_length(F.trim(best)) >= least, best).otherwise(raw)
+    """The better text where it has `least` characters, blanks at its ends aside; else the raw one, unless that is blank; null as empty."""
+    best, raw = F.coalesce(best, F.lit("")), F.coalesce(raw, F.lit(""))
+    return F.when(F.char_length(F.regexp_replace(best, r"^\s+|\s+$", "")) >= least, best).when(raw.rlike(r"\S"), raw).otherwise(best)
 
 
 def type_value(x: Column) -> Column:
-    """An attribute's value as a type: lower case, digits as #, 48 characters."""
-    return F.left(F.trim(F.regexp_replace(F.lower(x), r"\d+", "#")), F.lit(48))
+    """An attribute's value as a type: lower case, digits as one #, blanks squeezed, 48 characters."""
+    return F.left(F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[0-9]+", "#"), r"\s+", " ")), F.lit(48))
 
 
 def joined_values(values: Column) -> Column:
-    """Several raw values as lines; blank ones don't count, none gives null."""
-    kept = F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != "")
-    return F.when(F.size(kept) > 0, F.array_join(kept, "\n"))
+    """Several raw values as lines, as they are; empty ones and nulls don't count, and none gives an empty text."""
+    return F.coalesce(F.array_join(F.filter(values, lambda x: x != ""), "\n"), F.lit(""))
 
 
 def issues_line(issues: Column) -> Column:
@@ -47,8 +47,8 @@ def text_or_null(x: Column) -> Column:
 
 
 def first_text(direct: Column, parents: Column) -> Column:
-    """The direct value, else the first parent with text."""
-    return F.coalesce(text_or_null(direct), F.get(F.filter(F.transform(parents, lambda x: F.trim(x)), lambda x: x != ""), F.lit(0)))
+    """The direct value as it is where it has text, else the first parent that has; null if none has."""
+    return F.coalesce(F.when(direct.rlike(r"\S"), direct), F.get(F.filter(parents, lambda x: x.rlike(r"\S")), F.lit(0)))
 
 
 def listed(x: Column) -> Column:

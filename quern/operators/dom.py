@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.labels import type_value
 from .work import kept
 
 # Rules of HTML.
@@ -191,17 +192,12 @@ def common_ancestors(nodes: DataFrame, groups: list[str]) -> DataFrame:
     """`groups` and the lowest node that holds all of the group's rows: in page order, what the chains of the first and the last have in common."""
     chain = F.concat("ancestors", F.array("node"))
     ends = nodes.groupBy(*groups).agg(F.min_by(chain, "node").alias("first"), F.max_by(chain, "node").alias("final"))
-    return ends.select(*groups, F.element_at(F.array_intersect("first", "final"), -1).alias("ancestor"))
+    return ends.select(*groups, F.try_element_at(F.array_intersect("first", "final"), F.lit(-1)).alias("ancestor"))
 
 
 # repeated groups
 
 
-def type_value(value: Column) -> Column:
-    """A value of a kind: lower case, digits as one #, blanks squeezed, 48 characters."""
-    return F.left(F.trim(F.regexp_replace(F.regexp_replace(F.lower(value), r"[0-9]+", "#"), r"\s+", " ")), F.lit(48))
-
-
 def instance_specific(key: Column, value: Column) -> Column:
     value = F.trim(F.coalesce(value, F.lit("")))
     return key.rlike(INSTANCE_NAMES) | (key.startswith("data-") & value.rlike("^[0-9]+$")) | (key.rlike("(?i)^data-.*price") & value.rlike("^[0-9.]+$")) | ((key == "class") & value.rlike("[0-9]{3,}"))
@@ -331,7 +327,7 @@ def _anchored(nodes: DataFrame, recipes: DataFrame) -> DataFrame:
     anchors = index.join(asked, "key").filter(_selected(F.col("attrs"), F.col("anchor"))).select("recipe", "wanted_tag", "steps", "page_id", F.col("node").alias("from"), "last").distinct()
     alone = anchors.filter(F.size("steps") == 0).select("recipe", "wanted_tag", "page_id", F.col("from").alias("node"))
     # the last step of a path names the tag of what it leads to
-    tail = F.regexp_extract(F.element_at("steps", -1), r"^([^:\s]+)", 1)
+    tail = F.regexp_extract(F.try_element_at("steps", F.lit(-1)), r"^([^:\s]+)", 1)
     inner = anchors.filter(F.size("steps") > 0).withColumn("tag", tail).join(nodes.select("page_id", "node", "tag", "path", F.size("ancestors").alias("deep"), "ancestors"), ["page_id", "tag"])
     inside = inner.filter((F.col("node") > F.col("from")) & (F.col("node") <= F.col("last")) & (F.size("path") >= F.size("steps")))
     ends = F.slice("path", F.size("path") - F.size("steps") + 1, F.size("steps"))

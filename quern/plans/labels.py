@@ -66,24 +66,24 @@ def discovery_order(spark, d):
     return found
 
 
-@query(f"""SELECT line, order_id, grams, printf('£%.2f', price / 100) AS price, replace(lower(flag || '-' || line || '.' || grams), line || '.' || grams, '#.#') AS kind, flag || chr(10) || line AS raw,
-CASE WHEN grams > 25 THEN 'size: too large; one bad line' ELSE 'one bad line' END AS issues, CASE WHEN line > 3 THEN flag ELSE 'p' || line END AS source, CASE WHEN price % 100 = 0 THEN price // 100 ELSE -1 END AS minor FROM sizes""")
+@query(f"""SELECT line, order_id, grams, printf('£%.2f', price / 100) AS price, lower(flag) || ' -#.#' AS kind, flag || chr(10) || '  ' || chr(10) || ' ' || line AS raw,
+CASE WHEN grams > 25 THEN 'size: too large; one bad line' ELSE 'one bad line' END AS issues, CASE WHEN line > 3 THEN flag || ' ' ELSE ' p' || line END AS source, CASE WHEN price % 100 = 0 THEN price // 100 ELSE -1 END AS minor FROM sizes""")
 def record_labels(spark, d):
     line, grams = F.col("line").cast("string"), F.col("grams").cast("string")
     bad = F.array_compact(F.array(F.when(F.col("grams") > 25, F.struct(F.lit("size").alias("path"), F.lit("too large").alias("message"))), F.struct(F.lit("").alias("path"), F.lit("one bad line").alias("message"))))
     amount = F.when(F.col("price") % 100 == 0, (F.col("price") / 100).cast("long").cast("string")).otherwise("x1.5")
     return m.sizes(spark, d).select(
-        "line", "order_id", "grams", labels.plain_price(F.col("price")).alias("price"), labels.type_value(F.concat("flag", F.lit("-"), line, F.lit("."), grams)).alias("kind"),
+        "line", "order_id", "grams", labels.plain_price(F.col("price")).alias("price"), labels.type_value(F.concat(F.lit(" "), "flag", F.lit(" \n -"), line, F.lit("."), grams)).alias("kind"),
         labels.joined_values(F.array(F.col("flag"), F.lit("  "), F.concat(F.lit(" "), line))).alias("raw"), labels.issues_line(bad).alias("issues"),
-        labels.first_text(F.when(F.col("line") > 3, F.col("flag")).otherwise(" "), F.array(F.lit(""), F.concat(F.lit("p"), line))).alias("source"),
+        labels.first_text(F.when(F.col("line") > 3, F.concat("flag", F.lit(" "))).otherwise(" "), F.array(F.lit(""), F.concat(F.lit(" p"), line))).alias("source"),
         labels.whole_minor_units(amount, F.lit("GBP"), F.lit(-1).cast("long")).alias("minor"),
     )
 
 
-@query(f"""SELECT event_id, strftime(ts, '%Y-%m-%dT%H-%M-%SZ') AS run, CASE WHEN length(trim(props)) >= 10 THEN props ELSE event_type END AS body, [event_type] AS listed FROM events""")
+@query(f"""SELECT event_id, strftime(ts, '%Y-%m-%dT%H-%M-%SZ') AS run, CASE WHEN length(trim(props)) >= 10 THEN props WHEN event_id % 3 = 0 THEN coalesce(props, '') ELSE event_type END AS body, [event_type] AS listed FROM events""")
 def event_labels(spark, d):
     e = m.table(spark, d, "events")
-    return e.select("event_id", labels.run_id(F.col("ts")).alias("run"), labels.long_enough(F.col("props"), F.col("event_type"), 10).alias("body"), labels.listed(F.col("event_type")).alias("listed"))
+    return e.select("event_id", labels.run_id(F.col("ts")).alias("run"), labels.long_enough(F.col("props"), F.when(F.col("event_id") % 3 == 0, " \n").otherwise(F.col("event_type")), 10).alias("body"), labels.listed(F.col("event_type")).alias("listed"))
 
 
 @query(f"""SELECT p_partkey AS product_id, unnest(list_transform(string_split(p_name, ' '), lambda x, i: x || '|' || CASE WHEN i = 1 THEN 'given' ELSE {_SLUG.format('x')} END || '|' || CASE WHEN i = 2 THEN 'top' ELSE 'unknown' END)) AS note FROM part""")

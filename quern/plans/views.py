@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..operators import catalogue as c
 from ..operators import views as v
+from ..operators.pages import links
 from . import model as m
 from .queries import query
 
@@ -89,22 +90,41 @@ def facet_accords(spark, d):
     return c.facet(m.products(spark, d), chosen, m.ratings(spark, d), m.notes(spark, d), None, _accords(spark, d)).select("product_id", "name")
 
 
-@query("""SELECT page_id, left(regexp_replace(regexp_replace(lower(regexp_replace(url, '^[^:]+://', '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) || '-' || left(sha1(url), 10) AS file,
-regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '\\?.*$', ''), '/+$', '') || CASE WHEN q = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(q, '&')), '&') END AS key,
-regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '([^/]+)$', 1) AS short,
-regexp_replace(lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)), '^www\\.', '') = 'ththble.example.com' AS same FROM (SELECT *, regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1) AS q FROM pages WHERE url IS NOT NULL)""")
+@query(r"""SELECT page_id, left(regexp_replace(regexp_replace(k, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) || '-' || left(sha1(k), 10) || '.html' AS file,
+regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') || CASE WHEN q = '' THEN '' ELSE '?' || array_to_string(list_transform(list_sort(list_transform(string_split(q, '&'), lambda p, i: {'n': split_part(p, '=', 1), 'i': i, 'p': p})), lambda x: x.p), '&') END AS key,
+coalesce(nullif(regexp_extract(regexp_replace(regexp_replace(url, '^[^:]+://[^/?#]*', ''), '[?#].*$', ''), '([^/]+)/*$', 1), ''), regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) AS short,
+regexp_replace(lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)), '^www\.', '') = 'ththble.example.com' AS same, lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) = 'www.ththble.example.com' AS one
+FROM (SELECT *, regexp_extract(regexp_replace(url, '#.*$', ''), '\?(.*)$', 1) AS q, lower(regexp_replace(regexp_replace(regexp_replace(url, '^[^:]+://', ''), '[?#].*$', ''), '/+$', '')) AS k FROM pages WHERE url IS NOT NULL)""")
 def page_keys(spark, d):
     u = F.col("url")
-    same = urls.same_host(u, F.lit("http://www.ththble.example.com/x"))
-    return m.table(spark, d, "pages").filter("url is not null").select("page_id", urls.page_filename(u).alias("file"), urls.url_key(u).alias("key"), urls.short_url(u).alias("short"), same.alias("same"))
+    here = F.lit("http://www.ththble.example.com/x")
+    pages = m.table(spark, d, "pages").filter("url is not null")
+    return pages.select("page_id", urls.page_filename(urls.product_key(u)).alias("file"), urls.url_key(u).alias("key"), urls.short_url(u).alias("short"), urls.same_host(u, here).alias("same"), urls.same_authority(u, here).alias("one"))
 
 
-@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://h.org/p/x' WHEN 1 THEN 'http://o.com/' || page_id WHEN 2 THEN 'https://h.org/' || page_id WHEN 3 THEN 'https://cdn.org/' || page_id ELSE NULL END AS link FROM pages""")
+#: Each page's links and, by their place, forms of them that tell the rules apart.
+_LINKS = r""", l AS (SELECT page_id, href, min(place) AS place FROM (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS place FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']+)["'']', 1) AS h FROM pages)) GROUP BY 1, 2)"""
+
+
+@query(_LINKS + r"""SELECT page_id, place::INT AS place, CASE (page_id + place) % 10 WHEN 0 THEN o || href WHEN 4 THEN o || '/a/c' || href WHEN 5 THEN 'http://Other.org/x/../y' || href WHEN 6 THEN p || '//cdn.org' || href
+WHEN 7 THEN o || regexp_replace(w, '[^/]*$', '') || 'y?a=../b' WHEN 8 THEN o || '/b/' END AS link
+FROM (SELECT l.*, regexp_extract(url, '^([^:]+://[^/?#]*)', 1) AS o, regexp_extract(url, '^([^/]+)', 1) AS p, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS w FROM l JOIN pages USING (page_id))""")
 def absolute_links(spark, d):
-    k = F.col("page_id").cast("string")
-    link = F.when(F.col("page_id") % 6 == 0, "x#top").when(F.col("page_id") % 6 == 1, F.concat(F.lit("http://o.com/"), k)).when(F.col("page_id") % 6 == 2, F.concat(F.lit("/"), k))
-    link = link.when(F.col("page_id") % 6 == 3, F.concat(F.lit("//cdn.org/"), k)).when(F.col("page_id") % 6 == 4, F.concat(F.lit("MAILTO:"), k))
-    return m.table(spark, d, "pages").select("page_id", urls.absolute(link, F.lit("https://h.org/p/q?a=/b")).alias("link"))
+    pages = m.table(spark, d, "pages")
+    n, href = (F.col("page_id") + F.col("place")) % 10, F.col("href")
+    forms = [href, F.concat(F.lit(".."), href), F.lit("?page=2"), F.concat(F.lit("ftp://z"), href), F.concat(F.lit(" /a/./b/../c"), href, F.lit("#f")), F.concat(F.lit("http://Other.org/x/../y"), href, F.lit("#f")), F.concat(F.lit("//cdn.org"), href), F.lit("httpx/../y?a=../b"), F.lit("/../a/../b/c/.."), F.lit("HTTP://q.org")]
+    given = links(pages).select("page_id", "place", F.coalesce(*[F.when(n == i, f) for i, f in enumerate(forms)]).alias("given"))
+    return given.join(pages.select("page_id", "url"), "page_id").select("page_id", "place", urls.absolute(F.col("given"), F.col("url")).alias("link"))
+
+
+@query(_LINKS + r"""SELECT page_id, place::INT AS place, CASE (page_id + place) % 6 WHEN 0 THEN 'http://a.org/x' || h || '?a=9&a=1&ab=' || place || '&b=2' WHEN 1 THEN 'https://a.org:80' || h || '?q=a&b=1 2+' WHEN 2 THEN 'http://a.org' || h || '?=v&a=' WHEN 3 THEN 'no url' || href
+WHEN 4 THEN 'http://a.org/c' || h ELSE 'https://a.org' END AS key, CASE (page_id + place) % 6 WHEN 0 THEN right(h, length(h) - 1) WHEN 3 THEN right('no url' || href, 40) WHEN 5 THEN 'a.org' ELSE right(h, length(h) - 1) END AS short FROM (SELECT *, regexp_replace(href, '/+$', '') AS h FROM l WHERE regexp_matches(href, '^/[a-z]+/?$'))""")
+def link_keys(spark, d):
+    n, href = (F.col("page_id") + F.col("place")) % 6, F.col("href")
+    forms = [F.concat(F.lit("HTTP://A.org:80/x"), href, F.lit("//?b=2&a=9&ab="), F.col("place").cast("string"), F.lit("&a=1#f")), F.concat(F.lit("https://a.org:80"), href, F.lit("?q=a%26b=1+2%2B")), F.concat(F.lit("http://a.org"), href, F.lit("/?a&=v&")), F.concat(F.lit("no url"), href), F.concat(F.lit("http://a.org/b/../c"), href, F.lit("?#x?y")), F.lit("https://a.org:443/")]
+    plain = links(m.table(spark, d, "pages")).filter(href.rlike("^/[a-z]+/?$"))
+    u = F.coalesce(*[F.when(n == i, f) for i, f in enumerate(forms)])
+    return plain.select("page_id", "place", urls.url_key(u).alias("key"), urls.short_url(u).alias("short"))
 
 
 @query("""SELECT p_partkey AS product_id, p_partkey % 3 = 0 AS mine, p_partkey % 4 < 2 AS safe FROM part""")
