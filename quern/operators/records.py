@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,12 +62,46 @@ def derived_sources(targets: DataFrame) -> DataFrame:
     return with_text.groupBy("field").agg(F.array_sort(F.collect_set("parent")).alias("parents"), F.bool_or(F.col("confidence") == "also").alias("also"))
 
 
-def complete(prompts: DataFrame, model, column: str = "prompt", out: str = "reply") -> DataFrame:
-    """prompts with a model's replies: `model` takes a list of texts and gives as many; each batch is one call, failures are null."""
-    def run(part: pd.Series) -> pd.Series:
+def complete(prompts: DataFrame, model, column: str = "prompt", out: str = "reply", error: str = "error") -> DataFrame:
+    """prompts with a model's replies and, where there is none, the error: `model` takes a list of texts and gives as many.
+
+    A batch is one call; where that fails, its prompts are asked once more, each alone, so a bad one costs only its own reply.
+    """
+    def ask(texts: list) -> list[dict]:
         try:
-            return pd.Series(model(part.tolist()))
-        except Exception:  # noqa: BLE001  a model's failure is a row's error, not the job's
-            return pd.Series([None] * len(part))
+            replies = list(model(texts))
+            if len(replies) != len(texts):
+                raise ValueError(f"{len(replies)} replies to {len(texts)} prompts")
+            return [{"reply": r, "error": None} for r in replies]
+        except Exception as failed:  # noqa: BLE001  a model's failure is a row's error, not the job's
+            return [{"reply": None, "error": f"{type(failed).__name__}: {failed}"}] * len(texts)
+
+    def run(part: pd.Series) -> pd.DataFrame:
+        texts = part.tolist()
+        found = ask(texts)
+        if found and found[0]["error"] is not None:
+            found = [ask([t])[0] for t in texts]
+        return pd.DataFrame(found, columns=["reply", "error"])
+
+    answered = prompts.withColumn("_answer", F.pandas_udf(run, "reply string, error string")(F.col(column)))
+    return answered.withColumns({out: F.col("_answer.reply"), error: F.col("_answer.error")}).drop("_answer")
 
-    return prompts.withColumn(out, F.pandas_udf(run, "string")(F.col(column)))
+
+def remembered(rows: DataFrame, column: str, place: str, model, out: str = "reply") -> DataFrame:
+    """rows with the model's reply to each value of a column, from a table of replies at `place` that grows by what is new.
+
+    Distinct values without a reply yet are asked, in batches, and written with reply or error before anything reads them, so a second run asks
+    only for new values and those that failed. Nulls are never asked.
+    """
+    spark = rows.sparkSession
+    schema = "value string, reply string, error string"
+    try:
+        known = spark.read.schema(schema).parquet(place).filter("error is null")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = spark.createDataFrame([], schema)
+    asked = rows.select(F.col(column).cast("string").alias("value")).filter("value is not null").distinct().join(known, "value", "left_anti")
+    complete(asked, model, "value").select("value", "reply", "error").write.mode("append").parquet(place)
+    replies = spark.read.schema(schema).parquet(place).filter("error is null").groupBy("value").agg(F.min("reply").alias(out)).withColumnRenamed("value", "_value")
+    return rows.join(replies, F.col(column).cast("string") == F.col("_value"), "left").drop("_value")
