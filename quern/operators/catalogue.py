@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -236,9 +237,16 @@ def community(catalog: DataFrame, counts: DataFrame, order: list[str]) -> DataFr
     return rows.select("place", "dimension", "sort_order", "option", "n", total.alias("total"), numbers.percent(F.col("n"), total).alias("pct"))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters with accents, and the letters beneath them."""
+    marked = [c for c in map(chr, range(0xC0, 0x250)) if len(unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFD", c)[0].isascii()]
+    return "".join(marked), "".join(unicodedata.normalize("NFD", c)[0] for c in marked)
+
+
 def natural_key(name):
-    """A sort key that ignores case and reads digits as numbers of any length: their length comes before them."""
-    parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
+    """A sort key that ignores case and accents and reads digits as numbers of any length: their length comes before them."""
+    plain = F.lower(F.translate(F.regexp_replace(name, r"\p{M}+", ""), *_plain_letters()))
+    parts = F.regexp_extract_all(plain, F.lit(r"(\d+|\D+)"), F.lit(1))
 
     def number(p):
         digits = F.ltrim(p, F.lit("0"))
