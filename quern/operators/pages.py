@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,20 +27,74 @@ def page_text(html):
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"[ \t ]+", " "), r"\s*\n\s*", "\n"))
 
 
+#: Levels below an object that its VARIANT can hold; deeper values are null in it, and objects of their own.
+LEVELS = 400
+_JSON = re.compile(r'\s*("(?:[^"\\]|\\.)*"|[\[\]{},:]|[^\s\[\]{},:"]+)', re.S)
+
+
+def _flat(block: str) -> list[str]:
+    """Every object of a JSON text that is nested too deep for a VARIANT or a recursive parser, in the order of their beginnings, each as JSON."""
+    stack, done, place, at = [], [], 0, 0
+    value, end = None, len(block.rstrip())
+    while at < end:
+        token = _JSON.match(block, at)
+        if not token:
+            raise ValueError("not JSON")
+        at, token = token.end(), token.group(1)
+        if token in "[{":
+            stack.append((token, place, [], {}, [None]))
+            place += 1
+            continue
+        if token in ",:":
+            if not stack:
+                raise ValueError("not JSON")
+            if token == ":":
+                stack[-1][4][0] = value[0]
+            continue
+        if token in "]}":
+            if not stack or stack[-1][0] + token not in ("[]", "{}"):
+                raise ValueError("not JSON")
+            kind, begun, items, fields, _ = stack.pop()
+            made = items if kind == "[" else {k: v for k, (v, _) in fields.items()}
+            height = 1 + max((h for _, h in (items if kind == "[" else fields.values())), default=0)
+            made = [v for v, _ in items] if kind == "[" else made
+            if kind == "{":
+                done.append((begun, json.dumps(made)))
+            value = (made, height) if height < LEVELS else (None, 0)
+        else:
+            value = (json.loads(token), 0)
+        if stack:
+            kind, _, items, fields, key = stack[-1]
+            if kind == "[":
+                items.append(value)
+            elif key[0] is not None:
+                fields[key[0]] = value
+                key[0] = None
+    if stack:
+        raise ValueError("not JSON")
+    return [text for _, text in sorted(done)]
+
+
 def _objects(block: str) -> list[str]:
     """Every object of a JSON text, each before those inside it, as JSON; none of a text that isn't JSON."""
     try:
-        rest = [json.loads(block)]
-        found = []
+        rest, found = [(json.loads(block), 1)], []
         while rest:
-            value = rest.pop()
+            value, level = rest.pop()
+            if level > LEVELS:
+                return _flat(block)
             if isinstance(value, dict):
                 found.append(json.dumps(value))
                 value = list(value.values())
             if isinstance(value, list):
-                rest += reversed(value)
+                rest += [(v, level + 1) for v in reversed(value)]
         return found
-    except (ValueError, RecursionError):
+    except RecursionError:
+        try:
+            return _flat(block)
+        except ValueError:
+            return []
+    except ValueError:
         return []
 
 
@@ -62,7 +117,7 @@ def _is_product(node):
 
 
 def product_images(node):
-    """Distinct http addresses of a product's images in order: texts, objects with url or contentUrl, lists of them and lists in these."""
+    """Distinct http addresses of a product's images in order: texts, objects with url or contentUrl, and lists of them, up to 16 within each other."""
 
     def address(v):
         either = [F.try_variant_get(v, f"$.{f}", "string") for f in ("url", "contentUrl")]
@@ -71,7 +126,9 @@ def product_images(node):
 
     image = F.try_variant_get(node, "$.image", "variant")
     listed = F.coalesce(F.try_variant_get(image, "$", "array<variant>"), F.array(image))
-    flat = F.flatten(F.transform(listed, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))))
+    flat = listed
+    for _ in range(15):
+        flat = F.flatten(F.transform(flat, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))))
     return F.array_distinct(F.filter(F.transform(flat, address), lambda u: u.startswith("http")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import catalogue, schema
+from ..operators import catalogue, ld, schema
 from . import model as m
 from .queries import query
 
@@ -59,3 +59,21 @@ def natural_accents(spark, d):
     k = F.col("p_partkey")
     name = F.concat(F.when(k % 4 == 0, "Éclair ").when(k % 4 == 1, "eclair ").when(k % 4 == 2, "Zebra ").otherwise("ünder "), (k % 1000).cast("string"))
     return catalogue.ranked(m.table(spark, d, "part").select(k.alias("product_id"), name.alias("name")), "name", "product_id").select("product_id", "place")
+
+
+@query("""SELECT product_id, place, value, grams, price, currency, sku, place = 0 AS is_primary FROM (SELECT product_id, (row_number() OVER (PARTITION BY product_id ORDER BY i) - 1)::INT AS place, * EXCLUDE (product_id) FROM (
+SELECT product_id, min(i) AS i, value, any_value(grams) AS grams, arg_min(price, i) AS price, arg_min(currency, i) AS currency, sku FROM (
+SELECT k AS product_id, 0 AS i, s::DOUBLE AS value, s AS grams, CASE WHEN k % 3 = 2 THEN 1250 ELSE s * 100 END AS price, CASE WHEN k % 3 = 2 THEN 'GBP' ELSE 'EUR' END AS currency, 'p' || k AS sku FROM p
+UNION ALL SELECT k, 1, s, s, s * 100, 'EUR', 'p' || k FROM p WHERE k % 3 = 1 UNION ALL SELECT k, 2, 2, 57, 150, 'USD', 'o' || k FROM p WHERE k % 3 = 1
+UNION ALL SELECT k, 3, 1, 1000, 999, CASE WHEN k % 3 = 2 THEN 'GBP' ELSE 'EUR' END, 'v1' FROM p UNION ALL SELECT k, 4, s, s, NULL, CASE WHEN k % 3 = 2 THEN 'GBP' ELSE 'EUR' END, 'p' || k FROM p WHERE k % 5 = 0
+) GROUP BY product_id, value, sku, (CASE WHEN i = 2 THEN 'oz' WHEN i = 3 THEN 'kg' ELSE 'g' END)))""".replace("FROM p", "FROM (SELECT p_partkey AS k, p_size::INT AS s FROM part) AS p"))
+def ld_sizes(spark, d):
+    p = m.table(spark, d, "part")
+    k, key, size = F.col("p_partkey"), F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    t = lambda x: F.lit(x)
+    one = F.concat(t('{"price": "'), size, t('.00", "priceCurrency": "EUR", "availability": "https://schema.org/InStock"}'))
+    offers = F.when(k % 3 == 0, one).when(k % 3 == 1, F.concat(t("["), one, t(', 5, {"size": "2 oz", "price": 1.5, "priceCurrency": "USD", "sku": "o'), key, t('"}]'))).otherwise('{"price": 1250, "priceCurrency": "GBP"}')
+    variants = F.concat(t('[{"size": "1kg", "sku": "v1", "offers": {"price": "9.99"}}, {}'), F.when(k % 5 == 0, F.concat(t(', {"size": "'), size, t(' g", "sku": "p'), key, t('"}'))).otherwise(""), t("]"))
+    doc = F.concat(t('{"size": "'), size, t(' g", "sku": "p'), key, t('", "offers": '), offers, t(', "hasVariant": '), variants, t("}"))
+    found = p.select(k.alias("product_id"), F.explode(ld.sizes(F.parse_json(doc), F.lit("https://a.org"))).alias("s"))
+    return found.select("product_id", "s.place", "s.value", "s.grams", "s.price", "s.currency", "s.sku", "s.is_primary")
