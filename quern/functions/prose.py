@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import noisy_description
+from .text import noisy_description, scent_summary
 
 #: Headings before a description, and labels (with a colon) that end it.
 MORE, SECTION = "More information", "Description|Product details|About (?:this|the) (?:product|candle)"
@@ -52,3 +52,45 @@ def pick_description(listed: Column, model: Column, page: Column) -> Column:
     given = [F.nullif(F.trim(c), F.lit("")) for c in (listed, model)]
     clean = _longest(F.array(*[F.when(~noisy_description(c), c) for c in given]))
     return F.coalesce(clean, description_in(page), *[description_in(c) for c in given], *given)
+
+
+# Stages by their labels, labels of lists of notes, accords looked for, in order.
+STAGES = (("top", "top"), ("heart", "middle"), ("middle", "middle"), ("base", "base"))
+LISTS = ("tasting notes", "notes", "fragrance notes", "olfactory notes")
+ACCORDS = ("woody", "vanilla", "citrus", "floral", "gourmand", "amber", "smoky", "spicy", "fresh", "musky", "powdery", "fruity", "green", "balsamic", "leather", "aquatic", "aromatic", "sweet", "warm")
+_NOTE = "array<struct<name: string, stage: string>>"
+
+
+def _names(chunk: Column, stage: str, least: int, numbered: bool = False) -> Column:
+    """Names of a list by commas and the word and; those of under `least` characters don't count."""
+    parts = F.transform(F.split(chunk, r",|\band\b"), lambda p: F.regexp_replace(p, r"\A\s+|\s+\z", ""))
+    if numbered:
+        parts = F.transform(parts, lambda p: F.regexp_replace(p, r"\A[\d.]+\s*", ""))
+    return F.transform(F.filter(parts, lambda p: F.char_length(p) >= least), lambda p: F.struct(p.alias("name"), F.lit(stage).alias("stage")))
+
+
+def notes_in(x: Column) -> Column:
+    """array<struct<name, stage>> of the notes that a description tells: a line of tasting notes; else what stands behind the first label of a list, by stages where it has any."""
+    inline = F.regexp_extract(x, r"(?i)tasting\s+notes\s*:\s*([^\n]+)", 1)
+    line = _names(F.nullif(inline, F.lit("")), "unknown", 3)
+    # the text behind the first label that is found, up to the next line that begins with a capital letter
+    chunk = F.coalesce(*[F.nullif(F.regexp_extract(x, rf"(?is){label}\s*:?\s*(.+?)(?:\n[A-Z]|\z)", 1), F.lit("")) for label in LISTS])
+    staged = F.concat(*[F.coalesce(_names(F.nullif(F.regexp_extract(chunk, rf"(?i){label}\s*:\s*([^.;]+)", 1), F.lit("")), stage, 1), F.array().cast(_NOTE)) for label, stage in STAGES])
+    told = F.when(F.size(staged) > 0, staged).otherwise(_names(chunk, "unknown", 3, numbered=True))
+    return F.coalesce(F.when(F.size(line) > 0, line), told, F.array().cast(_NOTE))
+
+
+def accords_in(x: Column) -> Column:
+    """Names of the accords that a description has, in the fixed order; the family it names comes first unless it is one of them."""
+    low = F.lower(x)
+    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(a)), F.lit(a)) for a in ACCORDS]))
+    family = scent_summary(x)
+    with_family = F.when(family.isNotNull() & ~F.array_contains(found, F.lower(family)), F.concat(F.array(family), found)).otherwise(found)
+    return F.coalesce(with_family, F.array().cast("array<string>"))
+
+
+def notes_and_accords(x: Column) -> Column:
+    """struct of notes and accords; a text with a line of tasting notes is asked for no accords."""
+    inline = _names(F.nullif(F.regexp_extract(x, r"(?i)tasting\s+notes\s*:\s*([^\n]+)", 1), F.lit("")), "unknown", 3)
+    accords = F.when(F.coalesce(F.size(inline), F.lit(0)) > 0, F.array().cast("array<string>")).otherwise(accords_in(x))
+    return F.struct(notes_in(x).alias("notes"), accords.alias("accords"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import prose
 from ..operators import catalogue, ld, schema
 from . import model as m
 from .queries import query
@@ -77,3 +78,18 @@ def ld_sizes(spark, d):
     doc = F.concat(t('{"size": "'), size, t(' g", "sku": "p'), key, t('", "offers": '), offers, t(', "hasVariant": '), variants, t("}"))
     found = p.select(k.alias("product_id"), F.explode(ld.sizes(F.parse_json(doc), F.lit("https://a.org"))).alias("s"))
     return found.select("product_id", "s.place", "s.value", "s.grams", "s.price", "s.currency", "s.sku", "s.is_primary")
+
+
+@query("""SELECT k AS product_id, CASE k % 5 WHEN 0 THEN list_transform(list_filter(w, lambda x: length(x) > 2), lambda x: x || '=unknown') WHEN 1 THEN list_concat([w[1] || '=top', 'x=top'], [w[2] || '=middle'], [w[1] || '=base', w[2] || '=base'])
+WHEN 2 THEN list_transform(list_filter([w[1], 'fine moss'], lambda x: length(x) > 2), lambda x: x || '=unknown') ELSE []::VARCHAR[] END AS notes,
+CASE k % 5 WHEN 0 THEN []::VARCHAR[] WHEN 3 THEN ['Chypre ' || w[1], 'woody', 'leather', 'warm'] WHEN 4 THEN ['amber', 'sweet'] WHEN 2 THEN ['green'] ELSE []::VARCHAR[] END AS accords FROM (SELECT p_partkey AS k, string_split(p_name, ' ') AS w FROM part)""")
+def prose_notes(spark, d):
+    k, w = F.col("p_partkey"), F.split("p_name", " ")
+    t = lambda x: F.lit(x)
+    forms = [
+        F.concat(t("Warm and amber.\nTasting  Notes : "), w[0], t(", "), w[1], t("\nNotes: none")), F.concat(t("Olfactory notes: top: "), w[0], t(", x; HEART: "), w[1], t(". base : "), w[0], t(" and "), w[1]),
+        F.concat(t("Green.\nFragrance notes\n1. "), w[0], t(", 2.x, 3. fine moss\nMade by hand, slowly")), F.concat(t("A WARM woody leather. Olfactive family: Chypre "), w[0], t(".")), F.concat(t("Amber, olfactive family: AMBER\nvery sweet")),
+    ]
+    x = F.coalesce(*[F.when(k % 5 == i, f) for i, f in enumerate(forms)])
+    found = m.table(spark, d, "part").select(k.alias("product_id"), prose.notes_and_accords(x).alias("f"))
+    return found.select("product_id", F.transform("f.notes", lambda n: F.concat(n["name"], F.lit("="), n["stage"])).alias("notes"), "f.accords")
