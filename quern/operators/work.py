@@ -5,17 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows as a table below spark.checkpoint.dir: no lineage, known sizes. Only a local master without that setting gets a folder of its own."""
-    spark = df.sparkSession
+def work_place(spark: SparkSession) -> str:
+    """A new place below spark.checkpoint.dir. Only a local master without that setting gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named := tempfile.mkdtemp(prefix="quern-checkpoint-"))
-    place = f"{named}/quern-work/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return f"{named}/quern-work/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as a table in the folder that all executors share: no lineage, known sizes."""
+    spark, place = df.sparkSession, work_place(df.sparkSession)
     df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place)
+
+
+def clear(spark: SparkSession) -> bool:
+    """Remove this application's work tables, once its results are written; whether there were any."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_place(spark)).getParent()
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import prose
-from ..operators import catalogue, ld, schema
+from ..operators import catalogue, ld, schema, store
+from ..operators.work import work_place
 from . import model as m
 from .queries import query
 
@@ -93,3 +94,26 @@ def prose_notes(spark, d):
     x = F.coalesce(*[F.when(k % 5 == i, f) for i, f in enumerate(forms)])
     found = m.table(spark, d, "part").select(k.alias("product_id"), prose.notes_and_accords(x).alias("f"))
     return found.select("product_id", F.transform("f.notes", lambda n: F.concat(n["name"], F.lit("="), n["stage"])).alias("notes"), "f.accords")
+
+
+def _incoming(rows, version):
+    """Parts as rows to import: later versions give some of the fields."""
+    k = F.col("p_partkey")
+    gone = lambda c, n: F.when((k % n != 0) | (F.lit(version) == 1), c)
+    sizes = F.transform(F.sequence(F.lit(1), (k % 3).cast("int") + 1), lambda i: F.struct((i * 100 + version).cast("int").alias("grams"), (i * k + version).cast("long").alias("price")))
+    name = F.when(k % 23 != 0, F.concat("p_name", F.lit(" "), k.cast("string")))
+    return rows.select(k.alias("place"), F.concat(F.lit("p-"), k.cast("string")).alias("slug"), name.alias("name"), gone(F.concat("p_brand", F.lit(f" v{version}")), 4).alias("brand"), gone(F.lit(f"text {version}"), 5).alias("description"), gone(F.split("p_name", " "), 11).alias("notes"), gone(sizes, 7).alias("sizes"))
+
+
+@query("""SELECT 'p-' || k AS slug, p_name || ' ' || k AS name, p_brand || ' v' || vb AS brand, p_name || ' ' || k || ' ' || p_brand || ' v' || vb || ' ' || p_name || ' text ' || vd AS text, (k % 3 + 1)::BIGINT AS n_sizes, (k + vs)::BIGINT AS price FROM (
+SELECT *, CASE WHEN k % 2 = 0 AND k % 4 <> 0 THEN 2 ELSE 1 END AS vb, CASE WHEN k % 2 = 0 AND k % 5 <> 0 THEN 2 ELSE 1 END AS vd, CASE WHEN k % 2 = 0 AND k % 7 <> 0 THEN 2 ELSE 1 END AS vs FROM (SELECT *, p_partkey AS k FROM part))
+WHERE k % 23 <> 0 AND (k % 3 <> 0 OR k % 2 = 0) AND NOT (k % 3 = 0 AND (k % 4 = 0 OR k % 5 = 0 OR k % 11 = 0 OR k % 7 = 0))""")
+def imported_products(spark, d):
+    """Two imports: parts that three doesn't divide, then the even ones with some fields left out (those new then and incomplete are not shown)."""
+    parts, kept_at = m.table(spark, d, "part"), store.Store(work_place(spark), 16)
+    kept_at.load(_incoming(parts.filter("p_partkey % 3 <> 0"), 1))
+    kept_at.load(_incoming(parts.filter("p_partkey % 2 = 0"), 2))
+    sizes = kept_at.table(spark, "sizes").groupBy("slug").agg(F.count("*").alias("n_sizes"), F.min(F.when(F.col("is_primary"), F.col("price"))).alias("price"))
+    found = kept_at.table(spark, "products").join(kept_at.table(spark, "documents").select("slug", "text"), "slug").join(sizes, "slug")
+    k = F.substring("slug", 3, 20).cast("long")
+    return found.filter(~((k % 3 == 0) & ((k % 4 == 0) | (k % 5 == 0) | (k % 11 == 0) | (k % 7 == 0)))).select("slug", "name", "brand", "text", "n_sizes", "price")
