@@ -95,7 +95,7 @@ g AS (SELECT page_id, top.s AS kind, CASE top.s WHEN 'plain' THEN plain + gone W
 t AS (SELECT page_id, kind, sum(held)::BIGINT AS n FROM g GROUP BY 1, 2)
 SELECT page_id::BIGINT AS page_id, CASE kind WHEN 'plain' THEN 'li[c~c|c~tile|data-key]' WHEN 'sold' THEN 'li[c~c|c~sold|c~tile|data-key]' ELSE 'li[c~promo]' END AS signature, n AS members,
   CASE kind WHEN 'note' THEN n + 6 ELSE 2 * n + 8 + 6 END AS score FROM t WHERE n >= 3
-UNION ALL SELECT page_id, 'section{ul}', 3::BIGINT, (3 + 8 + 3 + 6)::BIGINT FROM c GROUP BY 1 HAVING count(*) = 3 AND min(plain + gone) > 0
+UNION ALL SELECT page_id, 'section{ul}', 3::BIGINT, (3 + CASE WHEN sum(plain + gone) >= 3 THEN 8 WHEN sum(plain + gone) = 2 THEN 5 WHEN sum(plain + gone) = 1 THEN 2 ELSE 0 END + count(*) FILTER (plain + gone > 0) + 6)::BIGINT FROM c GROUP BY 1 HAVING count(*) = 3
 UNION ALL SELECT DISTINCT p_size::BIGINT, 'div[c~slide]', 4::BIGINT, (4 + 8 + 4 + 6)::BIGINT FROM part""")
 def product_grids(spark, d):
     found = dom.repeated_groups(dom.elements(dom.trees(grid_pages(spark, d))))

@@ -36,7 +36,7 @@ def import_errors(spark, d):
 
 
 @query("""SELECT p_size::BIGINT AS file, CASE WHEN bool_or(p_partkey % 19 = 0) THEN NULL ELSE arg_min(CASE WHEN ok THEN brand END, CASE WHEN ok THEN p_partkey END) END AS brand_slug, CASE WHEN bool_or(p_partkey % 19 = 0) THEN 0 ELSE count(*) FILTER (ok) END AS products,
-CASE WHEN bool_or(p_partkey % 19 = 0) THEN 0 ELSE count(*) FILTER (ok) END AS images, CASE WHEN bool_or(p_partkey % 19 = 0) THEN 0 ELSE count(*) FILTER (NOT ok) END AS invalid, CASE WHEN bool_or(p_partkey % 19 = 0) THEN 'Invalid JSON file' END AS error
+CASE WHEN bool_or(p_partkey % 19 = 0) THEN 0 ELSE count(*) FILTER (ok) END AS images, CASE WHEN bool_or(p_partkey % 19 = 0) THEN 0 ELSE count(*) FILTER (NOT ok) END AS invalid, CASE WHEN bool_or(p_partkey % 19 = 0) THEN 'Invalid JSON file' WHEN NOT bool_or(ok) THEN 'Could not detect brand_slug from import file' END AS error
 FROM (SELECT *, p_partkey % 11 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 13 <> 0 AS ok, lower(replace(p_brand, '#', '-')) AS brand FROM part WHERE p_size % 3 <> 0 OR p_partkey % 19 <> 0) GROUP BY 1""")
 def import_uploads(spark, d):
     rows = _documents(spark, d).filter("p_size % 3 <> 0 or product_id % 19 <> 0")
