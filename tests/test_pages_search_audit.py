@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,8 +44,8 @@ def test_elements(shop):
 
 
 @pytest.fixture(scope="module")
-def seed(spark):
-    rows = [("prod-fire", "Fire of Wood", "Nordic", "wood smoke", "woody birch"), ("prod-bakery", "Bakery", "Maison", "flour and sugar", "gourmand flour milk"), ("prod-x", "Plain", None, None, "birch")]
+def furniture(spark):
+    rows = [("item-lamp", "Tall Reading Lamp", "Harbour", "brass and linen", "brass shade switch"), ("item-desk", "Oak Desk", "Millwright", "oak with drawers", "oak drawer brass"), ("item-rug", "Rug", None, None, "wool")]
     return search.postings(spark.createDataFrame(rows, "product_id string, name string, brand string, description string, notes string"), "product_id", ["name", "brand", "description", "notes"])
 
 
@@ -54,32 +56,37 @@ def _terms(*texts, **how):
 @pytest.mark.parametrize(
     ("asked", "want"),
     [
-        ({"every": _terms("flour")}, "bakery"), ({"every": _terms("FLOUR", "milk")}, "bakery"), ({"either": [_terms("flour", "birch")]}, "fire bakery x"),
-        ({"every": _terms("birch"), "without": _terms("smoke")}, "x"), ({"every": _terms("fire of")}, "fire"), ({"every": _terms("of fire")}, ""),
-        ({"every": _terms("nor", prefix=True)}, "fire"), ({"every": _terms("wood", field="notes", prefix=True)}, "fire"), ({"every": _terms("birch", field="description")}, ""),
-        ({"either": [_terms("flour", "smoke")], "without": _terms("milk")}, "fire"), ({"either": [_terms("flour", "smoke"), _terms("wood", "birch")]}, "fire"), ({"every": _terms("a-b")}, ""),
-        ({}, ""), ({"every": _terms("?!")}, ""), ({"without": _terms("flour")}, ""), ({"every": _terms("flour and sugar")}, "bakery"), ({"every": _terms("flour and su", prefix=True)}, "bakery"),
-        ({"every": _terms("birch wood")}, ""), ({"every": _terms("birch", "?"), "without": _terms("", "smoke")}, "x"),
+        ({"every": _terms("linen")}, "lamp"), ({"every": _terms("BRASS", "drawers")}, "desk"), ({"either": [_terms("linen", "wool")]}, "lamp rug"),
+        ({"every": _terms("brass"), "without": _terms("oak")}, "lamp"), ({"every": _terms("oak desk")}, "desk"), ({"every": _terms("desk oak")}, ""),
+        ({"every": _terms("har", prefix=True)}, "lamp"), ({"every": _terms("draw", field="notes", prefix=True)}, "desk"), ({"every": _terms("wool", field="description")}, ""),
+        ({"either": [_terms("linen", "oak")], "without": _terms("drawer")}, "lamp"), ({"either": [_terms("linen", "oak"), _terms("brass", "wool")]}, "lamp desk"), ({"every": _terms("a-b")}, ""),
+        ({}, ""), ({"every": _terms("?!")}, ""), ({"without": _terms("linen")}, ""), ({"every": _terms("brass and linen")}, "lamp"), ({"every": _terms("brass and li", prefix=True)}, "lamp"),
+        ({"every": _terms("linen brass")}, ""), ({"every": _terms("wool", "?"), "without": _terms("", "oak")}, "rug"),
     ],
 )
-def test_search(seed, asked, want):
-    assert {r.product_id for r in search.search(seed, "product_id", **asked).collect()} == {f"prod-{w}" for w in want.split()}
-
-
-def test_facets_on_the_seed(spark):
-    products = spark.createDataFrame([(1, "Fire of Wood", "candle", "nordic"), (2, "Bakery", "candle", "maison")], "product_id int, name string, category_slug string, brand_slug string")
-    ratings = spark.createDataFrame([(1, 4.4), (2, 3.9)], "product_id int, rating_avg double")
-    notes = spark.createDataFrame([(1, "birch"), (2, "flour"), (2, "milk")], "product_id int, note string")
-    votes = spark.createDataFrame([(1, "winter", 3), (1, "strong", 1), (2, "winter", 2), (2, "strong", 0)], "product_id int, option string, votes int")
-
-    def found(**chosen):
-        return [r.product_id for r in catalogue.facet(products, catalogue.Filters(**chosen), ratings, notes, votes).collect()]
-
-    assert found(category="candle", min_rating=4.0, notes=["flour"]) == []
-    assert found(category="candle", min_rating=3.8, notes=["flour", "milk"]) == [2]
-    assert found(votes=["winter", "strong"]) == [1]
-    page = catalogue.page(catalogue.facet(products, catalogue.Filters(sort="rating", limit=1, offset=1), ratings, notes, votes), catalogue.Filters(sort="rating", limit=1, offset=1))
-    assert [r.product_id for r in page.collect()] == [2]
+def test_search(furniture, asked, want):
+    assert {r.product_id for r in search.search(furniture, "product_id", **asked).collect()} == {f"item-{w}" for w in want.split()}
+
+
+def test_facets_against_plain_filters(spark):
+    """Any of the notes, all of the voted options, at least the rating; then a page, best rated first."""
+    rng = random.Random(21)
+    items = {i: {"name": f"Item {i:02}", "category": rng.choice(["desk", "rug"]), "brand": rng.choice(["mill", "port"]), "rating": rng.choice([None, 10, 25, 40]), "notes": set(rng.sample("abcd", rng.randrange(3))), "votes": {o: rng.randrange(3) for o in rng.sample("xyz", 2)}} for i in range(40)}
+    products = spark.createDataFrame([(i, x["name"], x["category"], x["brand"]) for i, x in items.items()], "product_id int, name string, category_slug string, brand_slug string")
+    ratings = spark.createDataFrame([(i, x["rating"] / 10) for i, x in items.items() if x["rating"]], "product_id int, rating_avg double")
+    notes = spark.createDataFrame([(i, n) for i, x in items.items() for n in x["notes"]], "product_id int, note string")
+    votes = spark.createDataFrame([(i, o, n) for i, x in items.items() for o, n in x["votes"].items()], "product_id int, option string, votes int")
+    for chosen in ({"category": "desk"}, {"brand": "mill", "min_rating": 2.5}, {"notes": ["a", "c"]}, {"votes": ["x", "y"]}, {"category": "rug", "notes": ["b"], "min_rating": 1.0, "votes": ["z"]}):
+        want = [
+            i for i, x in items.items()
+            if x["category"] == chosen.get("category", x["category"]) and x["brand"] == chosen.get("brand", x["brand"]) and (x["rating"] or -1) / 10 >= chosen.get("min_rating", -1)
+            and (not chosen.get("notes") or x["notes"] & set(chosen["notes"])) and all(x["votes"].get(o, 0) > 0 for o in chosen.get("votes", []))
+        ]
+        assert sorted(r.product_id for r in catalogue.facet(products, catalogue.Filters(**chosen), ratings, notes, votes).collect()) == want
+    best = catalogue.Filters(category="desk", sort="rating", limit=3, offset=1)
+    rated = [x["rating"] for x in items.values() if x["category"] == "desk"]
+    page = catalogue.page(catalogue.facet(products, best, ratings, notes, votes), best).collect()
+    assert [items[r.product_id]["rating"] for r in page] == sorted(rated, key=lambda r: -(r or 0))[1:4]
 
 
 def test_audit(spark):
