@@ -219,15 +219,16 @@ def dedup_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     repeated = not given.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    given = given.withColumn("tag", F.xxhash64("text") if repeated else F.lit(0).cast("long"))  # tells rows of one id apart
     known = given.filter("id is not null")
-    hot = heavy_keys(known.select("id", "text"), heavy, rows_of=_anchor_rows(window, anchor, []))
+    hot = heavy_keys(known, heavy, rows_of=_anchor_rows(window, anchor, []))
 
-    rows = known.select("id", "text").mapInArrow(_anchor_rows(window, anchor, hot), "key long, id long")
+    rows = known.mapInArrow(_anchor_rows(window, anchor, hot), "key long, id long")
     group = Window.partitionBy("key")
     shared = rows.select("key", "id", (F.min("id").over(group) < F.max("id").over(group)).alias("shared")).filter("shared")
     lists = shared.groupBy("id").agg(F.collect_set("key").alias("keys"))
-    marked = known.join(lists, "id", "left").select("id", "text", "tag", "keys")
+    # both joins with known begin with the same shuffle of texts by id, which is written once
+    tag = F.xxhash64("text") if repeated else F.lit(0).cast("long")  # tells rows of one id apart
+    marked = known.join(lists, "id", "left").select("id", "text", tag.alias("tag"), "keys")
 
     crowd = hot_windows(known, hot, window, anchor, heavy)
     first, shard = {(r.k1, r.k2): r.first_id for r in crowd}, None
@@ -237,8 +238,13 @@ def dedup_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = marked.mapInArrow(_window_rows(window, anchor, hot, set(first)), "k1 long, k2 int, id long, tag long, pos int")
     group = Window.partitionBy("k1", "k2")
     gone = rows.select("id", "tag", "pos", (F.min("id").over(group) < F.col("id")).alias("later")).filter("later")
-    gone = gone.groupBy("id", "tag").agg(F.collect_set("pos").alias("starts")).withColumnsRenamed({"id": "_id", "tag": "_tag"})
-    kept = known.join(gone, (F.col("id") == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left").select("id", "text", "starts")
+    starts = F.collect_set("pos").alias("starts")
+    if repeated:  # a document's starts by tag
+        gone = gone.groupBy("id", "tag").agg(starts).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "starts"))).alias("by_tag"))
+        starts = F.try_element_at("by_tag", tag)
+    else:
+        gone, starts = gone.groupBy("id").agg(starts), F.col("starts")
+    kept = known.join(gone, "id", "left").select("id", "text", starts.alias("starts"))
     rest = given.filter("id is null").select("id", "text", F.lit(None).cast("array<int>").alias("starts"))
     return kept.union(rest).mapInArrow(_clean(window, shard), "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
 

@@ -280,6 +280,17 @@ def test_substring_dedup_brute(spark, corpus, heavy):
     assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_text").collect()), key=repr) == brute_substrings(rows)
 
 
+def test_substring_dedup_of_a_very_long_text_and_clashing_columns(spark):
+    """A text of 300,000 words meets a copy of a part of itself; the operator's own column names may be the table's too."""
+    draw = random.Random(9)
+    long = [f"w{draw.randint(0, 10**6)}" for _ in range(300_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(["x", *long[150_000:150_040], "y"])), (3, None), (4, "w w")]
+    df = spark.createDataFrame([(*r, "a", 7, [1]) for r in rows], "doc_id long, text string, tag string, pos int, starts array<int>")
+    for repeated in (df, df.union(df.filter("doc_id = 2"))):
+        got = [tuple(r) for r in substring_dedup.dedup_corpus(repeated).collect()]
+        assert sorted(set(got)) == brute_substrings(rows) and len(got) == repeated.count()
+
+
 def test_reference_spans(spark):
     reference = spark.createDataFrame([(" ".join(f"r{i}" for i in range(100)),), (None,)], "text string")
     docs = spark.createDataFrame([(1, "a " + " ".join(f"r{i}" for i in range(5, 30)) + " b"), (2, " ".join(f"r{i}" for i in range(12))), (3, None)], "doc_id long, text string")
