@@ -49,6 +49,28 @@ def price_label(minor: Column, currency: Column) -> Column:
     return F.concat(sign, F.when(minor % 100 == 0, F.format_number(minor / 100, 0)).otherwise(F.format_number(minor / 100, 2)))
 
 
+#: Colours of scent families; the first that a family's name holds counts.
+FAMILY_COLORS = {
+    "citrus": "#e8c547", "floral": "#d4a0b8", "woody": "#8b7355", "green": "#7a9e6e", "spicy": "#c47a4a", "fruity": "#d97a6a",
+    "aquatic": "#6ba3c4", "aromatic": "#8fa87a", "gourmand": "#b8956a", "earthy": "#7d6b5a", "musk": "#a89f94", "amber": "#c9a06c",
+}
+PLAIN_COLOR = "#d5cbbf"
+
+
+def family_color(family: Column) -> Column:
+    return F.coalesce(*[F.when(F.lower(family).contains(name), color) for name, color in FAMILY_COLORS.items()], F.lit(PLAIN_COLOR))
+
+
+def entity_color(color: Column, family: Column) -> Column:
+    """Its own colour, unless null or empty, else that of its family."""
+    return F.when(color != "", color).otherwise(family_color(family))
+
+
+def plain_number(x: Column) -> Column:
+    """Whole numbers without a point."""
+    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+
+
 def size_label(value: Column, unit: Column, grams: Column) -> Column:
     number = F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string"))
     return F.coalesce(F.when(unit != "", F.concat(number, unit)), F.concat(grams.cast("string"), F.lit("g")))
