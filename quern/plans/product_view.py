@@ -33,7 +33,7 @@ sz AS (SELECT product_id, order_id * 10 + line AS size_id, line AS position, fla
   CASE order_id % 4 WHEN 1 THEN 'https://www.brand-11.test/' WHEN 2 THEN 'https://www.shop' || order_id % 3 || '.test/p/' || product_id WHEN 3 THEN 'no url' END AS url FROM sizes),
 one AS (SELECT * FROM sz QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY NOT is_primary, position, g NULLS FIRST, size_id) = 1),
 cheap AS (SELECT * FROM sz WHERE price IS NOT NULL QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY price, position, NOT is_primary, g NULLS FIRST, size_id) = 1),
-shop AS (SELECT s.*, row_number() OVER (PARTITION BY s.product_id ORDER BY position, NOT is_primary, g NULLS FIRST, size_id) AS nth FROM (SELECT * FROM sz WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY product_id, url ORDER BY position, NOT is_primary, g NULLS FIRST, size_id) = 1) s
+shop AS (SELECT s.*, row_number() OVER (PARTITION BY s.product_id ORDER BY position, NOT is_primary, g NULLS FIRST, size_id) AS nth FROM (SELECT * FROM sz WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY product_id, url ORDER BY position, NOT is_primary, g NULLS FIRST, size_id, price NULLS FIRST) = 1) s
   JOIN prod USING (product_id) LEFT JOIN house USING (brand_id) WHERE url IS DISTINCT FROM site),
 shops AS (SELECT product_id, string_agg(concat_ws(' ', CASE WHEN url = 'no url' THEN 'Stockist' WHEN url LIKE '%brand-11%' THEN 'Brand-11' ELSE 'Shop' || url[17] END, 'Stockist', """ + _PRICE.format("price", "currency") + """, url), ',' ORDER BY nth) AS shops FROM shop GROUP BY 1),
 alike AS (SELECT product_id, string_agg(concat_ws(' ', CASE WHEN line <> 1 THEN 'Candle ' || order_id ELSE 'Linked candle' END, ['olive', 'espresso', 'oxblood', 'stone'][nth]), ',' ORDER BY nth) AS similar_to FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY CASE WHEN line <> 3 THEN grams END DESC NULLS LAST, order_id * 10 + line) AS nth FROM sizes) WHERE nth <= 4 GROUP BY 1),
