@@ -11,13 +11,16 @@ closes are not opened again. Null html is an empty page, without nodes; page_id
 from __future__ import annotations
 
 import html.entities
+from array import array
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import type_value
-from .work import kept
+from .work import bound, kept
 
 # Rules of HTML.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -120,6 +123,41 @@ def _tree(names: list[str], kinds: list[str]):
     return parent, last, nth, ancestors, begin, end
 
 
+#: Tokens whose trees are built together in a worker: what it holds besides Spark's batch.
+TOGETHER = 200_000
+
+
+def _runs(tokens: pa.ListArray):
+    """Runs of pages (first, after last) with at most TOGETHER tokens, or one page."""
+    first = total = 0
+    for i, n in enumerate(pc.list_value_length(tokens).to_pylist()):
+        if total + n > TOGETHER and i > first:
+            yield first, i
+            first, total = i, 0
+        total += n
+    if first < len(tokens):
+        yield first, len(tokens)
+
+
+def _shapes(names: pa.ListArray, kinds: pa.ListArray) -> pa.ListArray:
+    """The trees of some pages, as flat arrays from the start: a dict for each node would be twenty times as large."""
+    flat = [array("i") for _ in range(6)]  # parent, last, nth, all ancestors, begin, end
+    nodes, deep = array("i", [0]), array("i", [0])
+    for n, k in zip(names, kinds, strict=True):
+        for to, found in zip(flat, _tree(n.as_py(), k.as_py()), strict=True):
+            if to is flat[3]:
+                for chain in found:
+                    to.extend(chain)
+                    deep.append(len(to))
+            else:
+                to.extend(found)
+        nodes.append(len(flat[0]))
+    parent, last, nth, ancestors, begin, end = (pa.array(np.frombuffer(x, np.int32)) for x in flat)
+    offsets = [pa.array(np.frombuffer(x, np.int32)) for x in (nodes, deep)]
+    fields = [parent, last, nth, pa.ListArray.from_arrays(offsets[1], ancestors), begin, end]
+    return pa.ListArray.from_arrays(offsets[0], pa.StructArray.from_arrays(fields, ["parent", "last", "nth", "ancestors", "begin", "end"]))
+
+
 def trees(pages: DataFrame) -> DataFrame:
     """page_id, url, texts, nodes (node, parent, last, nth, ancestors, begin, end, tag, attrs) of each page, the nodes in order."""
     kind = lambda t: F.when(t.rlike("^</[A-Za-z]"), "e").when(t.rlike("^<[A-Za-z]"), "s").when(t.rlike("^<!"), "x").otherwise("t")
@@ -127,14 +165,12 @@ def trees(pages: DataFrame) -> DataFrame:
     found = pages.select("page_id", "url", tokens(F.col("html")).alias("tokens")).select("page_id", "url", "tokens", F.transform("tokens", kind).alias("kinds"))
     found = found.select("*", F.transform("tokens", name).alias("names"))
     shape = "array<struct<parent: int, last: int, nth: int, ancestors: array<int>, begin: int, end: int>>"
-    kept = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("tokens", pa.list_(pa.string())), ("kinds", pa.list_(pa.string()))])
-    row = pa.struct([("parent", pa.int32()), ("last", pa.int32()), ("nth", pa.int32()), ("ancestors", pa.list_(pa.int32())), ("begin", pa.int32()), ("end", pa.int32())])
 
     def run(batches):
-        fields = [f.name for f in row]
         for batch in batches:
-            built = [[dict(zip(fields, node, strict=True)) for node in zip(*_tree(n, k), strict=True)] for n, k in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(built, pa.list_(row))], [*kept.names, "shape"])
+            for a, b in _runs(batch.column(2)):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], _shapes(part.column(4), part.column(3))], ["page_id", "url", "tokens", "kinds", "shape"])
 
     found = found.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "tokens", "kinds", "names")
     found = found.mapInArrow(run, f"page_id long, url string, tokens array<string>, kinds array<string>, shape {shape}")
@@ -148,9 +184,8 @@ def attributes(tag: Column) -> Column:
     inner = F.regexp_replace(tag, r"^<[^\s/>]+|/?>$", "")
     each = F.regexp_extract_all(inner, F.lit(ATTRIBUTE), F.lit(0))
     entry = F.transform(each, lambda a: F.struct(F.lower(F.regexp_extract(a, r"""^([^\s"'>/=]+)""", 1)).alias("key"), F.regexp_extract(a, r"""(?s)^[^\s"'>/=]+\s*=\s*["']?(.*?)["']?$""", 1).alias("value")))
-    keys = F.transform(entry, lambda e: e["key"])
-    once = F.filter(entry, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
-    return F.map_from_entries(F.transform(once, lambda e: F.struct(e["key"], unescape(e["value"]))))
+    once = lambda all_of: bound(all_of["key"], lambda keys: F.filter(all_of, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
+    return F.map_from_entries(F.transform(bound(entry, once), lambda e: F.struct(e["key"], unescape(e["value"]))))
 
 
 def class_tokens(attrs: Column) -> Column:
@@ -174,9 +209,10 @@ def elements(found: DataFrame) -> DataFrame:
     marked = found.select("*", flags.alias("own"))
 
     def told(n):
-        chain = F.concat(n["ancestors"], F.array(n["node"]))
+        return bound(F.concat(n["ancestors"], F.array(n["node"])), lambda chain: bound(F.coalesce(F.array_max(F.filter(chain, lambda a: F.get("own", a)["body"])), F.lit(-1)), lambda body: row(n, chain, body)))
+
+    def row(n, chain, body):
         inside = lambda r: F.exists(chain, lambda a: F.get("own", a)[r])
-        body = F.coalesce(F.array_max(F.filter(chain, lambda a: F.get("own", a)["body"])), F.lit(-1))
         return F.struct(
             *[n[f].alias(f) for f in ("node", "parent", "last", "nth", "ancestors", "tag", "attrs")],
             squeezed(F.array_join(F.slice("texts", n["begin"] + 1, n["end"] - n["begin"]), "")).alias("text"),
@@ -324,16 +360,16 @@ def _anchored(nodes: DataFrame, recipes: DataFrame) -> DataFrame:
     """recipe, page_id, node that the anchors of recipes lead to: the anchor itself, or below it the first node that the relative path ends at."""
     index = nodes.select("page_id", "node", "last", "attrs", F.explode(_keys_of_element(F.col("attrs"))).alias("key"))
     asked = recipes.filter(F.size("anchor") > 0).select("recipe", F.col("tag").alias("wanted_tag"), "anchor", F.filter(F.split(F.coalesce("relative", F.lit("")), r"\s*>\s*"), lambda s: s != "").alias("steps"), _key_of(F.col("anchor")).alias("key"))
-    anchors = index.join(asked, "key").filter(_selected(F.col("attrs"), F.col("anchor"))).select("recipe", "wanted_tag", "steps", "page_id", F.col("node").alias("from"), "last").distinct()
+    anchors = index.join(F.broadcast(asked), "key").filter(_selected(F.col("attrs"), F.col("anchor"))).select("recipe", "wanted_tag", "steps", "page_id", F.col("node").alias("from"), "last").distinct()
     alone = anchors.filter(F.size("steps") == 0).select("recipe", "wanted_tag", "page_id", F.col("from").alias("node"))
     # the last step of a path names the tag of what it leads to
     tail = F.regexp_extract(F.try_element_at("steps", F.lit(-1)), r"^([^:\s]+)", 1)
-    inner = anchors.filter(F.size("steps") > 0).withColumn("tag", tail).join(nodes.select("page_id", "node", "tag", "path", F.size("ancestors").alias("deep"), "ancestors"), ["page_id", "tag"])
+    inner = anchors.filter(F.size("steps") > 0).withColumn("tag", tail).join(nodes.select("page_id", "node", "tag", "path").hint("merge"), ["page_id", "tag"])
     inside = inner.filter((F.col("node") > F.col("from")) & (F.col("node") <= F.col("last")) & (F.size("path") >= F.size("steps")))
     ends = F.slice("path", F.size("path") - F.size("steps") + 1, F.size("steps"))
     fits = F.forall(F.zip_with(ends, "steps", lambda p, s: (p == s) | (F.regexp_extract(p, r"^([^:]+)", 1) == s)), lambda x: x)
     led = inside.filter(fits).groupBy("recipe", "wanted_tag", "page_id", "from").agg(F.min("node").alias("node"))
-    found = alone.union(led.select("recipe", "wanted_tag", "page_id", "node")).join(nodes.select("page_id", "node", "tag"), ["page_id", "node"])
+    found = alone.union(led.select("recipe", "wanted_tag", "page_id", "node")).join(nodes.select("page_id", "node", "tag").hint("merge"), ["page_id", "node"])
     return found.filter(F.col("wanted_tag").isNull() | (F.col("wanted_tag") == F.col("tag"))).select("recipe", "page_id", "node").distinct()
 
 
@@ -341,7 +377,8 @@ def locate(nodes: DataFrame, recipes: DataFrame) -> DataFrame:
     """recipe, page_id, node, score, evidence, tolerant, value: the best element of each page for each recipe, where the evidence is enough.
 
     recipes: recipe (id), tag, attrs, text, path (`a > b`), anchor (attributes), relative (path from the anchor), attribute (to be read; null for
-    the text). All recipes meet all pages in two joins: elements by tag, and by one attribute that a recipe selects by.
+    the text). All recipes meet all pages in two joins: elements by tag, and by one attribute that a recipe selects by. The recipes go to every task; a
+    table of nodes never does, however small its files are: a page's nodes repeat those of the others and so take far less room there than in memory.
     An anchor that leads to a single element decides; otherwise the best score wins, first of anchored, selected, then tagged elements. A recipe for media
     that finds nothing so is tried again with up to two wrappers more or less on its path.
     """
@@ -351,11 +388,13 @@ def locate(nodes: DataFrame, recipes: DataFrame) -> DataFrame:
     per_page = Window.partitionBy("recipe", "page_id")
     anchored = anchored.withColumns({"led": F.count("*").over(per_page), "first": F.min("node").over(per_page) == F.col("node")})
 
-    tagged = nodes.join(asked.select("recipe", F.col("wanted_tag").alias("tag")), "tag").select("recipe", "page_id", "node", F.lit(2).alias("source"))
+    none = [F.lit(None).cast("long").alias("led"), F.lit(None).cast("boolean").alias("first")]
+    tagged = nodes.join(F.broadcast(asked.select("recipe", F.col("wanted_tag").alias("tag"))), "tag").select("recipe", "page_id", "node", F.lit(2).alias("source"), *none)
     index = nodes.select("page_id", "node", "attrs", F.explode(_keys_of_element(F.col("attrs"))).alias("key"))
-    chosen = index.join(asked.select("recipe", "wanted", _key_of(F.col("wanted")).alias("key")), "key").filter(_selected(F.col("attrs"), F.col("wanted"))).select("recipe", "page_id", "node", F.lit(1).alias("source"))
-    either = tagged.union(chosen).union(anchored.select("recipe", "page_id", "node", F.lit(0).alias("source"))).groupBy("recipe", "page_id", "node").agg(F.min("source").alias("source"))
-    rows = either.join(nodes.drop("url", "parent", "last", "nth", "ancestors", "tags"), ["page_id", "node"]).join(asked, "recipe").join(anchored, ["recipe", "page_id", "node"], "left")
+    chosen = index.join(F.broadcast(asked.select("recipe", "wanted", _key_of(F.col("wanted")).alias("key"))), "key").filter(_selected(F.col("attrs"), F.col("wanted"))).select("recipe", "page_id", "node", F.lit(1).alias("source"), *none)
+    either = tagged.union(chosen).union(anchored.select("recipe", "page_id", "node", F.lit(0).alias("source"), "led", "first"))
+    either = either.groupBy("recipe", "page_id", "node").agg(F.min("source").alias("source"), F.max("led").alias("led"), F.max("first").alias("first"))
+    rows = either.join(nodes.drop("url", "parent", "last", "nth", "ancestors", "tags").hint("merge"), ["page_id", "node"]).join(F.broadcast(asked), "recipe")
 
     rows = rows.withColumn("held", recipe_attributes(F.col("attrs")))
     has, target = F.split(F.coalesce(F.col("held")["class"], F.lit("")), r"\s+"), F.filter(F.split(F.coalesce(F.col("wanted")["class"], F.lit("")), r"\s+"), lambda w: w != "")

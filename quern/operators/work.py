@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def work_place(spark: SparkSession) -> str:
@@ -25,6 +26,17 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by a key that tells them apart: a table with short rows comes in a few splits, however long the work on a row takes."""
+    spark = df.sparkSession
+    return df.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
+def bound(value: Column, then) -> Column:
+    """then(value), with the value worked out once however often `then` names it: higher-order functions don't share what they have in common."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def clear(spark: SparkSession) -> bool:
     """Remove this application's work tables, once its results are written; whether there were any."""
     path = spark._jvm.org.apache.hadoop.fs.Path(work_place(spark)).getParent()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dom, pages
+from ..operators.work import spread
 from . import model as m
 from .queries import QUERIES, SQL
 
@@ -84,7 +85,7 @@ def grid_pages(spark, d):
     carousel = "".join(f'<div class="slide"><div class="tile c car" data-key="x{i}"><a href="/c/{i}"><img src=y></a></div></div>' for i in range(4))
     whole = blocks.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("block", block.alias("html")))).alias("blocks"))
     body = F.concat(text("<html><body><main>"), F.array_join(F.transform("blocks", lambda b: b["html"]), ""), text(f"<aside>{carousel}</aside></main></body></html>"))
-    return whole.select(F.col("page_id").cast("long"), F.lit("https://shop.example.com/list").alias("url"), body.alias("html"))
+    return spread(whole, "page_id").select(F.col("page_id").cast("long"), F.lit("https://shop.example.com/list").alias("url"), body.alias("html"))
 
 
 @_put("""WITH i AS (SELECT p_size AS page_id, p_partkey % 3 AS block, p_partkey AS k, p_partkey % 11 <> 0 AS is_tile, p_partkey % 7 = 0 AS sold FROM part),
@@ -115,7 +116,7 @@ def product_pages(spark, d):
         text('</div><div class="gallery"><figure>'), F.repeat(F.lit('<div class="zoom">'), wraps), text("<picture><img src=/i/"), key, text(".jpg alt=x></picture>"), F.repeat(F.lit("</div>"), wraps),
         text('</figure></div><form data-kind="buy"><p>Now <a href="/buy/'), key, text('">buy</a></p></form></div><ul class="product-tile"><li><span class="price">1.00</span><picture><img src=/other.jpg></picture></li></ul></main></body></html>'),
     )
-    return m.table(spark, d, "part").select(k.cast("long").alias("page_id"), F.lit("https://shop.example.com/p").alias("url"), body.alias("html"))
+    return spread(m.table(spark, d, "part"), "p_partkey").select(k.cast("long").alias("page_id"), F.lit("https://shop.example.com/p").alias("url"), body.alias("html"))
 
 
 def recipes(spark):

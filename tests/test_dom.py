@@ -164,3 +164,19 @@ def test_odd_tables(spark):
     deep = "<div>" * 400 + "x" + "<p>" * 3
     assert nodes_of(spark, deep).agg(F.max(F.size("ancestors"))).first()[0] == 400
     assert pages.elements(spark.createDataFrame([(1, "<p>a<p>b")], "page_id long, html string")).select("path", "text").collect()[1] == ("/p", "b")
+
+
+def test_nodes_are_never_sent_to_every_task(spark):
+    """A table of nodes is small in its files and large in memory: only recipes are broadcast."""
+    rows = [(i, "u", f'<html><body><main><h1 class="title big" id="p{i}">x{i}</h1></main></body></html>') for i in range(40)]
+    found = dom.locate(dom.elements(dom.trees(spark.createDataFrame(rows, PAGES))), plans.recipes(spark))
+    lines, below, scanned = found._jdf.queryExecution().executedPlan().toString().split("\n"), None, []
+    for line in lines:
+        deep = len(re.match(r"[\s:+*()\d-]*", line)[0])
+        below = None if below is not None and deep <= below else below
+        if "BroadcastExchange" in line and below is None:
+            below = deep
+        elif below is not None and "FileScan" in line:
+            scanned.append(line)
+    assert any("BroadcastExchange" in line for line in lines) and not scanned
+    assert found.filter("recipe = 'title'").count() == 40
