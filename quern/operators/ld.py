@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
+from .work import bound
 
 # Where a product lists its variants.
 VARIANTS = ("isSimilarTo", "hasVariant", "model")
@@ -13,7 +14,7 @@ VARIANTS = ("isSimilarTo", "hasVariant", "model")
 
 def _get(v: Column, name: str) -> Column:
     """A field as text; null where it is missing, empty or a list or object."""
-    return F.nullif(F.when(~_kind(F.try_variant_get(v, f"$['{name}']", "variant")).isin("OBJECT", "ARRAY"), F.try_variant_get(v, f"$['{name}']", "string")), F.lit(""))
+    return bound(F.try_variant_get(v, f"$['{name}']", "variant"), lambda x: F.nullif(F.when(~_kind(x).isin("OBJECT", "ARRAY"), F.try_variant_get(x, "$", "string")), F.lit("")))
 
 
 def _kind(v: Column) -> Column:
@@ -44,19 +45,24 @@ def sizes(product: Column, page_url: Column) -> Column:
     An entry with no size, price and sku doesn't count; of entries with one value, unit and sku the first stays, and the first of all is primary. A list's
     offers take size and sku from the product where they have none; all take the first offer's currency.
     """
-    of = offer(product)
-    currency = _get(of, "priceCurrency")
+    # what several entries need is worked out once: the record itself may be text that is parsed here
+    return bound(product, lambda p: bound(offer(p), lambda of: bound(F.struct(_get(of, "priceCurrency").alias("currency"), _get(p, "size").alias("size"), _get(p, "sku").alias("sku")), lambda own: _sizes(p, of, own, page_url))))
+
+
+def _sizes(product: Column, of: Column, given: Column, page_url: Column) -> Column:
+    currency = given["currency"]
 
     def entry(size, price, money, sku, stock, url):
         return F.struct(size.alias("size"), price.alias("price"), money.alias("currency"), sku.alias("sku"), stock.alias("availability"), F.coalesce(url, page_url).alias("url"))
 
-    own = entry(_get(product, "size"), _get(of, "price"), currency, _get(product, "sku"), _get(of, "availability"), _get(of, "url"))
+    own = entry(given["size"], _get(of, "price"), currency, given["sku"], _get(of, "availability"), _get(of, "url"))
     offers = F.try_variant_get(product, "$.offers", "variant")
-    listed = F.transform(F.when(_kind(offers) == "ARRAY", _objects(offers)).otherwise(F.array().cast("array<variant>")), lambda o: entry(F.coalesce(_get(o, "size"), _get(product, "size")), _get(o, "price"), F.coalesce(_get(o, "priceCurrency"), currency), F.coalesce(_get(o, "sku"), _get(product, "sku")), _get(o, "availability"), _get(o, "url")))
+    listed = F.transform(F.when(_kind(offers) == "ARRAY", _objects(offers)).otherwise(F.array().cast("array<variant>")), lambda o: entry(F.coalesce(_get(o, "size"), given["size"]), _get(o, "price"), F.coalesce(_get(o, "priceCurrency"), currency), F.coalesce(_get(o, "sku"), given["sku"]), _get(o, "availability"), _get(o, "url")))
 
     def variant(v):
-        deal = F.try_variant_get(v, "$.offers", "variant")
-        deal = F.when(_kind(deal) == "OBJECT", deal)
+        return bound(F.try_variant_get(v, "$.offers", "variant"), lambda o: bound(F.when(_kind(o) == "OBJECT", o), lambda deal: sold(v, deal)))
+
+    def sold(v, deal):
         either = lambda name: F.coalesce(_get(deal, name), _get(v, name))
         return entry(_get(v, "size"), either("price"), F.coalesce(_get(deal, "priceCurrency"), currency), _get(v, "sku"), either("availability"), _get(v, "url"))
 
@@ -64,7 +70,9 @@ def sizes(product: Column, page_url: Column) -> Column:
     every = F.filter(F.concat(F.array(own), listed, variants), lambda e: e["size"].isNotNull() | e["price"].isNotNull() | e["sku"].isNotNull())
 
     def parsed(e):
-        size = numbers.size_of(e["size"])
+        return bound(numbers.size_of(e["size"]), lambda size: shaped(e, size))
+
+    def shaped(e, size):
         return F.struct(size["value"].alias("value"), size["unit"].alias("unit"), size["grams"].alias("grams"), minor_units(e["price"], e["currency"]).alias("price"), e["currency"].alias("currency"), e["sku"].alias("sku"), numbers.availability(e["availability"]).alias("availability"), e["url"].alias("source_url"))
 
     return first_of_sizes(F.transform(every, parsed))
@@ -73,12 +81,11 @@ def sizes(product: Column, page_url: Column) -> Column:
 def first_of_sizes(entries: Column) -> Column:
     """Entries without those whose value, unit and sku an earlier one has, numbered, the first of them primary."""
     key = lambda e: F.concat_ws("-", *[F.coalesce(e[f].cast("string"), F.lit("None")) for f in ("value", "unit", "sku")])
+    # the first place of a key among all keys tells whether its entry stays
     keyed = F.transform(entries, lambda e: F.struct(key(e).alias("key"), e.alias("e")))
-    # one pass: the keys met so far travel with what is kept
-    start = F.struct(F.array().cast("array<string>").alias("seen"), F.slice(entries, 1, 0).alias("kept"))
-    folded = F.aggregate(keyed, start, lambda s, x: F.when(F.array_contains(s["seen"], x["key"]), s).otherwise(F.struct(F.concat(s["seen"], F.array(x["key"])).alias("seen"), F.concat(s["kept"], F.array(x["e"])).alias("kept"))))
+    kept = bound(keyed, lambda all_of: bound(all_of["key"], lambda keys: F.filter(all_of, lambda x, i: F.array_position(keys, x["key"]) == i + 1)["e"]))
     fields = ("value", "unit", "grams", "price", "currency", "sku", "availability", "source_url")
-    return F.transform(folded["kept"], lambda e, i: F.struct(i.alias("place"), *[e[f].alias(f) for f in fields], (i == 0).alias("is_primary")))
+    return F.transform(kept, lambda e, i: F.struct(i.alias("place"), *[e[f].alias(f) for f in fields], (i == 0).alias("is_primary")))
 
 
 def sizes_in_text(x: Column, currency: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prose
 from ..operators import catalogue, ld, schema, store
-from ..operators.work import work_place
+from ..operators.work import spread, work_place
 from . import model as m
 from .queries import query
 
@@ -70,7 +70,7 @@ UNION ALL SELECT k, 1, s, s, s * 100, 'EUR', 'p' || k FROM p WHERE k % 3 = 1 UNI
 UNION ALL SELECT k, 3, 1, 1000, 999, CASE WHEN k % 3 = 2 THEN 'GBP' ELSE 'EUR' END, 'v1' FROM p UNION ALL SELECT k, 4, s, s, NULL, CASE WHEN k % 3 = 2 THEN 'GBP' ELSE 'EUR' END, 'p' || k FROM p WHERE k % 5 = 0
 ) GROUP BY product_id, value, sku, (CASE WHEN i = 2 THEN 'oz' WHEN i = 3 THEN 'kg' ELSE 'g' END)))""".replace("FROM p", "FROM (SELECT p_partkey AS k, p_size::INT AS s FROM part) AS p"))
 def ld_sizes(spark, d):
-    p = m.table(spark, d, "part")
+    p = spread(m.table(spark, d, "part"), "p_partkey")
     k, key, size = F.col("p_partkey"), F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     t = lambda x: F.lit(x)
     one = F.concat(t('{"price": "'), size, t('.00", "priceCurrency": "EUR", "availability": "https://schema.org/InStock"}'))

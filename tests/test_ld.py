@@ -45,3 +45,10 @@ def test_products_beside_deep_values(spark):
     small = ['[1, {"a": {"b": "}"}, "c": [{}, {"d": null}]}, {"e": -1.5e3}]', '{"a": "\\u00e9 \\" :,"}', "{}", "[]", "7"]
     for text in small:
         assert pages._flat(text) == pages._objects(text)
+
+
+def test_sizes_parse_their_record_once(spark):
+    """A record that is text is named once in the expression, not once for every field that is read."""
+    assert str(ld.sizes(F.parse_json("j"), F.lit("u"))).count("parse_json(j)") == 1
+    twice = {"size": "1 g", "offers": [{"size": "2 g"}, {"size": "1 g"}, {"size": "2 g", "price": "9"}]}
+    assert [(s[0], s[3]) for s in sizes(spark, twice)] == [(1.0, None), (2.0, None)]
