@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .work import bound
+
 
 @dataclass(frozen=True)
 class Text:
@@ -93,7 +95,7 @@ def _kind(v: Column) -> Column:
 
 
 def _faults(kind, v: Column, path: Column) -> Column:
-    """array<struct<path, message>> of a value that is there."""
+    """array<struct<path, message>> of a value that is there; v is named often, so it must be a column or bound."""
     one = lambda bad, message: F.when(bad, F.array(F.struct(path.alias("path"), F.lit(message).alias("message"))))
     none = F.array().cast("array<struct<path: string, message: string>>")
     told = _kind(v)
@@ -133,7 +135,10 @@ def _faults(kind, v: Column, path: Column) -> Column:
 
 def _field(name: str, kind, holder: Column, path: Column) -> Column:
     here = F.when(path == "", F.lit(name)).otherwise(F.concat(path, F.lit(f".{name}")))
-    value = F.try_variant_get(holder, f"$['{name}']", "variant")
+    return bound(F.try_variant_get(holder, f"$['{name}']", "variant"), lambda value: _judged(kind, value, here))
+
+
+def _judged(kind, value: Column, here: Column) -> Column:
     none = F.array().cast("array<struct<path: string, message: string>>")
     missing = F.array(F.struct(here.alias("path"), F.lit("required").alias("message"))) if kind.required else none
     if kind.nullable:
@@ -144,7 +149,8 @@ def _field(name: str, kind, holder: Column, path: Column) -> Column:
 def errors(record: Column, schema: Record = PRODUCT) -> Column:
     """What is wrong with a record (variant) as array<struct<path, message>>; a null variant is no JSON."""
     no_json = F.array(F.struct(F.lit("").alias("path"), F.lit("not JSON").alias("message")))
-    return F.when(record.isNull(), no_json).otherwise(_faults(schema, record, F.lit("")))
+    # bound: the record may be text that is parsed here, once instead of for every field
+    return bound(record, lambda v: F.when(v.isNull(), no_json).otherwise(_faults(schema, v, F.lit(""))))
 
 
 def public(record: Column) -> Column:

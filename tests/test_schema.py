@@ -74,3 +74,7 @@ def test_accents_in_natural_order(spark):
     names = ["Zoo 2", "Émile 10", "emile 9", "Ámber", "amber", "É", "f", "zoo 10"]
     df = spark.createDataFrame([(n,) for n in names], "x string")
     assert [r.x for r in df.orderBy(catalogue.natural_key(F.col("x")), "x").collect()] == ["amber", "Ámber", "É", "emile 9", "Émile 10", "f", "Zoo 2", "zoo 10"]
+
+
+def test_records_are_parsed_once(spark):
+    assert str(schema.errors(F.try_parse_json("d"))).count("try_parse_json(d)") == 1
