@@ -183,27 +183,34 @@ def import_files(files: DataFrame, text_col: str = "text") -> tuple[DataFrame, D
     return products, judged.filter(~ok).select("file", "place", "reason"), told
 
 
-def assembled(rows: DataFrame) -> DataFrame:
+def assembled(rows: DataFrame, depth: int | None = None) -> DataFrame:
     """key, record (variant) of rows (key, path, value, place): values at dotted paths, put together from the deepest level up.
 
     `a[].b` is `a.b`. Writes count in the order of place, like assignments: the last to a path stays, a value over a path drops what was
     below it before, and a deeper path drops a value above it. value is a variant (not an object: write its fields). Null and blank paths are left out. A level
-    is one grouping by key and the path above, so no record is held by a task but in its last step.
+    is one grouping by key and the path above, so no record is held by a task but in its last step. `depth` is the most parts that a path has, where that is known (a
+    deeper path is an error); else the rows are asked once for it. The rows of a key are dealt once: all steps after that go by the key and more.
     """
     parts = F.filter(F.split(F.replace("path", F.lit("[]"), F.lit(".")), r"\."), lambda p: p != "")
-    last = rows.select("key", parts.alias("parts"), "value", "place").filter(F.size("parts") > 0).groupBy("key", "parts").agg(F.max_by("value", "place").alias("value"), F.max("place").alias("place"))
-    above = last.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.size("parts") - 1), lambda n: F.slice("parts", 1, n))).alias("parts"), "place")
-    above = above.filter(F.size("parts") > 0).groupBy("key", "parts").agg(F.max("place").alias("deeper"))
-    alive = last.join(above, ["key", "parts"], "left").filter(F.col("deeper").isNull() | (F.col("deeper") < F.col("place")))
-    holders = last.select("key", F.col("parts").alias("holder"), F.col("place").alias("held"))
-    heads = last.select("key", "parts", "place", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("parts") - 1, F.lit(1))), lambda n: F.slice("parts", 1, n))).alias("holder")).filter(F.size("holder") < F.size("parts"))
-    gone = heads.join(holders, ["key", "holder"]).filter(F.col("held") > F.col("place")).select("key", "parts").distinct()
-    alive = alive.join(gone, ["key", "parts"], "left_anti").select("key", "parts", "value")
-    deepest = alive.agg(F.max(F.size("parts"))).first()[0] or 0
-    level = None
-    for depth in range(deepest, 0, -1):
-        here = alive.filter(F.size("parts") == depth)
-        here = here if level is None else here.unionByName(level)
-        entries = F.collect_list(F.struct(F.element_at("parts", -1).alias("name"), F.col("value")))
-        level = here.groupBy("key", F.slice("parts", 1, depth - 1).alias("parts")).agg(F.to_variant_object(F.map_from_entries(entries)).alias("value"))
-    return level.select("key", F.col("value").alias("record")) if level is not None else alive.select("key", F.col("value").alias("record"))
+    given = rows.select("key", parts.alias("parts"), "value", "place").filter(F.size("parts") > 0)
+    if depth is None:
+        depth = given.agg(F.max(F.size("parts"))).first()[0] or 0
+    else:
+        too_deep = F.raise_error(F.concat(F.lit(f"a path of more than {depth} parts: "), F.array_join("parts", "."))).cast("array<string>")
+        given = given.withColumn("parts", F.when(F.size("parts") <= depth, F.col("parts")).otherwise(too_deep))
+    last = given.repartition("key").groupBy("key", "parts").agg(F.max_by("value", "place").alias("value"), F.max("place").alias("place"))
+    # a path meets those above and below it at its beginnings: itself, and each shorter one
+    heads = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: F.slice("parts", 1, n))
+    met = last.select("key", "parts", "place", "value", F.explode(heads).alias("head"))
+    own, at = F.size("head") == F.size("parts"), Window.partitionBy("key", "head")
+    met = met.select("key", "parts", F.when(own, F.col("value")).alias("value"), own.alias("own"), "place", F.max(F.when(own, F.col("place"))).over(at).alias("held"), F.max(F.when(~own, F.col("place"))).over(at).alias("deeper"))
+    lost = F.when(F.col("own"), F.col("deeper") >= F.col("place")).otherwise(F.col("held") > F.col("place"))
+    alive = met.groupBy("key", "parts").agg(F.max_by("value", "own").alias("value"), F.bool_or(F.coalesce(lost, F.lit(False))).alias("lost")).filter("not lost").select("key", "parts", "value")
+    # one chain of groupings: paths of fewer parts pass a level as they are (no path that is left stands above another)
+    for deep in range(depth, 0, -1):
+        here, up = F.size("parts") == deep, F.slice("parts", 1, deep - 1)
+        entries = F.collect_list(F.struct(F.when(here, F.element_at("parts", -1)).alias("name"), F.col("value")))
+        alive = alive.groupBy("key", F.when(here, up).otherwise(F.col("parts")).alias("parts")).agg(entries.alias("entries"))
+        below = F.get("entries", F.lit(0))
+        alive = alive.select("key", "parts", F.when(below["name"].isNotNull(), F.to_variant_object(F.map_from_entries(F.when(below["name"].isNotNull(), F.col("entries"))))).otherwise(below["value"]).alias("value"))
+    return alive.select("key", F.col("value").alias("record"))

@@ -50,10 +50,11 @@ FROM (SELECT l_orderkey, count(*) AS n, max(q) FILTER (i = 1) AS q1, max(q) FILT
 FROM (SELECT l_orderkey, l_quantity::BIGINT AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS i FROM lineitem) GROUP BY 1)""")
 def assembled_records(spark, d):
     line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    ways = F.create_map(*[F.lit(x) for i, way in enumerate(["name", "a", "a.b", "a.c.d", "a.c", "a.c.e", "x[].y"], 1) for x in (i, way)])
+    named = ["name", "a", "a.b", "a.c.d", "a.c", "a.c.e", "x[].y"]
+    ways = F.create_map(*[F.lit(x) for i, way in enumerate(named, 1) for x in (i, way)])
     rows = m.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), line.alias("place"), F.to_json(F.struct(F.col("l_quantity").cast("long").alias("q"))).alias("q"))
     rows = rows.select("key", "place", F.try_element_at(ways, "place").alias("path"), F.try_variant_get(F.parse_json("q"), "$.q", "variant").alias("value"))
-    return schema.assembled(rows).select("key", F.to_json("record").alias("record"))
+    return schema.assembled(rows, max(way.count(".") + 1 for way in named)).select("key", F.to_json("record").alias("record"))
 
 
 @query("""SELECT k AS product_id, row_number() OVER (ORDER BY lower(strip_accents(regexp_extract(name, '^(\\D*)', 1))), k % 1000, k)::INT AS place FROM (SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'Éclair ' WHEN 1 THEN 'eclair ' WHEN 2 THEN 'Zebra ' ELSE 'ünder ' END || p_partkey % 1000 AS name FROM part)""")

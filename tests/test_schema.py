@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import catalogue, schema
@@ -78,3 +79,13 @@ def test_accents_in_natural_order(spark):
 
 def test_records_are_parsed_once(spark):
     assert str(schema.errors(F.try_parse_json("d"))).count("try_parse_json(d)") == 1
+
+
+def test_assembly_deals_its_rows_once(spark):
+    rows = [(1, "a.b", "1", 1), (1, "a.c.d", "2", 2), (1, "e", "[3]", 3), (2, "a", "4", 1), (2, "a.b", "5", 2)]
+    df = spark.createDataFrame(rows, "key int, path string, value string, place int").withColumn("value", F.parse_json("value"))
+    for found in (schema.assembled(df), schema.assembled(df, 3)):
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert {r.key: json.loads(r.j) for r in found.select("key", F.to_json("record").alias("j")).collect()} == {1: {"a": {"b": 1, "c": {"d": 2}}, "e": [3]}, 2: {"a": {"b": 5}}}
+    with pytest.raises(Exception, match="more than 2 parts"):
+        schema.assembled(df, 2).collect()
