@@ -41,8 +41,11 @@ def reply_fault(raw: Column, n_parsed: Column) -> Column:
 
 def findings(products: DataFrame, entries: DataFrame, failures: DataFrame, wax_types: list[str]) -> DataFrame:
     """place, source_url, name, check, severity, detail: all checks but that for duplicates, one pass over products."""
-    called = entries.filter("source_url != ''").groupBy(F.col("source_url").alias("_url")).agg(
-        F.min_by(F.struct("raw_response", "n_parsed", "n_parsed_notes"), F.when(F.col("pass") == "extract", F.col("place"))).alias("_reply"),
+    # replies are judged where they stand: long texts are neither dealt nor sorted
+    extract, raw, n_parsed = F.col("pass") == "extract", F.col("raw_response"), F.col("n_parsed")
+    told = entries.filter("source_url != ''").withColumns({"_discarded": F.when(extract, (raw != "") & (n_parsed == 0)), "_fault": F.when(extract, reply_fault(raw, n_parsed))})
+    called = told.groupBy(F.col("source_url").alias("_url")).agg(
+        F.min_by(F.struct("_discarded", "_fault", "n_parsed_notes"), F.when(extract, F.col("place"))).alias("_reply"),
         F.array_sort(F.collect_set(F.when((F.col("pass") == "color") & F.col("fallback"), F.concat(F.coalesce("kind", F.lit("color")), F.lit(":"), F.coalesce("name", F.lit("?")))))).alias("_colors"),
     )
     failed = failures.filter("url != ''").select(F.col("url").alias("_failed")).distinct()
@@ -51,13 +54,12 @@ def findings(products: DataFrame, entries: DataFrame, failures: DataFrame, wax_t
     def empty(c):
         return F.coalesce(F.size(c), F.lit(0)) < 1
 
-    raw, n_parsed = F.col("_reply.raw_response"), F.col("_reply.n_parsed")
     junk = F.filter("notes", junk_note)
     no_notes_read = F.coalesce(F.col("_reply.n_parsed_notes"), F.lit(0)) == 0
     checks = [
         ("pipeline_failure", "medium", F.when(F.col("_failed").isNotNull(), "its url is in the failure log")),
-        ("discarded_llm_response", "high", F.when((raw != "") & (n_parsed == 0), "a reply came and nothing was read from it")),
-        ("truncated_llm_output", "high", reply_fault(raw, n_parsed)),
+        ("discarded_llm_response", "high", F.when(F.col("_reply._discarded"), "a reply came and nothing was read from it")),
+        ("truncated_llm_output", "high", F.col("_reply._fault")),
         ("junk_notes", "medium", F.when(~empty(junk), F.array_join(junk, "|", ""))),
         ("notes_from_text_fallback", "low", F.when(~empty("notes") & ~F.coalesce("from_model", F.lit(False)) & no_notes_read, "notes are not from the model")),
         ("missing_critical", "high", F.when(F.coalesce("name", F.lit("")) == "", "no name")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import product_audit as a
+from ..operators.work import spread
 from . import model as m
 from .queries import query
 
@@ -46,7 +47,7 @@ def _entries(spark, d):
         entry(k > 0, 1, "extract", raw_response=F.lit("a later call, not judged")),
         *[entry(k % 11 == 0, i, "color", kind=F.lit("note"), name=F.lit(n), fallback=F.lit(n != "c")) for i, n in ((2, "b"), (3, "a"), (4, "a"), (5, "c"))],
     ))
-    return m.table(spark, d, "part").select(F.explode(all_of).alias("e")).select("e.*")
+    return spread(m.table(spark, d, "part"), "p_partkey").select(F.explode(all_of).alias("e")).select("e.*")
 
 
 @query(_FAULTY + f""", r AS (SELECT p.*, e.*, {_JUNK} AS junk, raw <> '' AND coalesce(n_parsed, 0) = 0 AS unread FROM p LEFT JOIN e ON source_url = url)

@@ -52,3 +52,8 @@ def test_duplicates(spark):
     p = spark.createDataFrame(rows, PRODUCTS)
     assert {tuple(r) for r in a.duplicates(p).collect()} == {("slug", "a", 1, 3), ("source_url", "u", 1, 2)}
     assert {tuple(r) for r in a.members(p).collect()} == {("slug", "a", 1), ("slug", "a", 2), ("slug", "a", 6), ("source_url", "u", 1), ("source_url", "u", 3)}
+
+
+def test_replies_are_judged_before_they_are_dealt(spark):
+    plan = a.findings(spark.createDataFrame([], PRODUCTS), spark.createDataFrame([], ENTRIES), spark.createDataFrame([], "url string"), ["soy"])._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "raw_response" in line and ("Exchange" in line or "Aggregate" in line or "Sort " in line)]
