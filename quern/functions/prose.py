@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.work import bound
 from .text import noisy_description, scent_summary
 
 #: Headings before a description, and labels (with a colon) that end it.
@@ -71,26 +72,39 @@ def _names(chunk: Column, stage: str, least: int, numbered: bool = False) -> Col
 
 def notes_in(x: Column) -> Column:
     """array<struct<name, stage>> of the notes that a description tells: a line of tasting notes; else what stands behind the first label of a list, by stages where it has any."""
-    inline = F.regexp_extract(x, r"(?i)tasting\s+notes\s*:\s*([^\n]+)", 1)
-    line = _names(F.nullif(inline, F.lit("")), "unknown", 3)
+    return _notes(x, _inline(x))
+
+
+def _inline(x: Column) -> Column:
+    return _names(F.nullif(F.regexp_extract(x, r"(?i)tasting\s+notes\s*:\s*([^\n]+)", 1), F.lit("")), "unknown", 3)
+
+
+def _notes(x: Column, line: Column) -> Column:
     # the text behind the first label that is found, up to the next line that begins with a capital letter
     chunk = F.coalesce(*[F.nullif(F.regexp_extract(x, rf"(?is){label}\s*:?\s*(.+?)(?:\n[A-Z]|\z)", 1), F.lit("")) for label in LISTS])
+    return F.coalesce(F.when(F.size(line) > 0, line), bound(chunk, _told), F.array().cast(_NOTE))
+
+
+def _told(chunk: Column) -> Column:
     staged = F.concat(*[F.coalesce(_names(F.nullif(F.regexp_extract(chunk, rf"(?i){label}\s*:\s*([^.;]+)", 1), F.lit("")), stage, 1), F.array().cast(_NOTE)) for label, stage in STAGES])
-    told = F.when(F.size(staged) > 0, staged).otherwise(_names(chunk, "unknown", 3, numbered=True))
-    return F.coalesce(F.when(F.size(line) > 0, line), told, F.array().cast(_NOTE))
+    return bound(staged, lambda s: F.when(F.size(s) > 0, s).otherwise(_names(chunk, "unknown", 3, numbered=True)))
 
 
 def accords_in(x: Column) -> Column:
     """Names of the accords that a description has, in the fixed order; the family it names comes first unless it is one of them."""
-    low = F.lower(x)
-    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(a)), F.lit(a)) for a in ACCORDS]))
-    family = scent_summary(x)
+    found = lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(a)), F.lit(a)) for a in ACCORDS]))
+    return bound(bound(F.lower(x), found), lambda some: bound(scent_summary(x), lambda family: _with_family(some, family)))
+
+
+def _with_family(found: Column, family: Column) -> Column:
     with_family = F.when(family.isNotNull() & ~F.array_contains(found, F.lower(family)), F.concat(F.array(family), found)).otherwise(found)
     return F.coalesce(with_family, F.array().cast("array<string>"))
 
 
 def notes_and_accords(x: Column) -> Column:
     """struct of notes and accords; a text with a line of tasting notes is asked for no accords."""
-    inline = _names(F.nullif(F.regexp_extract(x, r"(?i)tasting\s+notes\s*:\s*([^\n]+)", 1), F.lit("")), "unknown", 3)
-    accords = F.when(F.coalesce(F.size(inline), F.lit(0)) > 0, F.array().cast("array<string>")).otherwise(accords_in(x))
-    return F.struct(notes_in(x).alias("notes"), accords.alias("accords"))
+    def told(text, line):
+        accords = F.when(F.coalesce(F.size(line), F.lit(0)) > 0, F.array().cast("array<string>")).otherwise(accords_in(text))
+        return F.struct(_notes(text, line).alias("notes"), accords.alias("accords"))
+
+    return bound(x, lambda text: bound(_inline(text), lambda line: told(text, line)))

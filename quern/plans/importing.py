@@ -93,7 +93,7 @@ def prose_notes(spark, d):
         F.concat(t("Green.\nFragrance notes\n1. "), w[0], t(", 2.x, 3. fine moss\nMade by hand, slowly")), F.concat(t("A WARM woody leather. Olfactive family: Chypre "), w[0], t(".")), F.concat(t("Amber, olfactive family: AMBER\nvery sweet")),
     ]
     x = F.coalesce(*[F.when(k % 5 == i, f) for i, f in enumerate(forms)])
-    found = m.table(spark, d, "part").select(k.alias("product_id"), prose.notes_and_accords(x).alias("f"))
+    found = spread(m.table(spark, d, "part"), "p_partkey").select(k.alias("product_id"), prose.notes_and_accords(x).alias("f"))
     return found.select("product_id", F.transform("f.notes", lambda n: F.concat(n["name"], F.lit("="), n["stage"])).alias("notes"), "f.accords")
 
 

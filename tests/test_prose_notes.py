@@ -38,3 +38,7 @@ def test_notes_against_plain_rules(spark):
         assert ([tuple(n) for n in r.f.notes], r.f.accords) == plain(r.t), r.t
     none = spark.createDataFrame([(None,)], "t string").select(prose.notes_and_accords(F.col("t")).alias("f")).first().f
     assert none.notes == [] and none.accords == []
+
+
+def test_texts_are_put_together_once(spark):
+    assert str(prose.notes_and_accords(F.concat("a", "b"))).count("concat(a, b)") == 1
