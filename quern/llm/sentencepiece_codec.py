@@ -34,8 +34,8 @@ from .common import slices, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: Words up to this length are remembered, and the backpointers of a word's first HEAD letters, within so many bytes in each worker (as estimated by entry); so are valid pairs, this many at most.
-SHORT, WORD_BYTES, HEAD_BYTES, PAIRS, HEAD = 40, 96 << 20, 48 << 20, 400_000, 7
+#: Words up to this length are remembered, in two generations of at most WORD_BYTES each (of the older, words met again stay), and the backpointers of a word's first HEAD letters, within so many bytes in each worker (as estimated by entry); so are valid pairs, this many at most.
+SHORT, WORD_BYTES, HEAD_BYTES, PAIRS, HEAD = 40, 128 << 20, 48 << 20, 400_000, 7
 
 
 class Codec(dict):
@@ -62,6 +62,8 @@ class Codec(dict):
         self.tail = {s[i:]: None for s in self.id for i in range(len(s))} | self.id
         self.valid: dict[tuple[str, str], bool] = {}
         self.heads: dict[str, list[str]] = {}
+        #: The generation of words before the present one.
+        self.old: dict[str, tuple[int, ...]] = {}
         self.word_bytes = self.head_bytes = 0
 
     def merged(self, text: str) -> list[str]:
@@ -163,8 +165,8 @@ class Codec(dict):
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         """word: without its first mark."""
-        found, end = None, word[-1:]
-        if end in (".", ",") and 1 < len(word) <= SHORT:  # where the end is a piece of its own, the word without it is remembered once
+        found, end = self.old.pop(word, None), word[-1:]
+        if found is None and end in (".", ",") and 1 < len(word) <= SHORT:  # where the end is a piece of its own, the word without it is remembered once
             before = self[word[:-1]]
             if isinstance(piece := self.piece[before[-1]], str) and self.pair(piece, end):
                 found = (*before, self.id[end])
@@ -173,6 +175,7 @@ class Codec(dict):
         if len(word) <= SHORT:
             self.word_bytes += 200 + 2 * len(word) + 8 * len(found)
             if self.word_bytes > WORD_BYTES:
+                self.old = dict(self)
                 self.clear()
                 self.word_bytes = 0
             self[word] = found

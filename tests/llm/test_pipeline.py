@@ -66,3 +66,17 @@ def test_odd_and_empty_input(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
     assert {r.doc_id for r in got} <= {1, 2, None, 5} and any(r.doc_id == 5 for r in got) and all(r.round_trip for r in got)
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_words_of_the_older_generation_stay(monkeypatch):
+    """A full generation of words is not forgotten at once: those met again move on, with the same ids."""
+    from pathlib import Path
+
+    codec = sentencepiece_codec.Codec(Path(sentencepiece_codec.MODEL).read_bytes())
+    text = "many quite ordinary words stand here"
+    first = codec.encode(text).tolist()
+    monkeypatch.setattr(sentencepiece_codec, "WORD_BYTES", codec.word_bytes)
+    codec.encode("another")
+    assert "ordinary" in codec.old and "ordinary" not in codec
+    monkeypatch.setattr(codec, "ids", None)
+    assert codec.encode(text).tolist() == first and "ordinary" in codec
