@@ -1,8 +1,8 @@
 """Element trees of saved pages: intervals, whole texts, regions, paths, repeated groups and locators.
 
-A page's html becomes tokens by one pattern; `_tree` turns the tags among them into a tree (void elements,
-implied end tags), the only step that needs a stack and so the only one outside the JVM. All else is Column expressions over a
-page's array of nodes, where a node's descendants are the numbers from its own to its `last`, or joins and groupings of exploded nodes.
+A page's html becomes tokens by one pattern, a row each; `_grow` reads them in order and makes nodes of them (void elements,
+implied end tags), the only step that needs a stack and so the only one outside the JVM. No page is an array of nodes, so a large one takes no
+more room at once than its html and texts. All else is Column expressions, joins and groupings of nodes, where a node's descendants are the numbers from its own to its `last`.
 
 Text below a node is a slice of the page's texts. Comments, scripts and styles have no text. Formatting elements that an implied end tag
 closes are not opened again. Null html is an empty page, without nodes; page_id tells pages apart.
@@ -15,7 +15,6 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,99 +83,116 @@ def tokens(page_html: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0))
 
 
-def _tree(names: list[str], kinds: list[str]):
-    """Of tags (kind s start, e end, t text) in order: for each start its parent, last, nth of its tag, ancestors, and the texts before it and before its end."""
-    parent, last, nth, ancestors, begin, end, stack, texts = [], [], [], [], [], [], [], 0
-    tags, counts = [], {}
+#: Characters of text that one batch of nodes holds, unless one node alone has more.
+TOGETHER = 16_000_000
+#: What `_grow` tells of a node, besides the columns of its start tag.
+GROWN = "node int, parent int, last int, nth int, ancestors array<int>, tags array<string>, nths array<int>, body int, marks int, above int, text string"
+
+
+def _lists(flat, ends, kind):
+    return pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(flat, kind))
+
+
+def _grow(batches):
+    """Of tokens in page order (first of its page, kind s start, e end, t text, name, own marks, text; then columns of the tag): one row for each start tag, once its element is closed.
+
+    Tokens come in batches that needn't end with a page: only the open elements and the texts of the page in hand are held between two.
+    `body` is how many of a node and its ancestors come up to the last body, `marks` is what any of them is marked by, `above` the same of its parent.
+    """
+    stack, names, texts, upto = [], [], [], array("q", [0])  # open elements and their names, the page's texts, characters before each
+    counts, total, base = {}, 0, 0  # siblings by name below the open elements, nodes of the page, where its texts begin
+    done, held = [], None
 
     def close(at):
-        for node in stack[at:]:
-            last[node], end[node] = len(parent) - 1, texts
-        del stack[at:]
-
-    for name, kind in zip(names, kinds, strict=True):
-        if kind == "t":
-            texts += 1
-        elif kind == "e":
-            at = next((i for i in range(len(stack) - 1, -1, -1) if tags[stack[i]] == name), None)
-            if at is not None:
-                close(at)
-        elif kind == "s":
-            ended, above = ENDS.get(name, ((), ()))
-            floor = next((i + 1 for i in range(len(stack) - 1, -1, -1) if tags[stack[i]] in above), 0)
-            at = next((i for i in range(floor, len(stack)) if tags[stack[i]] in ended), None)
-            if at is not None:
-                close(at)
-            up = stack[-1] if stack else -1
-            counts[up, name] = counts.get((up, name), 0) + 1
-            parent.append(up)
-            last.append(0)
-            nth.append(counts[up, name])
-            ancestors.append(stack.copy())
-            begin.append(texts)
-            end.append(texts)
-            tags.append(name)
-            stack.append(len(parent) - 1)
-            if name in VOID:
-                close(len(stack) - 1)
+        for one in reversed(stack[at:]):
+            one[3], one[5] = total - 1, len(texts)
+            done.append(one)
+            counts.pop(one[1], None)
+        del stack[at:], names[at:]
+
+    def rows(table):
+        """The closed elements, in runs of limited text."""
+        first = 0
+        while first < len(done):
+            after, size = first, 0
+            while after < len(done) and (after == first or size + upto[done[after][5]] - upto[done[after][4]] <= TOGETHER):
+                size += upto[done[after][5]] - upto[done[after][4]]
+                after += 1
+            run = done[first:after]
+            place, node, parent, last, begin, end, nth, body, marks, above, chain, tags, nths = zip(*run, strict=True)
+            ends, shorter = array("i", [0]), array("i", [0])
+            for c in chain:
+                ends.append(ends[-1] + len(c))
+                shorter.append(shorter[-1] + len(c) - 1)
+            ints = lambda x: pa.array(x, pa.int32())
+            lists = [_lists([i for c in chain for i in c[:-1]], shorter, pa.int32()), _lists([t for c in tags for t in c], ends, pa.string()), _lists([n for c in nths for n in c], ends, pa.int32())]
+            given = table.take(pa.array(place, pa.int64())).combine_chunks().to_batches()[0]
+            told = ["".join(texts[i:j]) for i, j in zip(begin, end, strict=True)]
+            columns = [*given.columns, ints(node), ints(parent), ints(last), ints(nth), *lists, ints(body), ints(marks), ints(above), pa.array(told, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*given.schema.names, *(f.split()[0] for f in GROWN.split(", "))])
+            first = after
+        done.clear()
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch.select(range(5, batch.num_columns))])
+        kept_rows = len(stack)
+        for i, one in enumerate(stack):
+            one[0] = i
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        for i, (first, kind, name, own, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True), kept_rows):
+            if first:
+                close(0)
+                counts.clear()
+                total, base = 0, len(texts)
+            if kind == "t":
+                texts.append(text)
+                upto.append(upto[-1] + len(text))
+            elif kind == "e":
+                if name in names:
+                    close(len(names) - 1 - names[::-1].index(name))
+            elif kind == "s":
+                if name in ENDS:
+                    ended, above = ENDS[name]
+                    floor = next((j + 1 for j in range(len(names) - 1, -1, -1) if names[j] in above), 0)
+                    at = next((j for j in range(floor, len(names)) if names[j] in ended), None)
+                    if at is not None:
+                        close(at)
+                up = stack[-1] if stack else (0, -1, 0, 0, 0, 0, 0, 0, 0, 0, [], [], [])
+                siblings = counts.setdefault(up[1], {})
+                nth = siblings[name] = siblings.get(name, 0) + 1
+                body = len(up[10]) + 1 if name == "body" else up[7]
+                stack.append([i, total, up[1], 0, len(texts), 0, nth, body, own | up[8], up[8], [*up[10], total], [*up[11], name], [*up[12], nth]])
+                names.append(name)
+                total += 1
+                if name in VOID:
+                    close(len(stack) - 1)
+        yield from rows(table)
+        held = table.take(pa.array([one[0] for one in stack], pa.int64()))
+        if base:  # texts of pages before the one in hand
+            del texts[:base]
+            gone = upto[base]
+            upto = array("q", (n - gone for n in upto[base:]))
+            for one in stack:
+                one[4] -= base
+            base = 0
+    for i, one in enumerate(stack):
+        one[0] = i
     close(0)
-    return parent, last, nth, ancestors, begin, end
-
-
-#: Tokens whose trees are built together in a worker: what it holds besides Spark's batch.
-TOGETHER = 200_000
-
-
-def _runs(tokens: pa.ListArray):
-    """Runs of pages (first, after last) with at most TOGETHER tokens, or one page."""
-    first = total = 0
-    for i, n in enumerate(pc.list_value_length(tokens).to_pylist()):
-        if total + n > TOGETHER and i > first:
-            yield first, i
-            first, total = i, 0
-        total += n
-    if first < len(tokens):
-        yield first, len(tokens)
-
-
-def _shapes(names: pa.ListArray, kinds: pa.ListArray) -> pa.ListArray:
-    """The trees of some pages, as flat arrays from the start: a dict for each node would be twenty times as large."""
-    flat = [array("i") for _ in range(6)]  # parent, last, nth, all ancestors, begin, end
-    nodes, deep = array("i", [0]), array("i", [0])
-    for n, k in zip(names, kinds, strict=True):
-        for to, found in zip(flat, _tree(n.as_py(), k.as_py()), strict=True):
-            if to is flat[3]:
-                for chain in found:
-                    to.extend(chain)
-                    deep.append(len(to))
-            else:
-                to.extend(found)
-        nodes.append(len(flat[0]))
-    parent, last, nth, ancestors, begin, end = (pa.array(np.frombuffer(x, np.int32)) for x in flat)
-    offsets = [pa.array(np.frombuffer(x, np.int32)) for x in (nodes, deep)]
-    fields = [parent, last, nth, pa.ListArray.from_arrays(offsets[1], ancestors), begin, end]
-    return pa.ListArray.from_arrays(offsets[0], pa.StructArray.from_arrays(fields, ["parent", "last", "nth", "ancestors", "begin", "end"]))
+    if done:
+        yield from rows(held)
 
 
 def trees(pages: DataFrame) -> DataFrame:
-    """page_id, url, texts, nodes (node, parent, last, nth, ancestors, begin, end, tag, attrs) of each page, the nodes in order."""
-    kind = lambda t: F.when(t.rlike("^</[A-Za-z]"), "e").when(t.rlike("^<[A-Za-z]"), "s").when(t.rlike("^<!"), "x").otherwise("t")
-    name = lambda t: F.lower(F.regexp_extract(t, r"^</?([^\s/>]+)", 1))
-    found = pages.select("page_id", "url", tokens(F.col("html")).alias("tokens")).select("page_id", "url", "tokens", F.transform("tokens", kind).alias("kinds"))
-    found = found.select("*", F.transform("tokens", name).alias("names"))
-    shape = "array<struct<parent: int, last: int, nth: int, ancestors: array<int>, begin: int, end: int>>"
-
-    def run(batches):
-        for batch in batches:
-            for a, b in _runs(batch.column(2)):
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], _shapes(part.column(4), part.column(3))], ["page_id", "url", "tokens", "kinds", "shape"])
-
-    found = found.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "tokens", "kinds", "names")
-    found = found.mapInArrow(run, f"page_id long, url string, tokens array<string>, kinds array<string>, shape {shape}")
-    pick = lambda which: F.filter("tokens", lambda t, i: F.get("kinds", i) == which)
-    found = found.select("page_id", "url", F.transform(pick("t"), unescape).alias("texts"), pick("s").alias("starts"), "shape")
-    return found.select("page_id", "url", "texts", F.transform(F.arrays_zip("shape", "starts"), lambda z, i: F.struct(i.alias("node"), *[z["shape"][f].alias(f) for f in ("parent", "last", "nth", "ancestors", "begin", "end")], name(z["starts"]).alias("tag"), attributes(z["starts"]).alias("attrs"))).alias("nodes"))
+    """One row for each element of each page: page_id, url, attrs, and what GROWN lists; text is whole and not squeezed."""
+    token = F.col("token")
+    kind = F.when(token.rlike("^</[A-Za-z]"), "e").when(token.rlike("^<[A-Za-z]"), "s").when(token.rlike("^<!"), "x").otherwise("t")
+    found = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.posexplode(tokens(F.col("html"))).alias("at", "token")).withColumn("kind", kind)
+    is_tag = F.col("kind").isin("s", "e")
+    found = found.withColumns({"tag": F.when(is_tag, F.lower(F.regexp_extract("token", r"^</?([^\s/>]+)", 1))), "attrs": F.when(F.col("kind") == "s", attributes(token)), "text": F.when(F.col("kind") == "t", unescape(token))})
+    own = sum((F.when(_in_region(F.col("attrs"), F.col("tag"), r), 1 << i).otherwise(0) for i, r in enumerate(REGIONS)), F.lit(0))
+    found = found.select((F.col("at") == 0).alias("first"), "kind", "tag", F.when(F.col("kind") == "s", own).alias("own"), "text", "page_id", "url", "attrs")
+    return found.mapInArrow(_grow, f"page_id long, url string, attrs map<string,string>, {GROWN}")
 
 
 def attributes(tag: Column) -> Column:
@@ -203,32 +219,24 @@ def _in_region(attrs: Column, tag: Column, name: str) -> Column:
 
 
 def elements(found: DataFrame) -> DataFrame:
-    """page_id, url and, for every node of `trees`: node, parent, last, nth, ancestors, tag, attrs, text (whole, squeezed), tags (of its ancestors and itself), path (`tag:nth-of-type(n)` from below body), and whether it lies in each region."""
-    segment = lambda n: F.concat(n["tag"], F.lit(":nth-of-type("), n["nth"].cast("string"), F.lit(")"))
-    flags = F.transform("nodes", lambda n: F.struct(segment(n).alias("segment"), (n["tag"] == "body").alias("body"), *[_in_region(n["attrs"], n["tag"], r).alias(r) for r in REGIONS]))
-    marked = found.select("*", flags.alias("own"))
-
-    def told(n):
-        return bound(F.concat(n["ancestors"], F.array(n["node"])), lambda chain: bound(F.coalesce(F.array_max(F.filter(chain, lambda a: F.get("own", a)["body"])), F.lit(-1)), lambda body: row(n, chain, body)))
-
-    def row(n, chain, body):
-        inside = lambda r: F.exists(chain, lambda a: F.get("own", a)[r])
-        return F.struct(
-            *[n[f].alias(f) for f in ("node", "parent", "last", "nth", "ancestors", "tag", "attrs")],
-            squeezed(F.array_join(F.slice("texts", n["begin"] + 1, n["end"] - n["begin"]), "")).alias("text"),
-            F.transform(chain, lambda a: F.get("nodes", a)["tag"]).alias("tags"),
-            F.transform(F.filter(chain, lambda a: a > body), lambda a: F.get("own", a)["segment"]).alias("path"),
-            *[inside(r).alias(r) for r in REGIONS],
-        )
-
-    return marked.select("page_id", "url", F.explode(F.transform("nodes", told)).alias("e")).select("page_id", "url", "e.*")
+    """page_id, url and, for every node of `trees`: node, parent, last, nth, ancestors, tag, attrs, text (whole, squeezed), tags (of its ancestors and itself), path (`tag:nth-of-type(n)` from below body), whether it lies in each region, and whether its parent lies in chrome (in_chrome)."""
+    below = lambda x: F.slice(x, F.col("body") + 1, F.size(x))
+    path = F.zip_with(below(F.col("tags")), below(F.col("nths")), lambda tag, nth: F.concat(tag, F.lit(":nth-of-type("), nth.cast("string"), F.lit(")")))
+    marked = lambda marks, r: F.col(marks).bitwiseAND(1 << list(REGIONS).index(r)) != 0
+    plain = ["page_id", "url", "node", "parent", "last", "nth", "ancestors", F.try_element_at("tags", F.lit(-1)).alias("tag"), "attrs"]
+    return found.select(*plain, squeezed(F.col("text")).alias("text"), "tags", path.alias("path"), *[marked("marks", r).alias(r) for r in REGIONS], marked("above", "chrome").alias("in_chrome"))
 
 
 def common_ancestors(nodes: DataFrame, groups: list[str]) -> DataFrame:
     """`groups` and the lowest node that holds all of the group's rows: in page order, what the chains of the first and the last have in common."""
-    chain = F.concat("ancestors", F.array("node"))
-    ends = nodes.groupBy(*groups).agg(F.min_by(chain, "node").alias("first"), F.max_by(chain, "node").alias("final"))
-    return ends.select(*groups, F.try_element_at(F.array_intersect("first", "final"), F.lit(-1)).alias("ancestor"))
+    ends, common = _common(F.concat("ancestors", F.array("node")))
+    return nodes.groupBy(*groups).agg(*ends).select(*groups, common.alias("ancestor"))
+
+
+def _common(chain: Column):
+    """Aggregates of a group's nodes, and the lowest node that holds them all, made of these."""
+    ends = [F.min_by(chain, "node").alias("begun"), F.max_by(chain, "node").alias("ended")]
+    return ends, F.try_element_at(F.array_intersect("begun", "ended"), F.lit(-1))
 
 
 # repeated groups
@@ -256,50 +264,53 @@ def repeated_groups(nodes: DataFrame) -> DataFrame:
     group. Off navigation, a sibling joins if it has three fifths of the tokens that most siblings share and looks like a product. Groups of one
     signature are one group of the page, however many blocks hold them. `nodes` has the columns of `elements`.
     """
-    page = ["page_id"]
-    slim = kept(nodes).select("page_id", "url", "node", "parent", "last", "ancestors", "tag", "attrs", F.length("text").alias("size"), "chrome", "main")
     # links and pictures below each node: each is counted once for every ancestor
     href = F.trim(F.coalesce(F.col("attrs")["href"], F.lit("")))
     link = F.col("attrs")["href"].isNotNull() & ((F.col("tag") == "a") | (F.col("attrs")["role"] == "link")) & ~href.startswith("javascript:") & ~href.startswith("#") & (href != "")
     image = F.col("tag").isin("img", "picture") | F.contains(F.coalesce(F.col("attrs")["style"], F.lit("")), F.lit("background-image"))
     host = lambda u: F.lower(F.regexp_extract(u, r"^(?i:https?:)?//([^/?#:]+)", 1))
     here = ~href.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|//)") | (host(href) == host(F.col("url")))
-    below = slim.select("page_id", F.explode("ancestors").alias("node"), link.alias("link"), (link & here).alias("own"), image.alias("image")).filter("link or image")
+    # what is read of a node is worked out once and kept; texts, paths and attributes are neither kept nor shuffled
+    slim = nodes.select("page_id", "node", "parent", "nth", "ancestors", "tag", F.length("text").alias("size"), link.alias("link"), here.alias("here"), image.alias("image"), signature_tokens(F.col("attrs")).alias("tokens"), F.get("tags", F.size("tags") - 2).isin(*NOT_CONTAINERS).alias("skipped"), "in_chrome", "chrome", "main")
+    slim = kept(slim)
+    below = slim.filter("link or image").select("page_id", F.explode("ancestors").alias("node"), "link", (F.col("link") & F.col("here")).alias("own"), "image")
     below = below.groupBy("page_id", "node").agg(F.count_if("link").alias("links"), F.count_if("own").alias("own_links"), F.count_if("image").alias("images"))
-    child = slim.groupBy("page_id", F.col("parent").alias("node")).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("node", "tag"))), 1, 6), lambda c: c["tag"]).alias("children"))
-    items = slim.join(below, ["page_id", "node"], "left").join(child, ["page_id", "node"], "left").na.fill(0, ["links", "own_links", "images"])
+    # the first six children have six of their tag at most, so no more are gathered, however many an element has
+    child = slim.filter("nth <= 6").groupBy("page_id", F.col("parent").alias("node")).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("node", "tag"))), 1, 6), lambda c: c["tag"]).alias("children"))
+    family = slim.groupBy("page_id", "parent").agg(F.count("*").alias("siblings")).filter((F.col("siblings") >= LEAST_GROUP) & (F.col("parent") >= 0))
+    items = slim.filter(~F.col("skipped")).hint("merge").join(family, ["page_id", "parent"])
+    items = items.join(below.hint("merge"), ["page_id", "node"], "left").join(child.hint("merge"), ["page_id", "node"], "left").na.fill(0, ["links", "own_links", "images"])
     like = F.when(F.col("images") > 0, 2).otherwise(0) + F.when(F.col("size").between(8, 500), 1).otherwise(0) + F.when(F.col("own_links") > 0, 3).otherwise(0) >= 3
-    items = items.withColumn("tokens", signature_tokens(F.col("attrs")))
     key = F.when(F.size("tokens") > 0, F.concat("tag", F.lit("["), F.array_join("tokens", "|"), F.lit("]"))).when(F.size("children") > 0, F.concat("tag", F.lit("{"), F.array_join("children", ","), F.lit("}")))
-    items = items.select("page_id", "node", "parent", "ancestors", "tag", "tokens", "links", like.alias("like"), key.alias("signature"), "chrome", "main")
-
-    holders = slim.select("page_id", F.col("node").alias("parent"), F.col("chrome").alias("in_chrome"), F.col("tag").isin(*NOT_CONTAINERS).alias("skipped"))
-    siblings = Window.partitionBy("page_id", "parent")
-    rows = items.withColumn("siblings", F.count("*").over(siblings)).filter(F.col("siblings") >= LEAST_GROUP)
-    rows = rows.join(holders, ["page_id", "parent"]).filter(~F.col("skipped") & F.col("signature").isNotNull())
-    bucket, same = Window.partitionBy("page_id", "parent", "tag"), Window.partitionBy("page_id", "parent", "tag", "signature")
-    rows = rows.withColumns({"same": F.count("*").over(same), "first": F.min("node").over(same)})
-    rows = rows.withColumns({"dominant": F.max(F.struct("same", -F.col("first"), "signature")).over(bucket), "plain": F.count_if(F.size("tokens") > 0).over(bucket)})
+    items = items.select("page_id", "node", "parent", "ancestors", "tag", "tokens", "links", like.alias("like"), key.alias("signature"), "in_chrome")
+    items = kept(items.filter(F.col("signature").isNotNull()))
+
+    # siblings of one tag by signature: a row each, so that no window holds all children of an element
+    bucket, same = ["page_id", "parent", "tag"], ["page_id", "parent", "tag", "signature"]
+    kinds = items.groupBy(*same).agg(F.count("*").alias("same"), F.min("node").alias("first"), F.count_if(F.size("tokens") > 0).alias("plain"))
+    kinds = kinds.join(kinds.groupBy(*bucket).agg(F.max(F.struct("same", -F.col("first"), "signature")).alias("dominant"), F.sum("plain").alias("all_plain")), bucket)
+    kinds = kinds.select(*same, "same", "dominant", F.col("all_plain").alias("plain"))
+    rows = items.hint("merge").join(kinds, same)
     rows = rows.filter(F.when(F.col("in_chrome"), F.col("same") >= LEAST_GROUP).otherwise(F.col("dominant.same") >= LEAST_GROUP))
     exact = rows.filter(F.col("in_chrome") | (F.col("signature") == F.col("dominant.signature")))
 
-    shared = rows.filter(~F.col("in_chrome") & (F.size("tokens") > 0) & (F.col("plain") >= LEAST_GROUP)).select("page_id", "parent", "tag", "plain", F.explode("tokens").alias("token"))
-    shared = shared.groupBy("page_id", "parent", "tag", "token").agg(F.count("*").alias("held"), F.first("plain").alias("plain")).filter(F.col("held") >= F.greatest(F.lit(2), F.ceil(F.col("plain") / 2)))
-    core = shared.groupBy("page_id", "parent", "tag").agg(F.collect_set("token").alias("core"))
-    wide = rows.filter(~F.col("in_chrome") & (F.size("tokens") > 0) & F.col("like") & (F.col("signature") != F.col("dominant.signature"))).join(core, ["page_id", "parent", "tag"])
+    shared = rows.filter(~F.col("in_chrome") & (F.size("tokens") > 0) & (F.col("plain") >= LEAST_GROUP)).select(*bucket, "plain", F.explode("tokens").alias("token"))
+    shared = shared.groupBy(*bucket, "token").agg(F.count("*").alias("held"), F.first("plain").alias("plain")).filter(F.col("held") >= F.greatest(F.lit(2), F.ceil(F.col("plain") / 2)))
+    core = shared.groupBy(*bucket).agg(F.collect_set("token").alias("core"))
+    wide = rows.filter(~F.col("in_chrome") & (F.size("tokens") > 0) & F.col("like") & (F.col("signature") != F.col("dominant.signature"))).join(core, bucket)
     wide = wide.filter(F.size(F.array_intersect("tokens", "core")) >= F.ceil(F.size("core") * 3 / 5))
     member = ["page_id", "node", "ancestors", "links", "like"]
     found = exact.select(*member, "signature").union(wide.select(*member, F.col("dominant.signature").alias("signature")))
 
+    ends, common = _common(F.concat("ancestors", F.array("node")))
     groups = found.groupBy("page_id", "signature").agg(
-        F.array_sort(F.collect_set("node")).alias("members"), F.sum("links").alias("links"), F.count_if("like").alias("product_like"), F.count("*").alias("n")
-    ).filter(F.col("n") >= LEAST_GROUP)
-    groups = groups.join(common_ancestors(found, ["page_id", "signature"]), ["page_id", "signature"])
+        F.array_sort(F.collect_set("node")).alias("members"), F.sum("links").alias("links"), F.count_if("like").alias("product_like"), F.count("*").alias("n"), *ends
+    ).filter(F.col("n") >= LEAST_GROUP).withColumn("ancestor", common)
     place = slim.select("page_id", F.col("node").alias("ancestor"), F.when(F.col("main"), 6).otherwise(0).alias("gain"), F.when(F.col("chrome"), 10).otherwise(0).alias("loss"))
-    scored = groups.join(place, ["page_id", "ancestor"])
+    scored = groups.join(place.hint("merge"), ["page_id", "ancestor"])
     points = F.when(F.col("links") >= F.col("n"), 8).when(F.col("links") >= F.ceil(F.col("n") * 3 / 5), 5).when(F.col("links") > 0, 2).otherwise(0)
     scored = scored.withColumn("score", F.col("n") + points + F.col("product_like") + F.col("gain") - F.col("loss")).filter(F.col("score") >= LEAST_GROUP_SCORE)
-    rank = F.row_number().over(Window.partitionBy(*page).orderBy(F.desc("score"), F.col("members")[0], "signature"))
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), F.col("members")[0], "signature"))
     return scored.select("page_id", "signature", "members", F.col("ancestor").alias("container"), "score", "links", "product_like", rank.alias("rank")).filter(F.col("rank") <= MOST_GROUPS)
 
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quern.operators import dom, pages
@@ -180,3 +181,35 @@ def test_nodes_are_never_sent_to_every_task(spark):
             scanned.append(line)
     assert any("BroadcastExchange" in line for line in lines) and not scanned
     assert found.filter("recipe = 'title'").count() == 40
+
+
+def test_a_page_is_read_in_pieces(spark):
+    """A page of many tiles is no single row: its nodes leave as they close, and batches may end anywhere in it."""
+    tiles = "".join(f'<li class="tile" data-key="k{i}"><a href="/p/{i}">name {i}<p>x<p>y</li>' for i in range(30))
+    html = [f"<!doctype html><body><main><ul>{tiles}</ul></main>", "<p>b<div>c", None, f"<ul>{tiles}"]
+    fields = ["page_id", "node", "parent", "last", "nth", "ancestors", "tag", "attrs", "text", "path", "main", "in_chrome"]
+    grown = lambda: sorted((r.asDict() for r in nodes_of(spark, *html).select(*fields).collect()), key=lambda r: (r["page_id"], r["node"]))
+    whole = grown()
+    assert len(whole) == 3 + 120 + 2 + 1 + 120 and [r["text"] for r in whole if r["tag"] == "main"] == ["".join(f"name {i}xy" for i in range(30))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert grown() == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    df = spark.createDataFrame([(1, "u", html[0])], PAGES)
+    assert dom.trees(df).count() == 123
+    table = pa.table({"first": [True] + [False] * 90, "kind": ["s"] * 91, "tag": ["ul"] + ["li"] * 90, "own": [0] * 91, "text": [None] * 91, "page_id": [1] * 91})
+    assert [b.num_rows for b in dom._grow(iter(table.to_batches(max_chunksize=13)))] == [11, 13, 13, 13, 13, 13, 13, 2]
+
+
+def test_groups_of_bare_elements(spark):
+    """Elements without classes are alike by their first six children; no window holds an element's children, and few are gathered."""
+    rng = random.Random(2)
+    cells = [[rng.choice("bi") for _ in range(rng.choice([1, 2, 8, 9]))] for _ in range(60)] + [["i"] * 7 + ["b"] * 9] * 3
+    nodes = nodes_of(spark, "<body><main>" + "".join("<section>" + "".join(f"<{t}>some words</{t}>" for t in c) + "</section>" for c in cells) + "</main>")
+    found = dom.repeated_groups(nodes)
+    signed = [f"section{{{','.join(c[:6])}}}" for c in cells]
+    most = max(signed, key=lambda x: (signed.count(x), -signed.index(x)))
+    assert {r.signature: (len(r.members), r.score) for r in found.collect()} == {most: (signed.count(most), signed.count(most) + 6)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert all("row_number" in line for line in plan.split("\n") if re.search(r"\bWindow \[", line))
